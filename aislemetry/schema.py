@@ -1,10 +1,8 @@
 """Row types: the event envelope, the per-type tables, frames and dimensions."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-ENVELOPE = T.StructType.fromDDL(
-    "t double, store_id string, stream string, zone_id string, event_type string, payload string")
+ENVELOPE = ("t double, store_id string, stream string, zone_id string, event_type string, "
+            "payload string")
 
 # The record contract.
 STREAMS = ("overhead", "shelf", "-")
@@ -56,7 +54,7 @@ TABLES = {
 }
 RUN_TABLES = tuple(n for n in TABLES if n not in ("queue_truth", "sync_state"))
 
-FRAME = T.StructType.fromDDL(
+FRAME = (
     "run_id string, store_id string, stream string, frame_id bigint, t_ns bigint, flags int, "
     "num_blobs int, blobs array<struct<x:int,y:int,w:int,h:int,area:bigint>>, "
     "roi_fill array<int>, lane_occupancy array<int>")
