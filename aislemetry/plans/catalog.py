@@ -1,3 +1,3 @@
 """All named queries; importing this module registers them."""
-from aislemetry.plans import catalog_kpi  # noqa: F401
+from aislemetry.plans import catalog_detections, catalog_kpi, catalog_sequence  # noqa: F401
 from aislemetry.plans.registry import ORACLES, QUERIES  # noqa: F401
