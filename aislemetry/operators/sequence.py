@@ -412,6 +412,10 @@ def reach_events(motion: DataFrame, min_ratio=0.05, peak=120, strong_ratio=0.12,
     return throttle(picks, keys, ORDER, cooldown, chunk_s, strict=True)
 
 
+def _count_of(array, value):
+    return F.size(F.filter(array, lambda v: v == value))
+
+
 def inventory(status: DataFrame, stock: DataFrame, confirm=15, agreement=0.85,
               keys=("run_id", "roi"), chunk_s="auto") -> DataFrame:
     """Committed stock drops from shelf statuses.
@@ -437,9 +441,7 @@ def inventory(status: DataFrame, stock: DataFrame, confirm=15, agreement=0.85,
         past = F.coalesce(F.struct("t", "seq") <= F.col("__since"), F.lit(False))
         seen = rows.withColumn("__x", F.when(past, F.col("__stock")).otherwise(F.col("__q")))
         seen = scan(seen, keys, ORDER, {"__h": Tail(F.col("__x"), confirm)}, chunk_s)
-        low = F.array_min("__h")
-        hits = [F.size(F.filter("__h", lambda v, c=c: v == c))
-                for c in (F.lit(0), F.floor(init * 0.3).cast("int"))]
+        hits = [_count_of("__h", c) for c in (F.lit(0), F.floor(init * 0.3).cast("int"))]
         full = F.size("__h") >= confirm
         need = confirm * agreement
         mode = (F.when(hits[0] >= need, F.lit(0))

@@ -9,6 +9,13 @@ from aislemetry.schema import HEAT_CELL_M
 PAD_M = 1.0
 
 
+def _with_origin(df, origin, keys):
+    """Add the raster origin of the row's store, or of the one store there is."""
+    if keys:
+        return df.join(origin, keys)
+    return df.withColumns({c: origin.select(c).scalar() for c in ("ox", "oy")})
+
+
 def zone_raster(zones: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
     """Cells whose centre lies in a polygon, and the raster origin.
 
@@ -18,7 +25,7 @@ def zone_raster(zones: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
     corner = zones.select(*keys, F.explode("polygon").alias("p"))
     origin = corner.groupBy(*keys).agg((F.min(F.col("p")[0]) - PAD_M).alias("ox"),
                                        (F.min(F.col("p")[1]) - PAD_M).alias("oy"))
-    z = zones.join(origin, keys) if keys else zones.join(origin)
+    z = _with_origin(zones, origin, keys)
 
     def span(i, o):
         lo = F.array_min(F.transform("polygon", lambda p: p[i]))
@@ -51,7 +58,7 @@ def zone_of(points: DataFrame, zones: DataFrame, x="X", y="Y", keys=()) -> DataF
     """
     keys = list(keys)
     cells, origin = zone_raster(zones, keys)
-    p = points.join(origin, keys) if keys else points.join(origin)
+    p = _with_origin(points, origin, keys)
     p = p.withColumns({"gx": F.floor((F.col(x) - F.col("ox")) / HEAT_CELL_M).cast("bigint"),
                        "gy": F.floor((F.col(y) - F.col("oy")) / HEAT_CELL_M).cast("bigint")})
     return p.join(cells, [*keys, "gx", "gy"], "left").select(*points.columns, "zone")

@@ -368,11 +368,11 @@ def compliance_score(status, planogram):
     runs = status.select(RUN).distinct()
     last = status.groupBy(RUN, "roi").agg(F.max_by("status", F.struct("t", "seq")).alias("status"))
     plan = planogram.select(F.col("facing").alias("roi")).distinct()
-    n = plan.agg(F.count("*").alias("__n"))
+    n = plan.agg(F.count("*")).scalar()
     ok = last.where(F.col("status") == "normal").join(plan, "roi", "left_semi").groupBy(RUN).agg(
         F.count("*").alias("__ok"))
-    share = F.try_divide(F.coalesce("__ok", F.lit(0)) * 100.0, F.col("__n"))
-    return runs.join(ok, RUN, "left").join(n).select(
+    share = F.try_divide(F.coalesce("__ok", F.lit(0)) * 100.0, n)
+    return runs.join(ok, RUN, "left").select(
         RUN, F.coalesce(F.round(share, 1), F.lit(100.0)).alias("compliance"))
 
 
@@ -554,7 +554,7 @@ def littles_law_dwell(occupancy, tripwire, window_s=3600):
         RUN, "t_bucket", F.round(F.try_divide(F.col("__l") * window_s, F.col("__n")), 6).alias("dwell_s"))
 
 
-def fit_count_regression(pairs, x="x", y="y", keys=()):
+def fit_count_regression(pairs, x="x", y="y", keys=(RUN,)):
     """Least squares count ~ a*x + b, with r2 and MAE.
 
     A constant x gives a = 0 and b = mean; a constant y gives r2 = 1.
@@ -569,7 +569,7 @@ def fit_count_regression(pairs, x="x", y="y", keys=()):
         "b", F.when(F.col("sxx") == 0, F.col("my")).otherwise(F.col("my") - F.col("a") * F.col("mx")))
     rest = F.col("syy") - F.col("a") * F.col("sxy")
     f = f.withColumn("r2", F.when(F.col("syy") == 0, 1.0).otherwise(1.0 - F.try_divide(rest, F.col("syy"))))
-    e = p.join(f.select(*keys, "a", "b"), keys or None, "inner" if keys else None)
+    e = p.join(f.select(*keys, "a", "b"), keys)
     mae = e.groupBy(*keys).agg(F.avg(F.abs(F.col("y") - (F.col("a") * F.col("x") + F.col("b")))).alias("mae"))
-    full = f.join(mae, keys or None, "inner" if keys else None)
+    full = f.join(mae, keys)
     return full.select(*keys, *[F.round(c, 6).alias(c) for c in ("a", "b", "r2", "mae")])
