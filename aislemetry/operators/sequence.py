@@ -46,10 +46,12 @@ def visits(obs: DataFrame, debounce=1.0, min_visit=2.0, keys=("run_id", "track_i
     rows = rows.withColumn("__new", changed("__p").cast("bigint"))
     rows = scan(rows, keys, ORDER, {"__g": RunSum(F.col("__new"))}, chunk_s)
     islands = rows.groupBy(*keys, "__g").agg(
-        F.first(zone).alias("__z"), F.min("t").alias("a"), F.max("t").alias("b"))
-    islands = islands.select(*keys, F.col("__z.z").alias("zone"), "a", "b")
+        F.first(zone).alias("__z"), F.min("t").alias("a"), F.max("t").alias("b"),
+        F.count("*").alias("__rows"))
+    islands = islands.select(*keys, F.col("__z.z").alias("zone"), "a", "b", "__rows")
     islands = scan(islands, keys, ["a"], {"__end": WholeMax(F.col("b"))}, chunk_s)
-    sure = islands.where(F.col("b") - F.col("a") >= debounce)
+    # A second sight is needed even without a debounce.
+    sure = islands.where((F.col("b") - F.col("a") >= debounce) & (F.col("__rows") > 1))
     sure = scan(sure, keys, ["a"], {"__p": Prev(zone)}, chunk_s).where(changed("__p"))
     out = scan(sure, keys, ["a"], {"__n": Next(F.col("a"))}, chunk_s)
     end = F.col("__end")
