@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 TARGET_ROWS = 500_000
@@ -269,6 +270,9 @@ def scan(df: DataFrame, keys, order, specs: dict[str, Spec], chunk_s=None) -> Da
 
     stamp = F.struct(*order)
     cut_df = df.withColumn(CHUNK, F.floor(F.col(order[0]) / float(chunk_s)).cast("bigint"))
+    # One explicit exchange feeds both the windows and the summary, so what lies
+    # upstream runs once however many scans are stacked.
+    cut_df = cut_df.repartition(*keys, CHUNK)
     w = Window.partitionBy(*keys, CHUNK)
     asc, desc = w.orderBy(*ascending), w.orderBy(*descending)
     local = cut_df.withColumns({f"__l_{n}": s.local(asc, desc) for n, s in specs.items()})
@@ -307,93 +311,148 @@ def ema(df, keys, order, value, alpha, name, chunk_s=None, blend_first=False) ->
 
 
 # --- greedy thinning ---------------------------------------------------------
-def _first_allowed(ts, last, period, strict, lo=0):
-    """Index of the first time at least `period` after `last` (more, if strict)."""
-    import numpy as np
-    i = int(np.searchsorted(ts, last + period))
+def _groups(batches, keys):
+    """Consecutive rows of one key out of sorted batches.
 
-    def ok(k):
-        return ts[k] - last > period if strict else ts[k] - last >= period
+    Yields (batch, first row, one past the last row, starts a new key). A key may
+    run on into later batches.
+    """
+    before = None
+    for pdf in batches:
+        n = len(pdf)
+        if n == 0:
+            continue
+        if keys:
+            ids = pdf[keys]
+            new = (ids != ids.shift()).any(axis=1).to_numpy()
+            new[0] = before is None or tuple(ids.iloc[0]) != before
+            before = tuple(ids.iloc[-1])
+        else:
+            import numpy as np
+            new = np.zeros(n, dtype=bool)
+            new[0] = before is None
+            before = ()
+        starts = [0] + [k for k in new.nonzero()[0].tolist() if k > 0]
+        for a, b in zip(starts, [*starts[1:], n]):
+            yield pdf, a, b, bool(new[a])
+
+
+def _walker(keys, t, period, strict, entry=None):
+    """mapInPandas function: keep rows greedily, key by key."""
+    def run(batches):
+        last, current, keep = float("-inf"), None, []
+        for pdf, a, b, new in _groups(batches, keys):
+            if current is not pdf:
+                if current is not None:
+                    yield current.iloc[keep]
+                current, keep = pdf, []
+                ts = pdf[t].tolist()
+            if new:
+                last = float("-inf")
+                if entry is not None and pdf[entry].iloc[a] == pdf[entry].iloc[a]:
+                    last = float(pdf[entry].iloc[a])
+            for i in range(a, b):
+                d = ts[i] - last
+                if d > period or (d == period and not strict):
+                    keep.append(i)
+                    last = ts[i]
+        if current is not None:
+            yield current.iloc[keep]
+    return run
+
+
+def _reporter(keys, t, period, strict):
+    """mapInPandas function: per chunk, where each possible entry would end.
+
+    Only rows less than one period after the chunk's first can be its first kept
+    row, plus the one after them.
+    """
+    def ends(ts):
+        n, end, j = len(ts), list(ts), len(ts)
+        for i in range(n - 1, -1, -1):
+            while j - 1 > i and (ts[j - 1] - ts[i] > period
+                                 or (ts[j - 1] - ts[i] == period and not strict)):
+                j -= 1
+            if j < n:
+                end[i] = end[j]
+        stop = 0
+        while stop < n - 1 and ts[stop] - ts[0] < period:
+            stop += 1
+        return ts[:stop + 1], end[:stop + 1]
 
-    while i > lo and ok(i - 1):
-        i -= 1
-    while i < len(ts) and not ok(i):
-        i += 1
-    return max(i, lo)
+    def run(batches):
+        import pandas as pd
+        head, ts = None, []
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=[*keys, "__in", "__out"])
+
+        for pdf, a, b, new in _groups(batches, keys):
+            rows = []
+            if new and head is not None:
+                rows.append((*head, *ends(ts)))
+                ts = []
+            if new:
+                head = tuple(pdf[k].iloc[a] for k in keys)
+            ts.extend(pdf[t].iloc[a:b].tolist())
+            if rows:
+                yield frame(rows)
+        if head is not None:
+            yield frame([(*head, *ends(ts))])
+    return run
+
+
+def _chainer(keys, period, strict):
+    """mapInPandas function: thread the last kept time through a key's chunks."""
+    def run(batches):
+        last = float("-inf")
+        for pdf, a, b, new in _groups(batches, keys):
+            if new:
+                last = float("-inf")
+            part = pdf.iloc[a:b]
+            entry = []
+            for cin, cout in zip(part["__in"], part["__out"]):
+                entry.append(last)
+                for x, y in zip(cin, cout):
+                    if x - last > period or (x - last == period and not strict):
+                        last = float(y)
+                        break
+            yield part.assign(__last=entry).drop(columns=["__in", "__out"])
+    return run
 
 
 def throttle(df: DataFrame, keys, order, period, chunk_s=None, strict=False) -> DataFrame:
     """Keep a row iff it is `period` or more after the last kept row of its key.
 
     The decision depends on the last *kept* row, so it is a fold, not a window.
-    With chunks, every chunk first reports, for each row that could be its first
-    kept one, the kept time it would end on; those short reports are chained per
-    key, and each chunk then walks from its known entry state.
+    Keys are streamed through sorted partitions, never collected. With chunks,
+    every chunk first reports, for each row that could be its first kept one, the
+    kept time it would end on; those short reports are threaded per key, and each
+    chunk then walks from its known entry.
     """
     keys, order = list(keys), list(order)
-    t, schema = order[0], df.schema
+    t = order[0]
 
-    def walk(pdf, last):
-        pdf = pdf.sort_values(order, kind="stable")
-        ts = pdf[t].to_numpy(dtype=float)
-        keep, i = [], _first_allowed(ts, last, period, strict)
-        while i < len(ts):
-            keep.append(i)
-            i = _first_allowed(ts, ts[i], period, strict, i + 1)
-        return pdf.iloc[keep]
+    def spread(d, by, sort):
+        d = d.repartition(*by) if by else d.repartition(1)
+        return d.sortWithinPartitions(*sort)
 
     if chunk_s is None:
-        def whole(pdf):
-            return walk(pdf, float("-inf"))
-        group = df.groupBy(*keys) if keys else df.groupBy(F.lit(0))
-        return group.applyInPandas(whole, schema)
-
-    rows = df.withColumn(CHUNK, F.floor(F.col(t) / float(chunk_s)).cast("bigint"))
-    slim = rows.select(*keys, CHUNK, F.col(t).alias("__t"))
-    key_ddl = [f for f in rows.schema.fields if f.name in (*keys, CHUNK)]
-    from pyspark.sql import types as T
-    report_schema = T.StructType(
-        [f for n in (*keys, CHUNK) for f in key_ddl if f.name == n]
-        + [T.StructField("__in", T.ArrayType(T.DoubleType())),
-           T.StructField("__out", T.ArrayType(T.DoubleType()))])
-
-    def report(pdf):
-        import pandas as pd
-        ts = pdf["__t"].sort_values().to_numpy(dtype=float)
-        n = len(ts)
-        end = ts.copy()
-        for i in range(n - 1, -1, -1):
-            j = _first_allowed(ts, ts[i], period, strict, i + 1)
-            if j < n:
-                end[i] = end[j]
-        stop = min(_first_allowed(ts, ts[0], period, strict), n - 1)
-        head = {k: [pdf[k].iloc[0]] for k in (*keys, CHUNK)}
-        return pd.DataFrame({**head, "__in": [ts[:stop + 1].tolist()],
-                             "__out": [end[:stop + 1].tolist()]})
-
-    entry_schema = T.StructType(list(report_schema.fields[:-2])
-                                + [T.StructField("__last", T.DoubleType())])
-
-    def chain(pdf):
-        import numpy as np
-        pdf = pdf.sort_values(CHUNK)
-        last, entry = float("-inf"), []
-        for cin, cout in zip(pdf["__in"], pdf["__out"]):
-            entry.append(last)
-            ts = np.asarray(cin, dtype=float)
-            i = _first_allowed(ts, last, period, strict)
-            if i < len(ts):
-                last = float(cout[i])
-        return pdf.assign(__last=entry)[[*keys, CHUNK, "__last"]]
-
-    reports = slim.groupBy(*keys, CHUNK).applyInPandas(report, report_schema)
-    grouped = reports.groupBy(*keys) if keys else reports.groupBy(F.lit(0))
-    entries = grouped.applyInPandas(chain, entry_schema)
-
-    def resume(left, right):
-        if len(left) == 0:
-            return left[schema.names]
-        return walk(left, float(right["__last"].iloc[0]))[schema.names]
-
-    return (rows.groupBy(*keys, CHUNK).cogroup(entries.groupBy(*keys, CHUNK))
-            .applyInPandas(resume, schema))
+        return spread(df, keys, [*keys, *order]).mapInPandas(
+            _walker(keys, t, period, strict), df.schema)
+
+    parts = [*keys, CHUNK]
+    rows = df.withColumn(CHUNK, F.floor(F.col(t) / float(chunk_s)).cast("bigint")).repartition(*parts)
+    slim = rows.select(*parts, F.col(t).alias("__t"))
+    fields = {f.name: f for f in slim.schema.fields}
+    head = [fields[k] for k in parts]
+    times = T.ArrayType(T.DoubleType())
+    reports = slim.sortWithinPartitions(*parts, "__t").mapInPandas(
+        _reporter(parts, "__t", period, strict),
+        T.StructType([*head, T.StructField("__in", times), T.StructField("__out", times)]))
+    entries = spread(reports, keys, parts).mapInPandas(
+        _chainer(keys, period, strict),
+        T.StructType([*head, T.StructField("__last", T.DoubleType())]))
+    ready = rows.join(entries, parts)
+    return spread(ready, parts, [*parts, *order]).mapInPandas(
+        _walker(parts, t, period, strict, "__last"), ready.schema).select(*df.columns)

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislemetry.functions.timebuckets import epoch_seconds
 from aislemetry.operators import sequence
 
 # Floor is 8 m x 6 m at 80 px per metre with v pointing down.
@@ -39,7 +40,7 @@ class Views:
     @cached_property
     def ev(self):
         e = self.table("events")
-        t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
+        t = epoch_seconds("ts").alias("t")
         e = e.select("event_id", t, F.col("user_id").alias("track_id"), "event_type", "value")
         key = (F.col("track_id") % 3).cast("string")
         z = (F.col("track_id") + F.floor(F.col("t") / 172800)
@@ -94,7 +95,7 @@ class Views:
 
     @cached_property
     def stockout(self):
-        t = F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6
+        t = epoch_seconds("l_shipdate")
         return self.table("lineitem").select(
             F.concat(F.lit("run-"), (F.col("l_suppkey") % 3).cast("string")).alias("run_id"),
             F.concat(F.lit("F"), (F.col("l_partkey") % 64).cast("string")).alias("roi"),
