@@ -9,7 +9,6 @@ is the time column.
 """
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +22,13 @@ TARGET_ROWS = 500_000
 def chunk_seconds(df: DataFrame, keys, t="t", target=None):
     """Chunk length so that no (key, chunk) exceeds `target` rows, else None.
 
-    One aggregation over the key and time columns; None means that every key
-    already fits one task.
+    A row count first: no key outgrows a table that fits one task. Otherwise one
+    aggregation over the key and time columns finds the biggest key.
     """
     target = int(target or df.sparkSession.conf.get("spark.aislemetry.chunk.rows",
                                                     str(TARGET_ROWS)))
+    if df.count() <= target:
+        return None
     slot = 3600.0
     while True:
         per_slot = df.groupBy(*keys, F.floor(F.col(t) / slot).alias("__slot")).count()
@@ -291,23 +292,118 @@ def scan(df: DataFrame, keys, order, specs: dict[str, Spec], chunk_s=None) -> Da
         for n, s in specs.items()])
 
 
-def ema_horizon(alpha: float) -> int:
-    """Rows after which an older value weighs less than one part in 2^60."""
-    return max(2, math.ceil(60 * math.log(2) / -math.log1p(-alpha))) if alpha < 1 else 2
+# --- folds over sorted partitions ----------------------------------------------
+def _spread(df, by, sort):
+    df = df.repartition(*by) if by else df.repartition(1)
+    return df.sortWithinPartitions(*sort)
+
+
+def _fold(df, keys, order, chunk_s, walker, out_schema, report, chainer, entry_type):
+    """Run a sequential fold whose state is one number per key.
+
+    Keys are streamed through sorted partitions, never collected. With chunks,
+    `report` sums each chunk up in one row, `chainer` threads those rows per key
+    into the entry state of every chunk, and `walker` resumes from it.
+    """
+    if chunk_s is None:
+        return _spread(df, keys, [*keys, *order]).mapInPandas(walker(keys, None), out_schema)
+    parts = [*keys, CHUNK]
+    rows = df.withColumn(CHUNK, F.floor(F.col(order[0]) / float(chunk_s)).cast("bigint")).repartition(*parts)
+    fields = {f.name: f for f in rows.schema.fields}
+    head = [fields[k] for k in parts]
+    make, needed, summary = report
+    reports = rows.select(*parts, *needed).sortWithinPartitions(*parts, *order).mapInPandas(
+        make(parts), T.StructType([*head, *summary]))
+    entries = _spread(reports, keys, parts).mapInPandas(
+        chainer(keys), T.StructType([*head, T.StructField("__entry", entry_type)]))
+    ready = rows.join(entries, parts)
+    wide = T.StructType([*ready.schema.fields,
+                         *[f for f in out_schema.fields if f.name not in ready.columns]])
+    return _spread(ready, parts, [*parts, *order]).mapInPandas(
+        walker(parts, "__entry"), wide).select(*[f.name for f in out_schema.fields])
+
+
+def _chunk_reporter(keys, cols, columns, summarise):
+    """mapInPandas function: one summary row per key from its columns' values."""
+    def run(batches):
+        import pandas as pd
+        head, values = None, [[] for _ in cols]
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=[*keys, *columns])
+
+        for pdf, a, b, new in _groups(batches, keys):
+            if new and head is not None:
+                yield frame([(*head, *summarise(*values))])
+                values = [[] for _ in cols]
+            if new:
+                head = tuple(pdf[k].iloc[a] for k in keys)
+            for store, c in zip(values, cols):
+                store.extend(pdf[c].iloc[a:b].tolist())
+        if head is not None:
+            yield frame([(*head, *summarise(*values))])
+    return run
 
 
 def ema(df, keys, order, value, alpha, name, chunk_s=None, blend_first=False) -> DataFrame:
-    """Exponential mean seeded by the first value.
+    """Exponential mean seeded by the first value of each key.
 
-    Folds the last `ema_horizon` values of each row: older ones are below double
-    precision, so the frame is bounded however long the key is.
+    `blend_first` also mixes the seed with itself, as a smoother that starts from
+    its own first reading does. A chunk is summed up by its first value, its
+    length and the mean it ends on when seeded by that value.
     """
-    tail = scan(df, keys, order, {"__tail": Tail(F.col(value).cast("double"),
-                                                 ema_horizon(alpha))}, chunk_s)
-    start = F.element_at("__tail", 1)
-    steps = F.col("__tail") if blend_first else F.slice("__tail", 2, F.size("__tail"))
-    return tail.withColumn(name, F.aggregate(
-        steps, start, lambda acc, x: x * alpha + acc * (1.0 - alpha))).drop("__tail")
+    keys, order = list(keys), list(order)
+    keep = 1.0 - alpha
+    out = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def walker(by, entry):
+        def run(batches):
+            s, current, vals = None, None, []
+            for pdf, a, b, new in _groups(batches, by):
+                if current is not pdf:
+                    if current is not None:
+                        yield current.assign(**{name: vals})
+                    current, vals = pdf, []
+                    xs = pdf[value].tolist()
+                if new:
+                    s = None
+                    if entry is not None and pdf[entry].iloc[a] == pdf[entry].iloc[a]:
+                        s = float(pdf[entry].iloc[a])
+                for i in range(a, b):
+                    x = float(xs[i])
+                    if s is None:
+                        s = alpha * x + keep * x if blend_first else x
+                    else:
+                        s = alpha * x + keep * s
+                    vals.append(s)
+            if current is not None:
+                yield current.assign(**{name: vals})
+        return run
+
+    def summarise(*columns):
+        xs = [float(x) for x in columns[-1]]
+        s = xs[0]
+        for x in xs:
+            s = alpha * x + keep * s
+        return xs[0], float(len(xs)), s
+
+    def chainer(by):
+        def run(batches):
+            s = None
+            for pdf, a, b, new in _groups(batches, by):
+                if new:
+                    s = None
+                part, entry = pdf.iloc[a:b], []
+                for first, n, end in zip(part["__first"], part["__n"], part["__end"]):
+                    entry.append(float("nan") if s is None else s)
+                    s = end if s is None else end + keep ** n * (s - first)
+                yield part.assign(__entry=entry).drop(columns=["__first", "__n", "__end"])
+        return run
+
+    names = ["__first", "__n", "__end"]
+    report = (lambda by: _chunk_reporter(by, [value], names, summarise), [*order, value],
+              [T.StructField(n, T.DoubleType()) for n in names])
+    return _fold(df, keys, order, chunk_s, walker, out, report, chainer, T.DoubleType())
 
 
 # --- greedy thinning ---------------------------------------------------------
@@ -337,122 +433,66 @@ def _groups(batches, keys):
             yield pdf, a, b, bool(new[a])
 
 
-def _walker(keys, t, period, strict, entry=None):
-    """mapInPandas function: keep rows greedily, key by key."""
-    def run(batches):
-        last, current, keep = float("-inf"), None, []
-        for pdf, a, b, new in _groups(batches, keys):
-            if current is not pdf:
-                if current is not None:
-                    yield current.iloc[keep]
-                current, keep = pdf, []
-                ts = pdf[t].tolist()
-            if new:
-                last = float("-inf")
-                if entry is not None and pdf[entry].iloc[a] == pdf[entry].iloc[a]:
-                    last = float(pdf[entry].iloc[a])
-            for i in range(a, b):
-                d = ts[i] - last
-                if d > period or (d == period and not strict):
-                    keep.append(i)
-                    last = ts[i]
-        if current is not None:
-            yield current.iloc[keep]
-    return run
-
-
-def _reporter(keys, t, period, strict):
-    """mapInPandas function: per chunk, where each possible entry would end.
+def throttle(df: DataFrame, keys, order, period, chunk_s=None, strict=False) -> DataFrame:
+    """Keep a row iff it is `period` or more after the last kept row of its key.
 
-    Only rows less than one period after the chunk's first can be its first kept
-    row, plus the one after them.
+    The decision depends on the last *kept* row, so it is a fold, not a window. A
+    chunk is summed up by the rows that could be its first kept one, with the
+    kept time each would end on: those are the rows less than one period after
+    the chunk's first, plus the one after them.
     """
-    def ends(ts):
+    keys, order = list(keys), list(order)
+    t = order[0]
+
+    def due(now, last):
+        return now - last > period if strict else now - last >= period
+
+    def walker(by, entry):
+        def run(batches):
+            last, current, keep = float("-inf"), None, []
+            for pdf, a, b, new in _groups(batches, by):
+                if current is not pdf:
+                    if current is not None:
+                        yield current.iloc[keep]
+                    current, keep = pdf, []
+                    ts = pdf[t].tolist()
+                if new:
+                    last = float("-inf")
+                    if entry is not None and pdf[entry].iloc[a] == pdf[entry].iloc[a]:
+                        last = float(pdf[entry].iloc[a])
+                for i in range(a, b):
+                    if due(ts[i], last):
+                        keep.append(i)
+                        last = ts[i]
+            if current is not None:
+                yield current.iloc[keep]
+        return run
+
+    def summarise(ts):
         n, end, j = len(ts), list(ts), len(ts)
         for i in range(n - 1, -1, -1):
-            while j - 1 > i and (ts[j - 1] - ts[i] > period
-                                 or (ts[j - 1] - ts[i] == period and not strict)):
+            while j - 1 > i and due(ts[j - 1], ts[i]):
                 j -= 1
             if j < n:
                 end[i] = end[j]
         stop = 0
-        while stop < n - 1 and ts[stop] - ts[0] < period:
+        while stop < n - 1 and not due(ts[stop], ts[0]):
             stop += 1
         return ts[:stop + 1], end[:stop + 1]
 
-    def run(batches):
-        import pandas as pd
-        head, ts = None, []
-
-        def frame(rows):
-            return pd.DataFrame(rows, columns=[*keys, "__in", "__out"])
-
-        for pdf, a, b, new in _groups(batches, keys):
-            rows = []
-            if new and head is not None:
-                rows.append((*head, *ends(ts)))
-                ts = []
-            if new:
-                head = tuple(pdf[k].iloc[a] for k in keys)
-            ts.extend(pdf[t].iloc[a:b].tolist())
-            if rows:
-                yield frame(rows)
-        if head is not None:
-            yield frame([(*head, *ends(ts))])
-    return run
-
-
-def _chainer(keys, period, strict):
-    """mapInPandas function: thread the last kept time through a key's chunks."""
-    def run(batches):
-        last = float("-inf")
-        for pdf, a, b, new in _groups(batches, keys):
-            if new:
-                last = float("-inf")
-            part = pdf.iloc[a:b]
-            entry = []
-            for cin, cout in zip(part["__in"], part["__out"]):
-                entry.append(last)
-                for x, y in zip(cin, cout):
-                    if x - last > period or (x - last == period and not strict):
-                        last = float(y)
-                        break
-            yield part.assign(__last=entry).drop(columns=["__in", "__out"])
-    return run
-
-
-def throttle(df: DataFrame, keys, order, period, chunk_s=None, strict=False) -> DataFrame:
-    """Keep a row iff it is `period` or more after the last kept row of its key.
-
-    The decision depends on the last *kept* row, so it is a fold, not a window.
-    Keys are streamed through sorted partitions, never collected. With chunks,
-    every chunk first reports, for each row that could be its first kept one, the
-    kept time it would end on; those short reports are threaded per key, and each
-    chunk then walks from its known entry.
-    """
-    keys, order = list(keys), list(order)
-    t = order[0]
-
-    def spread(d, by, sort):
-        d = d.repartition(*by) if by else d.repartition(1)
-        return d.sortWithinPartitions(*sort)
-
-    if chunk_s is None:
-        return spread(df, keys, [*keys, *order]).mapInPandas(
-            _walker(keys, t, period, strict), df.schema)
-
-    parts = [*keys, CHUNK]
-    rows = df.withColumn(CHUNK, F.floor(F.col(t) / float(chunk_s)).cast("bigint")).repartition(*parts)
-    slim = rows.select(*parts, F.col(t).alias("__t"))
-    fields = {f.name: f for f in slim.schema.fields}
-    head = [fields[k] for k in parts]
-    times = T.ArrayType(T.DoubleType())
-    reports = slim.sortWithinPartitions(*parts, "__t").mapInPandas(
-        _reporter(parts, "__t", period, strict),
-        T.StructType([*head, T.StructField("__in", times), T.StructField("__out", times)]))
-    entries = spread(reports, keys, parts).mapInPandas(
-        _chainer(keys, period, strict),
-        T.StructType([*head, T.StructField("__last", T.DoubleType())]))
-    ready = rows.join(entries, parts)
-    return spread(ready, parts, [*parts, *order]).mapInPandas(
-        _walker(parts, t, period, strict, "__last"), ready.schema).select(*df.columns)
+    def chainer(by):
+        def run(batches):
+            last = float("-inf")
+            for pdf, a, b, new in _groups(batches, by):
+                if new:
+                    last = float("-inf")
+                part, entry = pdf.iloc[a:b], []
+                for cin, cout in zip(part["__in"], part["__out"]):
+                    entry.append(last)
+                    last = next((float(y) for x, y in zip(cin, cout) if due(x, last)), last)
+                yield part.assign(__entry=entry).drop(columns=["__in", "__out"])
+        return run
+
+    report = (lambda by: _chunk_reporter(by, [t], ["__in", "__out"], summarise), order,
+              [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("__in", "__out")])
+    return _fold(df, keys, order, chunk_s, walker, df.schema, report, chainer, T.DoubleType())
