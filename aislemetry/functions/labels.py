@@ -16,8 +16,9 @@ def engagement_label(dwell: Column, converted: Column) -> Column:
 
 
 def pct_capped(n: Column, total: Column) -> Column:
-    share = F.try_divide(n * 100.0, F.when(total != 0, total))
-    return F.coalesce(F.round(F.least(F.lit(100.0), share), 1), F.lit(0.0))
+    # `least` skips NULLs, so an empty total is decided before it.
+    share = F.round(F.least(F.lit(100.0), F.try_divide(n * 100.0, total)), 1)
+    return F.when(total != 0, share).otherwise(0.0)
 
 
 def kpi_status(occupancy, net, dwell_min, conversion) -> dict[str, Column]:

@@ -39,7 +39,8 @@ def erlang_wait(rho: Column, c: Column, mu: Column) -> Column:
 
 
 def forecast_wait(rho, c, mu, naive_wait) -> Column:
-    return F.greatest(erlang_wait(rho, c, mu), naive_wait)
+    mean = erlang_wait(rho, c, mu)
+    return F.when(mean.isNotNull(), F.greatest(mean, naive_wait))
 
 
 def required_servers(lam: Column, mu: Column, target_s: Column, max_servers=16) -> Column:
