@@ -10,7 +10,7 @@ from aislemetry.operators.zones import zone_of
 from aislemetry.plans import reports as R
 from aislemetry.plans import scoring as SC
 from aislemetry.plans.registry import query
-from aislemetry.plans.views import HOMOGRAPHY, ZONES
+from aislemetry.plans.views import HOMOGRAPHY, ZONES, frame_run
 
 
 def clip_sql(source, k="v_clip"):
@@ -231,7 +231,7 @@ def trk(v):
                             (F.col("l_suppkey") % 5 + 1).cast("int"))
     u, w = (F.col("p") % 640).cast("double"), (F.col("p") * 7 % 480).cast("double")
     return g.select(
-        F.lit("run-0").alias("run_id"), F.lit("overhead").alias("stream"), F.col("l_orderkey").alias("frame_id"),
+        frame_run("l_orderkey").alias("run_id"), F.lit("overhead").alias("stream"), F.col("l_orderkey").alias("frame_id"),
         F.col("l_suppkey").alias("track_id"), u.alias("u"), w.alias("v"), (F.col("p") % 5 == 0).alias("still"),
         (F.col("p") % 97).cast("double").alias("travelled"), zone.alias("zone"),
         (u - 10).alias("x"), (w - 40).alias("y"), F.lit(20.0).alias("w"), F.lit(40.0).alias("h"))

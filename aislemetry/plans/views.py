@@ -28,6 +28,11 @@ EMPTY_BELOW, LOW_BELOW = 40, 70
 VISIT_DEBOUNCE, VISIT_MIN = 21600.0, 43200.0
 
 
+def frame_run(frame):
+    """A run of frames: the driver's frame numbers all lie in the first billion."""
+    return F.concat(F.lit("run-"), F.floor(F.col(frame) / 1000000000).cast("string"))
+
+
 class Views:
     """Lazy DataFrames over one folder of driver tables."""
 
@@ -146,8 +151,9 @@ class Views:
 
     @cached_property
     def point(self):
+        camera = F.when(F.col("track_id") >= 0, "overhead").otherwise("shelf")
         return self.ev.select(
-            "run_id", F.lit("overhead").alias("stream"), "track_id", "t",
+            "run_id", camera.alias("stream"), "track_id", "t",
             F.col("event_id").alias("seq"),
             (F.col("event_id") * 37 % 640).cast("double").alias("u"),
             (F.col("event_id") * 53 % 480).cast("double").alias("v"))
@@ -172,7 +178,7 @@ class Views:
     def box(self):
         """Raw boxes, about four per frame, before the per-frame slot limit."""
         return self.table("lineitem").select(
-            F.lit("run-0").alias("run_id"), F.lit("overhead").alias("stream"),
+            frame_run("l_orderkey").alias("run_id"), F.lit("overhead").alias("stream"),
             F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("line"),
             (F.col("l_partkey") % 600).cast("double").alias("x"),
             (F.col("l_suppkey") % 440).cast("double").alias("y"),
