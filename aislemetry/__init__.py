@@ -1 +1,8 @@
 """Store-operations analytics over camera-derived event tables, on Spark."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their task, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
