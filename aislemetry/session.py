@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_OWN_DIR: list[str] = []       # one temporary folder where no shared one is named
+
+
 def get_spark(app="aislemetry", master=None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
@@ -36,8 +39,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="aislemetry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="aislemetry-"))
+        root = _OWN_DIR[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
