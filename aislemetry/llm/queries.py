@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislemetry.llm import compression, orderminhash
+from aislemetry.llm import compression, orderminhash, pii
 from aislemetry.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands)}
+def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii)}
 ORACLES: dict[str, str] = {}
