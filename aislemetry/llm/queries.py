@@ -2,11 +2,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aislemetry.llm import compression, orderminhash, pii
+from aislemetry.llm import bpe, compression, mixing, orderminhash, pii
 from aislemetry.llm.common import table
 
 
+def tokenizer_file(name="word_bpe_49k.json") -> str:
+    """A file of the public tokenizer collection that is installed beside Spark."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least doc_id of the near-duplicate class), n_links (linked different texts)."""
     return orderminhash.label_documents(table(spark, sf_dir, "documents"), keep=("doc_id",))
@@ -20,5 +27,16 @@ def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii)}
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, one posterior per domain, rate, copies."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", *[F.element_at("p", d + 1).alias(f"p_{name}") for d, name in enumerate(
+        mixing.DOMAINS)], "rate", "copies")
+
+
+def op8_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe)}
 ORACLES: dict[str, str] = {}
