@@ -36,7 +36,7 @@ from aislemetry.llm.common import field_name
 
 CACHE = 200_000             # words per cache of a worker; a full cache starts anew
 END = "</w>"
-_BLANK = regex.compile(r"\s+")
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -119,18 +119,22 @@ def lookahead(pairs: list[tuple[str, str]]) -> int:
     return most + longest
 
 
+_NONE = (1 << 60, "")
+
+
 def merge(symbols: list[str], ranks) -> list[str]:
     """Tokens of a complete run of symbols: least rank first, leftmost first."""
-    if len(symbols) < 24:
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k, pair in enumerate(zip(symbols, symbols[1:])):
-                hit = ranks.get(pair)
-                if hit is not None and (best is None or hit[0] < best[0]):
-                    best, at = hit, k
-            if best is None:
-                break
-            symbols[at:at + 2] = [best[1]]
+    if len(symbols) < 40:
+        symbols = list(symbols)
+        hits = [ranks.get(pair, _NONE) for pair in zip(symbols, symbols[1:])]
+        while hits and (best := min(hits)) is not _NONE:
+            k = hits.index(best)
+            symbols[k:k + 2] = [best[1]]
+            del hits[k]
+            if k:
+                hits[k - 1] = ranks.get((symbols[k - 1], best[1]), _NONE)
+            if k < len(hits):
+                hits[k] = ranks.get((best[1], symbols[k + 1]), _NONE)
         return symbols
     n = len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -206,7 +210,7 @@ class Encoder:
     def __init__(self, tables: Tables):
         self.t = tables
         self.symbols = byte_symbols()
-        self.word, self.lower = unicode_rules()
+        self.rules = None               # made at the first text that needs them
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(
             tables.special, key=len, reverse=True))) + ")") if tables.special else None
         self.words = _Cache(self._word)
@@ -227,9 +231,14 @@ class Encoder:
             if part in self.t.special:
                 yield part, []
             elif part:
-                plain = _BLANK.sub(" ", unicodedata.normalize("NFC", part))
-                plain = (plain if plain.isascii() else plain.translate(self.lower)).lower()
-                yield None, self.word.findall(plain)
+                # Blanks only part words, so how many there are does not matter. Lower-casing is per character: a
+                # final sigma is no special case.
+                plain = unicodedata.normalize("NFC", part)
+                if plain.isascii() or all(unicodedata.category(c) != "Cn" for c in set(plain)):
+                    yield None, _WORD.findall(plain.replace("Σ", "σ").lower())
+                else:
+                    self.rules = self.rules or unicode_rules()
+                    yield None, self.rules[0].findall(plain.translate(self.rules[1]).lower())
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the tokens joined by spaces."""
