@@ -5,8 +5,6 @@ A null text counts as the empty text.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def sampled(rows: DataFrame, key, size: int) -> DataFrame:
+    """At most `size` rows, picked by a hash of `key`; all of them where there are no more."""
+    n = rows.count()
+    share = min(1.0, size / max(n, 1))
+    picked = rows if share == 1.0 else rows.where(
+        F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return picked.limit(size)
+
+
 def field_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` does not have yet."""
     while wanted.lower() in {c.lower() for c in df.columns}:
@@ -106,8 +113,8 @@ def per_row(counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a slice: first byte, end, row and hash of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed=True):
-        inside = ~SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, blank=SPACE):
+        inside = ~blank[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -117,7 +124,7 @@ class Words:
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.rows = len(offsets) - 1
         self.count = np.bincount(self.row, minlength=self.rows)
-        self.hash = segment_hashes(data, self.start, inside) if hashed else None
+        self.hash = segment_hashes(data, self.start, inside)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words inside one row."""
@@ -137,10 +144,3 @@ def crc_rest(doc_id, base: int):
     """crc32 of the id as text, modulo `base`; what splits learning rows from held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(base)
 
-
-def ddl(df: DataFrame, *more: str) -> str:
-    """Schema text of a frame followed by more columns."""
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
-
-
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")

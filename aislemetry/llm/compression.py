@@ -48,7 +48,7 @@ def _ratios(packer, text: bytes) -> tuple[float, float, float, int, int]:
     return whole, low[0], high[0], low[1], high[1]
 
 
-def _repeated_words(words: Words) -> np.ndarray:
+def repeated_words(words: Words) -> np.ndarray:
     at, key = words.windows(WINDOW)
     if not len(at):
         return np.zeros(words.rows, np.int64)
@@ -61,7 +61,7 @@ def _repeated_words(words: Words) -> np.ndarray:
     return np.bincount(words.row[np.cumsum(edge[:-1]) > 0], minlength=words.rows)
 
 
-def _repeated_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
+def repeated_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
     breaks = data == 10
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
@@ -90,7 +90,7 @@ def _measured(batches, level, bands):
             inside = words.inside
             chars = per_row(inside & ((data & 0xC0) != 0x80), offsets)
             symbols = per_row(_SYMBOL[data], offsets)
-            lines, repeats = _repeated_lines(data, offsets, words), _repeated_words(words)
+            lines, repeats = repeated_lines(data, offsets, words), repeated_words(words)
             raw = data.tobytes()
             ratio = np.full((words.rows, 3), np.nan)
             sizes = np.ones((words.rows, 2), np.int64)

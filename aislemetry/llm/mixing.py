@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislemetry.llm.common import field_name
+from aislemetry.llm.common import field_name, sampled
 from aislemetry.session import cut
 
 DOMAINS = ("poor", "poor_toxic", "good", "good_toxic")        # index: 2 * quality + toxic
@@ -82,10 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
     usable = labels.select(F.col("doc_id").cast("long").alias("__id"),
                            (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain")) \
         .where("__id is not null and domain between 0 and 3")
-    n = usable.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = usable.where(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1_000_000)) < math.floor(share * 1_000_000)) \
-        .limit(sample)
+    picked = sampled(usable, F.col("__id"), sample)
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"),
                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")) \
         .join(F.broadcast(picked), "__id").drop("__id")

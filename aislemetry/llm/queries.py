@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetry.llm import bpe, compression, mixing, orderminhash, pii
+from aislemetry.llm import bpe, compression, digest, mixing, orderminhash, pii, quality
 from aislemetry.llm.common import table
 
 
@@ -38,5 +38,13 @@ def op8_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe)}
+def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe, op1_quartile_digest, op2_fourier_quality)}
 ORACLES: dict[str, str] = {}
