@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetry.llm import bpe, compression, digest, mixing, orderminhash, pii, quality
+from aislemetry.llm import bpe, compression, digest, langid, mixing, orderminhash, pii, quality, token_rollup, toxicity
 from aislemetry.llm.common import table
+from aislemetry.session import shared_dir
 
 
 def tokenizer_file(name="word_bpe_49k.json") -> str:
@@ -46,5 +47,42 @@ def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe, op1_quartile_digest, op2_fourier_quality)}
-ORACLES: dict[str, str] = {}
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_family_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, one of them committed twice.
+
+    All documents come in under words-1; those outside English are re-tokenised; labelled toxic ones are deleted.
+    """
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(toxic, "doc_id", "left_semi")
+    ledger = token_rollup.Ledger(spark, shared_dir(spark, "rollup"))
+    foreign = "coalesce(lang, '') <> 'en'"
+    ledger.commit("insert", token_rollup.counts(docs, "words-1"))
+    ledger.commit("revise", token_rollup.revised(docs.where(foreign), "words-1", "pieces-2"))
+    ledger.commit("delete-new", token_rollup.counts(gone.where(foreign), "pieces-2", -1))
+    ledger.commit("delete-old", token_rollup.counts(gone.where(f"not ({foreign})"), "words-1", -1))
+    ledger.commit("revise", token_rollup.revised(docs.where(foreign), "words-1", "pieces-2"))
+    return ledger.totals(["insert", "revise", "delete-new", "delete-old"])
+
+
+QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe, op1_quartile_digest, op2_fourier_quality,
+                                 op3_toxic_segments, op5_family_langid, op6_token_rollup)}
+ORACLES: dict[str, str] = {"op6_token_rollup": r"""
+with kept as (
+    select d.source, d.lang, case when coalesce(d.lang, '') <> 'en' then 'pieces-2' else 'words-1' end as version,
+           coalesce(d.text, '') as text
+    from documents d
+    where d.doc_id is null or d.doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null))
+select source, lang, version, count(*) as n_docs,
+       cast(sum(case version
+           when 'words-1' then len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+           else len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) end) as bigint) as n_tokens
+from kept group by all"""}
