@@ -33,7 +33,7 @@ TARGET = {"poor": 0.02, "poor_toxic": 0.01, "good": 0.95, "good_toxic": 0.02}
 SAMPLE = 20_000             # labelled documents that the classifier is fitted on, at most
 LEXICON = 64                # words that tell toxic from other labelled documents
 GRID = 64
-STEPS = 60
+STEPS = 40
 RIDGE = 1e-4
 TOLERANCE = 1e-5
 
@@ -43,35 +43,42 @@ EDGES = {
     "word_length": [3.5, 4.5, 5.5, 6.5, 8.0, 10.0],
     "distinct": [0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8],
     "symbols": [0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.2],
-    "capitals": [0.005, 0.02, 0.05, 0.1, 0.3, 0.5],
     "told": [0.5, 1.5, 2.5, 4.5],
 }
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SYMBOLS = "#*$%&|<>!"
-
-
-def with_statistics(docs: DataFrame, text: str, lexicon: list[str]) -> DataFrame:
-    """`docs` with a struct column `stat` and the word count `stat.words`."""
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    # One kind of blank, then plain words: both run inside generated code.
-    out = docs.withColumn("__body", F.translate(body, "\t\n\x0b\f\r", "     ")).withColumn(
-        "__words", F.array_remove(F.split("__body", " "), ""))
-    words, n = F.size("__words"), F.greatest(F.size("__words"), F.lit(1))
-    chars = F.greatest(F.length("__body"), F.lit(1))
-    told = (F.size(F.array_intersect(F.split(F.lower("__body"), " "), F.lit(lexicon))) if lexicon else F.lit(0))
-    return out.withColumn("stat", F.struct(
-        words.cast("long").alias("words"),
-        F.log1p(words.cast("double")).alias("log_words"),
-        (F.length(F.translate("__body", " ", "")) / n).alias("word_length"),
-        (F.size(F.array_distinct("__words")) / n).alias("distinct"),
-        ((F.length("__body") - F.length(F.translate("__body", _SYMBOLS, ""))) / chars).alias("symbols"),
-        ((F.length("__body") - F.length(F.translate("__body", _CAPITALS, ""))) / chars).alias("capitals"),
-        told.cast("double").alias("told"))).drop("__body", "__words")
-
-
-def _bin(name: str) -> Column:
-    value = F.col(f"stat.{name}")
-    return sum(((value >= edge).cast("int") for edge in EDGES[name]), F.lit(0))
+_SYMBOLS = "[#*$%&|<>!]"
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda's variable is never expanded by the optimiser."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def statistics(text: Column, lexicon: list[str]) -> Column:
+    """Struct of the document statistics and the word count `words`."""
+    body = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\n"), F.lit(" "))
+
+    def of(x: Column) -> Column:
+        body, split = x["body"], x["split"]
+        gaps = F.size(split) - 1
+        split = F.array_remove(split, "")
+        chars = F.length(body)
+        symbols = chars - F.length(F.regexp_replace(body, _SYMBOLS, ""))
+        told = F.size(F.array_intersect(split, F.lit(lexicon))) if lexicon else F.lit(0)
+
+        def counted(w: Column) -> Column:
+            words, n = w["n"], F.greatest(w["n"], F.lit(1))
+            return F.struct(
+                words.cast("long").alias("words"), F.log1p(words.cast("double")).alias("log_words"),
+                ((chars - gaps) / n).alias("word_length"), (w["distinct"] / n).alias("distinct"),
+                (symbols / F.greatest(chars, F.lit(1))).alias("symbols"), told.cast("double").alias("told"))
+
+        return bound(F.struct(F.size(split).alias("n"), F.size(F.array_distinct(split)).alias("distinct")), counted)
+
+    return bound(body, lambda b: bound(F.struct(b.alias("body"), F.split(b, "[ \t]").alias("split")), of))
+
+
+def _bin(stat: Column, name: str) -> Column:
+    return sum(((stat[name] >= edge).cast("int") for edge in EDGES[name]), F.lit(0))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, sample: int) -> DataFrame:
@@ -93,7 +100,7 @@ def lexicon_of(labelled: DataFrame, size: int) -> list[str]:
     totals = labelled.agg(F.count_if(F.expr("domain in (1, 3)")).alias("t"), F.count_if(F.expr("domain in (0, 2)")).alias("o")).first()
     if not totals["t"]:
         return []
-    seen = (labelled.select("domain", F.explode(F.array_distinct(F.split(F.lower("body"), " "))).alias("word"))
+    seen = (labelled.select("domain", F.explode(F.array_distinct(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), "[ \t]"))).alias("word"))
             .where("word <> ''").groupBy("word")
             .agg(F.count_if(F.expr("domain in (1, 3)")).alias("t"), F.count_if(F.expr("domain in (0, 2)")).alias("o")).where("t >= 3"))
     odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("o") + 0.5) / (totals["o"] + 1))
@@ -105,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", sample
     """Lexicon, log priors and log likelihood tables; the driver gets one count per statistic, bin and domain."""
     labelled = cut(labelled_sample(docs, labels, text, doc_id, sample))
     told = lexicon_of(labelled, lexicon)
-    stats = with_statistics(labelled, "body", told)
-    seen = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), _bin(f).alias("bin")) for f in EDGES], F.struct(
-        F.lit("").alias("f"), F.lit(0).alias("bin"))))
-    rows = stats.select("domain", seen.alias("x")).groupBy("domain", "x.f", "x.bin").count().collect()
+    seen = bound(statistics(F.col("body"), told), lambda s: F.array(
+        *[F.struct(F.lit(f).alias("f"), _bin(s, f).alias("bin")) for f in EDGES],
+        F.struct(F.lit("").alias("f"), F.lit(0).alias("bin"))))
+    rows = labelled.select("domain", F.explode(seen).alias("x")).groupBy("domain", "x.f", "x.bin").count().collect()
     n = {d: 1.0 for d in range(len(DOMAINS))}
     n.update({r["domain"]: r["count"] + 1.0 for r in rows if r["f"] == ""})
     table = {f: [[0.5] * (len(edges) + 1) for _ in DOMAINS] for f, edges in EDGES.items()}
@@ -119,20 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", sample
     return {"lexicon": told, "prior": [math.log(n[d] / sum(n.values())) for d in range(len(DOMAINS))], "logs": logs}
 
 
-def with_posteriors(docs: DataFrame, model: dict, text="text", grid=GRID) -> DataFrame:
-    """`docs` with `n_tokens` and `p`, the array of posteriors in multiples of 1 / grid that add up to 1."""
-    out = with_statistics(docs, text, model["lexicon"]).withColumn("n_tokens", F.col("stat.words"))
-    out = out.withColumn("__bins", F.struct(*[_bin(f).alias(f) for f in EDGES]))
-    scores = [sum((F.element_at(F.lit(model["logs"][f][d]), F.col(f"__bins.{f}") + 1) for f in EDGES),
-                  F.lit(model["prior"][d])) for d in range(len(DOMAINS))]
-    out = out.withColumn("__s", F.array(*scores)).withColumn("__top", F.array_max("__s"))
-    out = out.withColumn("__e", F.transform("__s", lambda s: F.exp(s - F.col("__top"))))
-    total = sum((F.element_at("__e", d + 1) for d in range(len(DOMAINS))), F.lit(0.0))
-    out = out.withColumn("__q", F.transform("__e", lambda e: F.floor(e / total * grid)))
-    rest = F.lit(grid) - sum((F.element_at("__q", d + 1) for d in range(len(DOMAINS))), F.lit(0))
-    best = F.array_position("__e", F.lit(1.0))
-    out = out.withColumn("p", F.transform("__q", lambda q, k: (q + F.when(k + 1 == best, rest).otherwise(0)) / grid))
-    return out.drop("stat", "__bins", "__s", "__top", "__e", "__q")
+def membership(text: Column, model: dict, grid=GRID) -> Column:
+    """Struct of n_tokens and p, the posteriors in multiples of 1 / grid that add up to 1."""
+    domains = range(len(DOMAINS))
+
+    def likelihoods(stat: Column) -> Column:
+        return F.array(*[sum((F.element_at(F.lit(model["logs"][f][d]), _bin(stat, f) + 1) for f in EDGES),
+                             F.lit(model["prior"][d])) for d in domains])
+
+    def normal(log: Column) -> Column:
+        return bound(F.transform(log, lambda s: F.exp(s - F.array_max(log))), lambda e: bound(
+            F.transform(e, lambda x: F.floor(x / sum((F.element_at(e, d + 1) for d in domains), F.lit(0.0)) * grid)),
+            lambda q: F.transform(q, lambda x, k: (x + F.when(
+                k + 1 == F.array_position(e, F.lit(1.0)),
+                grid - sum((F.element_at(q, d + 1) for d in domains), F.lit(0))).otherwise(0)) / grid)))
+
+    return bound(statistics(text, model["lexicon"]), lambda s: F.struct(
+        s["words"].alias("n_tokens"), bound(likelihoods(s), normal).alias("p")))
 
 
 def rate(steps: list[tuple[list[float], float]], p: Column, ridge: float, momentum=False) -> Column:
@@ -175,16 +185,25 @@ def solve(documents: DataFrame, target: dict, steps=STEPS, ridge=RIDGE, toleranc
 
 
 def mix(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target=None, sample=SAMPLE,
-        ridge=RIDGE) -> DataFrame:
-    """All rows of `docs` with n_tokens, p (posterior by `DOMAINS`), rate and copies."""
-    own = docs.drop("n_tokens", "p", "rate", "copies", "stat")
+        ridge=RIDGE, keep=None) -> DataFrame:
+    """The `keep` columns (default: all) of every row with n_tokens, p (posterior by `DOMAINS`), rate and copies.
+
+    Memberships are computed once and written to reliable storage with the kept columns; the steps of the fit and the
+    result read that.
+    """
+    own = docs.drop("n_tokens", "p", "rate", "copies")
     model = fit(own, labels, text, doc_id, sample)
-    scored = with_posteriors(own, model, text)
-    # The slim table is written once; what is read again per step is its sums only.
-    path = solve(scored.select("p", "n_tokens"), target or TARGET, ridge=ridge)
+    kept = [c for c in (keep or own.columns) if c in own.columns]
+    member, chance = field_name(own, "__member"), field_name(own, "__chance")
     draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 30)) / float(1 << 30)
-    return scored.withColumn("rate", rate(path, F.col("p"), ridge)).withColumn(
-        "copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    scored = cut(own.select(*[F.col(f"`{c}`") for c in kept], draw.alias(chance),
+                            membership(F.col(f"`{text}`"), model).alias(member)))
+    path = solve(scored.select(F.col(member)["p"].alias("p"), F.col(member)["n_tokens"].alias("n_tokens")),
+                 target or TARGET, ridge=ridge)
+    fitted = scored.select(*[F.col(f"`{c}`") for c in kept], F.col(member)["n_tokens"].alias("n_tokens"),
+                           F.col(member)["p"].alias("p"), rate(path, F.col(member)["p"], ridge).alias("rate"), chance)
+    return fitted.withColumn("copies", (F.floor("rate") + (F.col(chance) < F.col("rate") - F.floor("rate")).cast(
+        "long")).cast("long")).drop(chance)
 
 
 def apply(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target=None, **options) -> DataFrame:
@@ -192,6 +211,6 @@ def apply(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", targ
     inner = field_name(docs, "__row")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(inner),
                          F.col(f"`{text}`").alias("__text"), F.col(f"`{doc_id}`").alias("__doc"))
-    mixed = mix(packed, labels, "__text", "__doc", target, **options)
+    mixed = mix(packed, labels, "__text", "__doc", target, keep=(inner,), **options)
     taken = mixed.where("copies > 0").select(inner, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*[F.col(inner).getField(c).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ def tokenizer_file(name="word_bpe_49k.json") -> str:
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (least doc_id of the near-duplicate class), n_links (linked different texts)."""
+    """doc_id and class_id, the least doc_id of the near-duplicate class."""
     return orderminhash.label_documents(table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
@@ -30,7 +30,7 @@ def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, one posterior per domain, rate, copies."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
     return mixed.select("doc_id", "n_tokens", *[F.element_at("p", d + 1).alias(f"p_{name}") for d, name in enumerate(
         mixing.DOMAINS)], "rate", "copies")
 
