@@ -30,7 +30,7 @@ from aislemetry.session import cut
 SAMPLE = 30_000             # labelled documents that are learnt from, at most
 PRIOR = 0.01                # pseudo-words, as a share of the counted words
 Z = 4.0
-SUPPORT = 0.01              # of the toxic texts hold a word of the table, three at least
+SUPPORT = 0.02              # of the toxic texts hold a word of the table, five at least
 TABLE = 4_096
 DRIFT = 0.35
 EXPECTED = 0.05
@@ -104,7 +104,7 @@ def learn_words(rows: DataFrame, table=TABLE) -> dict:
                 - F.log((F.col("o") + prior) / (total["o"] + pseudo - F.col("o") - prior)))
     spread = F.sqrt(1 / (F.col("t") + prior + 0.5) + 1 / (F.col("o") + prior + 0.5))
     texts = rows.where("y > 0").count()
-    best = (counts.where(F.col("t") >= max(3, math.ceil(SUPPORT * texts))).select("word", "o", log_odds.alias("v"), (log_odds / spread).alias("z"))
+    best = (counts.where(F.col("t") >= max(5, math.ceil(SUPPORT * texts))).select("word", "o", log_odds.alias("v"), (log_odds / spread).alias("z"))
             .where((F.col("z") > Z) & (F.col("v") > 0.7)).orderBy(F.desc("z"), "word").limit(table).collect())
     best.sort(key=lambda r: r["word"])
     return {"words": np.array([r["word"] for r in best], np.int64), "values": np.array([r["v"] for r in best]),
