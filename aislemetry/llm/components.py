@@ -31,13 +31,17 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     """(node, component) for every node of an edge; the component is the least node id of its class.
 
     Each round is two joins and shrinks the classes' diameters geometrically, so rounds grow with the logarithm of
-    the longest chain. Every round is cut with a reliable checkpoint and compared by a digest of its edges.
+    the longest chain. Every round is cut with a reliable checkpoint and compared by a digest of its edges; classes
+    found earlier, given as (node, component) edges, are already at the fixed point and cost one round.
     """
-    now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    digest = None
-    while True:
+    def digested(rows: DataFrame):
+        return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    digest = digested(now)
+    while digest[0]:
         now = cut(_star(_star(now, True), False))
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = digested(now)
         if seen == digest:
             break
         digest = seen

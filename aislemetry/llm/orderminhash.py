@@ -244,16 +244,23 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text", similarity=SIMILARITY
         label, tried = None, pairs
         for turn in range(ROUNDS):
             fresh = cut(_centre_pairs(many, label, turn).join(tried, ["a", "b"], "left_anti"))
-            found = cut(found.unionByName(links(fresh, distinct, similarity)))
+            found = _known(label, found).unionByName(links(fresh, distinct, similarity))
             tried = tried.unionByName(fresh)
             label = components(found)
         rest = cut(_apart(many, label, groups.select("rep", "sketch"), bands, rows).join(tried, ["a", "b"], "left_anti"))
-        found = cut(found.unionByName(links(rest, distinct, similarity)))
+        found = _known(label, found).unionByName(links(rest, distinct, similarity))
     label = components(found)
     return (groups.drop("buckets", "sketch").join(label, groups["rep"] == label["node"], "left").drop("node")
             .withColumn("class_id", F.coalesce("component", "rep")).drop("component"))
 
 
+def _known(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Edges that stand for all links so far: the classes once there are any, else the links themselves."""
+    if label is None:
+        return found
+    return label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _labels(many: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
         return many.withColumn("component", F.col("rep"))
