@@ -3,9 +3,9 @@
 A window over `partitionBy(key)` puts a whole key in one task. Here each key's
 timeline is cut into chunks of bounded row count when a key is measured to be
 too big: windows run per (key, chunk), one summary row per chunk is scanned per
-key, and the carried value is joined back to its chunk. All keys must be
-non-null and `order` is a list of non-null ascending columns whose first entry
-is the time column.
+key, and the carried value is joined back to its chunk. A NULL key is a key like
+any other. `order` is a list of ascending columns whose first entry is the time
+column; rows without a time come first.
 """
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "__chunk"
+PART = "__part"            # struct of keys and chunk: unlike plain columns it compares NULL fields as equal
 TARGET_ROWS = 500_000
 
 
@@ -270,23 +271,24 @@ def scan(df: DataFrame, keys, order, specs: dict[str, Spec], chunk_s=None) -> Da
         return df.withColumns(out)
 
     stamp = F.struct(*order)
-    cut_df = df.withColumn(CHUNK, F.floor(F.col(order[0]) / float(chunk_s)).cast("bigint"))
+    chunk = F.floor(F.col(order[0]) / float(chunk_s)).cast("bigint").alias(CHUNK)
     # One explicit exchange feeds both the windows and the summary, so what lies
     # upstream runs once however many scans are stacked.
-    cut_df = cut_df.repartition(*keys, CHUNK)
-    w = Window.partitionBy(*keys, CHUNK)
+    cut_df = df.withColumn(PART, F.struct(*keys, chunk)).repartition(PART)
+    w = Window.partitionBy(PART)
     asc, desc = w.orderBy(*ascending), w.orderBy(*descending)
     local = cut_df.withColumns({f"__l_{n}": s.local(asc, desc) for n, s in specs.items()})
 
     # Only a Tail summarises its own local column; the rest summarise raw rows.
     base = local if any(isinstance(s, Tail) for s in specs.values()) else cut_df
-    summary = base.groupBy(*keys, CHUNK).agg(
+    summary = base.groupBy(PART).agg(
         *[s.summary(stamp, f"__l_{n}").alias(f"__c_{n}") for n, s in specs.items()])
-    k = Window.partitionBy(*keys)
-    kasc, kdesc = k.orderBy(F.col(CHUNK).asc()), k.orderBy(F.col(CHUNK).desc())
-    carried = summary.select(*keys, CHUNK, *[
+    k = Window.partitionBy(*[F.col(PART)[c] for c in keys])
+    at = F.col(PART)[CHUNK]
+    kasc, kdesc = k.orderBy(at.asc()), k.orderBy(at.desc())
+    carried = summary.select(PART, *[
         s.carry(kasc, kdesc, f"__c_{n}").alias(f"__k_{n}") for n, s in specs.items()])
-    joined = local.join(carried, [*keys, CHUNK], "left")
+    joined = local.join(carried, PART, "left")
     return joined.select(*df.columns, *[
         s.final(s.merge(F.col(f"__l_{n}"), F.col(f"__k_{n}"))).alias(n)
         for n, s in specs.items()])
@@ -316,7 +318,8 @@ def _fold(df, keys, order, chunk_s, walker, out_schema, report, chainer, entry_t
         make(parts), T.StructType([*head, *summary]))
     entries = _spread(reports, keys, parts).mapInPandas(
         chainer(keys), T.StructType([*head, T.StructField("__entry", entry_type)]))
-    ready = rows.join(entries, parts)
+    entries = entries.select(F.struct(*parts).alias(PART), "__entry")
+    ready = rows.withColumn(PART, F.struct(*parts)).join(entries, PART).drop(PART)
     wide = T.StructType([*ready.schema.fields,
                          *[f for f in out_schema.fields if f.name not in ready.columns]])
     return _spread(ready, parts, [*parts, *order]).mapInPandas(
@@ -419,8 +422,9 @@ def _groups(batches, keys):
         if n == 0:
             continue
         if keys:
-            ids = pdf[keys]
-            new = (ids != ids.shift()).any(axis=1).to_numpy()
+            ids = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+            last = ids.shift()
+            new = ((ids != last) & ~(ids.isna() & last.isna())).any(axis=1).to_numpy()
             new[0] = before is None or tuple(ids.iloc[0]) != before
             before = tuple(ids.iloc[-1])
         else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from aislemetry.functions import geometry as G
 from aislemetry.functions import queueing as Q
 from aislemetry.operators.ordered import (First, LastValid, Next, NextValid, Prev, RunMin, RunSum,
-                                          Tail, WholeMax, ema, resolve, scan, throttle)
+                                          Tail, WholeMax, WholeSum, ema, resolve, scan, throttle)
 
 ORDER = ("t", "seq")
 
@@ -351,39 +351,47 @@ def staffing_alerts(entries, probes, counters=2, service_s=45.0, target_wait_s=1
                     F.round("__a.projected_wait_s", 0).alias("projected_wait_s"))
 
 
+def _power_factor(alpha, beta, k):
+    """p(k) with M^k = p(k) M - det(M) p(k - 1) I, for the smoothing step's matrix M and k >= 1."""
+    import math
+    trace, det = 2 - alpha - alpha * beta, 1 - alpha
+    spread = trace * trace - 4 * det
+    if abs(spread) < 1e-12:
+        return k * F.pow(F.lit(trace / 2), k - 1)
+    if spread < 0:
+        angle = math.acos(trace / (2 * math.sqrt(det)))
+        return F.pow(F.lit(math.sqrt(det)), k - 1) * F.sin(k * angle) / math.sin(angle)
+    high, low = (trace + math.sqrt(spread)) / 2, (trace - math.sqrt(spread)) / 2
+    return (F.pow(F.lit(high), k) - F.pow(F.lit(low), k)) / (high - low)
+
+
 def holt(series: DataFrame, keys=("run_id",), order="bucket", value="value", alpha=0.3, beta=0.1,
-         horizon=1) -> DataFrame:
+         horizon=1, chunk_s="auto") -> DataFrame:
     """Level, trend and forecast of each key's series by linear double smoothing.
 
-    The recursion forgets geometrically, so only the newest values are folded:
-    older ones weigh less than one part in 2^60.
+    The step is linear, state' = M state + value * gain, so the final state is a sum over all values, each weighted
+    by a power of M that only depends on its age: ranks by a balanced scan, then one ordinary aggregate.
     """
-    import math
-
-    import numpy as np
-    step = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
-    radius = max(abs(np.linalg.eigvals(step)))
-    if radius >= 1:
-        raise ValueError("smoothing factors must make the recursion converge")
-    depth = max(8, 2 * math.ceil(60 * math.log(2) / -math.log(radius)))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    recent = (series.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= depth)
-              .groupBy(*keys).agg(F.transform(
-                  F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))),
-                  lambda s: s["v"]).alias("__v")))
-    first = F.element_at("__v", 1)
-    trend = F.when(F.size("__v") > 1, F.try_element_at("__v", F.lit(2)) - first).otherwise(0.0)
-
-    def update(acc, v):
-        level = v * alpha + (acc["level"] + acc["trend"]) * (1 - alpha)
-        return F.struct(level.alias("level"),
-                        ((level - acc["level"]) * beta + acc["trend"] * (1 - beta)).alias("trend"))
-
-    state = F.aggregate(F.slice("__v", 2, F.size("__v")),
-                        F.struct(first.alias("level"), trend.alias("trend")), update)
-    return (recent.withColumn("__s", state)
-            .select(*keys, F.col("__s.level").alias("level"), F.col("__s.trend").alias("trend"))
+    keys = list(keys)
+    det = 1 - alpha
+    move = ((1 - alpha, 1 - alpha), (-alpha * beta, 1 - alpha * beta))
+    rows = series.select(*keys, F.col(order).cast("double").alias("__at"), F.col(value).cast("double").alias("__v"))
+    rows = scan(rows, keys, ["__at"], {"__i": RunSum(F.lit(1)), "__n": WholeSum(F.lit(1))},
+                resolve(chunk_s, rows, keys, "__at"))
+    v, i, n = F.col("__v"), F.col("__i"), F.col("__n")
+
+    def aged(level, trend, age):
+        """(level, trend) after `age` further steps without input."""
+        p, q = _power_factor(alpha, beta, age), _power_factor(alpha, beta, age - 1)
+        return [F.when(age == 0, own).otherwise(p * (row[0] * level + row[1] * trend) - det * q * own)
+                for row, own in zip(move, (level, trend))]
+
+    # The series starts at its first value with the first difference as trend; later values enter through the gain.
+    start = aged(F.when(i == 1, v).otherwise(0.0),
+                 F.when(n == 1, 0.0).when(i == 1, -v).when(i == 2, v).otherwise(0.0), n - 1)
+    later = aged(v * alpha, v * (alpha * beta), n - i)
+    total = [F.sum(F.when(i <= 2, s).otherwise(0.0) + F.when(i >= 2, x).otherwise(0.0)) for s, x in zip(start, later)]
+    return (rows.groupBy(*keys).agg(total[0].alias("level"), total[1].alias("trend"))
             .withColumn("forecast", F.col("level") + F.col("trend") * horizon))
 
 

@@ -34,11 +34,14 @@ def get_spark(app="aislemetry", master=None, **conf) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's `spark.checkpoint.dir`.
 
-    A temporary folder is used only where that setting is absent, as in tests.
+    A temporary folder is used only where that setting is absent on a local master, as in tests. Elsewhere executors
+    would each write to a disk of their own, so the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="aislemetry-"))
         root = _OWN_DIR[0]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,19 +150,21 @@ def stream_one_incident(df: DataFrame, keys, key_ddl) -> DataFrame:
     return run_fold(df, keys, f"{key_ddl}, t double, seq bigint, kind string", p)
 
 
+# What a reading tells, by whether the facing was and is empty.
+_EDGES = {(False, True): ("start", "alert_out"), (True, False): ("end",)}
+# Statuses that set or clear the low-stock latch; others leave it.
+_LATCH = {"low": True, "normal": False}
+
+
 def incident_step(state, row):
-    """Stock-out edges and the low-stock latch of one facing."""
-    out_before, low_before = state
-    s = row["status"]
-    kinds = []
-    if s == "empty" and not out_before:
-        kinds += ["start", "alert_out"]
-    if s != "empty" and out_before:
-        kinds.append("end")
-    if s == "low" and not low_before:
+    """Stock-out edges and the low-stock latch of one facing: the pair of last and new status decides."""
+    status = _text(row["status"])
+    was_out, latched = state
+    now = (status == "empty", _LATCH.get(status, latched))
+    kinds = [*_EDGES.get((was_out, now[0]), ())]
+    if status == "low" and not latched:
         kinds.append("alert_low")
-    low = True if s == "low" else False if s == "normal" else low_before
-    return (s == "empty", low), [{"t": row["t"], "seq": row["seq"], "status": s, "kind": k} for k in kinds]
+    return now, [{"t": row["t"], "seq": row["seq"], "status": status, "kind": k} for k in kinds]
 
 
 def stream_shelf_incidents(status: DataFrame, keys=("run_id", "roi"),
@@ -173,32 +176,40 @@ def stream_shelf_incidents(status: DataFrame, keys=("run_id", "roi"),
 
 
 # --- crossings -----------------------------------------------------------------
+# Sign of the wire's own axis (first or second coordinate) that makes its positive side the inner one.
+_INNER = {"up": (0, -1), "down": (0, 1), "left": (1, 1), "right": (1, -1)}
+
+
 def crossing_step(band, debounce):
-    """Crossings of one track and wire; rows carry the wire's ends and in_dir."""
+    """Crossings of one track and wire; rows carry the wire's ends and in_dir.
+
+    A point is settled when it lies outside the band or on the side committed so far (any first point is); only
+    settled points move the state. A change of side is a crossing if the wire's ends lie on different sides of the
+    straight way from the last settled point.
+    """
+    def area(origin, to, point):
+        """Twice the signed area of a triangle; its sign is the side of origin -> to that the point is on."""
+        (du, dv), (pu, pv) = to - origin, point - origin
+        return du * pv - dv * pu
+
     def step(state, row):
-        side, au, av, fired = state
-        u, v = float(row["u"]), float(row["v"])
-        (x1, y1), (x2, y2) = row["q1"], row["q2"]
-        dx, dy = x2 - x1, y2 - y1
-        length = (dx * dx + dy * dy) ** 0.5
-        dist = (dx * (v - y1) - dy * (u - x1)) / length if length else 0.0
-        now = 1 if dist > 0 else -1
-        if side is None or now == side:
-            return (now, u, v, fired), []
-        if abs(dist) < band:
+        side, last_u, last_v, fired = state
+        t, p = float(row["t"]), np.array([row["u"], row["v"]], float)
+        ends = [np.array(row[q], float) for q in ("q1", "q2")]
+        axis = ends[1] - ends[0]
+        off = area(*ends, p) / (float(np.hypot(*axis)) or 1.0)
+        here = 1 if off > 0 else -1
+        if side not in (None, here) and abs(off) < band:
             return state, []
-        before = dx * (av - y1) - dy * (au - x1)
-        after = dx * (v - y1) - dy * (u - x1)
-        mu, mv = u - au, v - av
-        end1 = mu * (y1 - av) - mv * (x1 - au)
-        end2 = mu * (y2 - av) - mv * (x2 - au)
-        t = float(row["t"])
-        crosses = (before > 0) != (after > 0) and (end1 > 0) != (end2 > 0)
-        if not crosses or (fired is not None and t - fired < debounce):
-            return (now, u, v, fired), []
-        inward = {"up": -dx, "down": dx, "left": dy, "right": -dy}[row["in_dir"]] > 0
-        way = "in" if (after > 0) == inward else "out"
-        return (now, u, v, t), [{"t": t, "seq": row["seq"], "dir": way}]
+        settled = (here, float(p[0]), float(p[1]))
+        if side in (None, here) or (fired is not None and t - fired < debounce):
+            return (*settled, fired), []
+        last = np.array([last_u, last_v])
+        if len({bool(area(last, p, end) > 0) for end in ends}) == 1:
+            return (*settled, fired), []
+        k, sign = _INNER[row["in_dir"]]
+        way = "in" if (here > 0) == bool(sign * axis[k] > 0) else "out"
+        return (*settled, t), [{"t": t, "seq": row["seq"], "dir": way}]
     return step
 
 
@@ -216,32 +227,31 @@ def inventory_step(confirm=15, agreement=0.85):
     """Stock of one facing from readings and direct removals.
 
     Rows carry initial_stock and threshold, and either a status or a removal
-    quantity (manual correction or detected pick).
+    quantity (manual correction or detected pick). Stock only falls, so only empty
+    and low readings can argue for less; the window is a text of one mark per
+    reading, where a dot is a reading that argues for nothing. After a change of
+    stock all earlier readings are dots.
     """
-    def commit(stock, window, take, row):
-        take = min(take, stock)
-        if take <= 0:
-            return (stock, window), []
-        stock -= take
-        rule = ("stockout_detected" if stock == 0
-                else "low_stock_detected" if stock <= int(row["threshold"]) else None)
-        return (stock, [stock] * len(window)), [{"t": row["t"], "seq": row["seq"], "removed": take,
-                                                 "remaining": stock, "rule": rule}]
-
     def step(state, row):
-        init = int(row["initial_stock"])
-        stock = init if state[0] is None else state[0]
-        window = list(state[1] or [])
-        removed = row.get("removal")
-        if removed is not None and removed == removed and removed > 0:
-            return commit(stock, window, int(removed), row)
-        reading = {"empty": 0, "low": int(init * 0.3)}.get(row["status"], init)
-        window = (window + [reading])[-confirm:]
-        if len(window) == confirm:
-            best = max(set(window), key=window.count)
-            if window.count(best) / confirm >= agreement and best < stock:
-                return commit(stock, window, stock - best, row)
-        return (stock, window), []
+        full = int(row["initial_stock"])
+        stock, marks = (full, "") if state[0] is None else state
+        low = int(full * 0.3)
+        asked = row.get("removal")
+        if pd.notna(asked) and asked > 0:
+            level = stock - min(int(asked), stock)
+        else:
+            status = _text(row["status"])
+            mark = "e" if status == "empty" or (status == "low" and low == 0) else "l" if status == "low" else "."
+            marks = (marks + mark)[-confirm:]
+            agreed = [q for m, q in (("e", 0), ("l", low))
+                      if len(marks) == confirm and marks.count(m) >= confirm * agreement]
+            level = min([stock, *agreed])
+        if level == stock:
+            return (stock, marks), []
+        rule = "low_stock_detected" if level <= int(row["threshold"]) else None
+        return (level, "." * len(marks)), [{
+            "t": row["t"], "seq": row["seq"], "removed": stock - level, "remaining": level,
+            "rule": rule if level else "stockout_detected"}]
     return step
 
 
@@ -249,6 +259,6 @@ def stream_inventory(rows: DataFrame, confirm=15, agreement=0.85, keys=("run_id"
                      key_ddl="run_id string, roi string") -> DataFrame:
     """Streaming form of `sequence.inventory`, removals included."""
     cols = ["t", "seq", "removed", "remaining", "rule"]
-    p = Fold(inventory_step(confirm, agreement), "stock int, readings array<int>", (None, None),
+    p = Fold(inventory_step(confirm, agreement), "stock int, marks string", (None, None),
              [*keys, *cols], list(keys))
     return run_fold(rows, keys, f"{key_ddl}, t double, seq bigint, removed int, remaining int, rule string", p)

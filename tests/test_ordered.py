@@ -113,3 +113,24 @@ def test_overlap_matches_equals_brute_force(spark):
         spark.createDataFrame(seen, "clip string, seq int, t_enter double, t_exit double"), ["clip"])
     pairs = [(r.label_id, r.d_seq) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_null_keys_survive_chunks(spark):
+    """A NULL key is a key of its own in every form, whatever the chunk length."""
+    data = [(None if i % 3 == 0 else "a", float(i), i, float(i % 7)) for i in range(60)]
+    d = spark.createDataFrame(data, "k string, t double, seq bigint, v double")
+
+    def loop(step):
+        state, out = {}, {}
+        for k, t, s, x in data:
+            state[k], out[s] = step(state.get(k), t, x)
+        return out
+
+    for chunk in (None, 7.0, 25.0):
+        n = scan(d, ["k"], ["t", "seq"], {"n": RunSum(F.lit(1))}, chunk)
+        assert {r.seq: r.n for r in n.collect()} == loop(lambda s, t, x: ((s or 0) + 1, (s or 0) + 1))
+        e = {r.seq: r.e for r in ema(d, ["k"], ["t", "seq"], "v", 0.3, "e", chunk).collect()}
+        assert e == pytest.approx(loop(lambda s, t, x: (x if s is None else 0.3 * x + 0.7 * s,) * 2))
+        kept = loop(lambda s, t, x: (t, True) if s is None or t - s >= 5 else (s, False))
+        got = throttle(d, ["k"], ["t", "seq"], 5.0, chunk)
+        assert sorted(r.seq for r in got.collect()) == [s for s, yes in kept.items() if yes]

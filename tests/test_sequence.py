@@ -256,3 +256,17 @@ def test_queue_estimate_pads_and_smooths(spark):
 class tuple_of:
     def __init__(self, row):
         self.count, self.pred_wait_s = row["count"], row["pred_wait_s"]
+
+
+@pytest.mark.parametrize("alpha,beta", [(0.3, 0.1), (0.5, 0.9), (0.9, 0.01), (0.19, 0.0)])
+def test_holt_folds_every_value(spark, alpha, beta):
+    rng = random.Random(21)
+    values = [rng.uniform(0, 50) for _ in range(700)]
+    level, trend = values[0], values[1] - values[0]
+    for x in values[1:]:
+        before, level = level, alpha * x + (1 - alpha) * (level + trend)
+        trend = beta * (level - before) + (1 - beta) * trend
+    s = spark.createDataFrame([(None, i, x) for i, x in enumerate(values)], "run_id string, bucket int, value double")
+    for chunk in (None, 50.0):
+        r = S.holt(s, alpha=alpha, beta=beta, chunk_s=chunk).first()
+        assert (r.level, r.trend) == pytest.approx((level, trend), abs=1e-9)
