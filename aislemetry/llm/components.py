@@ -24,28 +24,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _open_nodes(edges: DataFrame) -> int:
+    """Nodes that keep (greater, lesser) edges from being stars around their least nodes."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(False).alias("met")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(True).alias("met")))).alias("end"))
+    nodes = ends.groupBy("end.node").agg(F.sum("end.points").alias("points"), F.max("end.met").alias("met"))
+    return nodes.agg(F.count_if(F.expr("points > 1 or (points = 1 and met)"))).first()[0]
 
 
 def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     """(node, component) for every node of an edge; the component is the least node id of its class.
 
     Each round is two joins and shrinks the classes' diameters geometrically, so rounds grow with the logarithm of
-    the longest chain. Every round is cut with a reliable checkpoint and compared by a digest of its edges; classes
-    found earlier, given as (node, component) edges, are already at the fixed point and cost one round.
+    the longest chain. Every round is cut with a reliable checkpoint. The rounds end when each node points at one
+    other node that itself points nowhere, which one aggregate over nodes tells; classes found earlier, given as
+    (node, component) edges, are in that state already.
     """
-    def digested(rows: DataFrame):
-        return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-
     now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    digest = digested(now)
-    while digest[0]:
-        now = cut(_star(_star(now, True), False))
-        seen = digested(now)
-        if seen == digest:
-            break
-        digest = seen
-    # At the fixed point every edge is (node, least node).
+    while _open_nodes(now):
+        now = cut(_star(_star(now, True), False).distinct())
+    # Every edge is (node, least node) now.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
