@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislemetry.session import cut
+
 SLICE_BYTES = 1 << 20       # text handled by one vectorised pass; a longer text is a slice of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -33,6 +35,12 @@ def sampled(rows: DataFrame, key, size: int) -> DataFrame:
     return picked.limit(size)
 
 
+def gathered(rows: DataFrame, per_task: int) -> DataFrame:
+    """`rows` in reliable storage, read by one task per `per_task` rows, so small tables make few shuffle files."""
+    kept = cut(rows)
+    return kept.coalesce(-(-kept.count() // per_task) or 1)
+
+
 def field_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` does not have yet."""
     while wanted.lower() in {c.lower() for c in df.columns}:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from aislemetry.session import cut
 
+EDGES = 50_000              # edges that one task reads, about
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point every node at the least node seen around it; `large` moves greater neighbours, else smaller ones.
@@ -27,13 +29,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b")
 
 
-def _open_nodes(edges: DataFrame) -> int:
-    """Nodes that keep (greater, lesser) edges from being stars around their least nodes."""
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Tasks for (greater, lesser) edges; nodes that keep them from being stars around their least nodes."""
     ends = edges.select(F.explode(F.array(
         F.struct(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(False).alias("met")),
         F.struct(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(True).alias("met")))).alias("end"))
     nodes = ends.groupBy("end.node").agg(F.sum("end.points").alias("points"), F.max("end.met").alias("met"))
-    return nodes.agg(F.count_if(F.expr("points > 1 or (points = 1 and met)"))).first()[0]
+    n, unsettled = nodes.agg(F.sum("points"), F.count_if(F.expr("points > 1 or (points = 1 and met)"))).first()
+    return -(-(n or 0) // EDGES) or 1, unsettled
 
 
 def components(edges: DataFrame, a="a", b="b") -> DataFrame:
@@ -45,8 +48,12 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     (node, component) edges, are in that state already.
     """
     now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    while _open_nodes(now):
-        now = cut(_star(_star(now, True), False).distinct())
+    tasks, unsettled = _state(now)
+    while unsettled:
+        large = _star(now.coalesce(tasks), True).coalesce(tasks)
+        now = cut(_star(large, False).coalesce(tasks).distinct())
+        tasks, unsettled = _state(now)
+    now = now.coalesce(tasks)
     # Every edge is (node, least node) now.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

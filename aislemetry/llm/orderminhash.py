@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetry.llm.common import Words, buffers, mix, seeds, slices, texts
+from aislemetry.llm.common import Words, buffers, gathered, mix, seeds, slices, texts
 from aislemetry.llm.components import components
 from aislemetry.session import cut
 
@@ -42,6 +42,7 @@ KEPT = 2                    # labelled shingles in one ordered pair
 SMALL = 8                   # bucket size up to which all pairs are taken
 CENTRES = 2                 # centres of a larger bucket in each round
 ROUNDS = 2
+WIDE, NARROW = 4_000, 20_000  # rows with texts or sketches, and rows of ids, that one task reads
 JOIN_ROWS = 200             # pairs of one text that one join key holds
 BLOCK = 64                  # members of a block, about
 AGREE = 0.45                # share of ordered pairs that a pair from blocks has in common
@@ -221,33 +222,35 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text", similarity=SIMILARITY
                                  "sketch binary")
     by_id = sketched.groupBy("sha", "doc_id").agg(F.count("*").alias("n"), F.first("buckets").alias("buckets"),
                                               F.first("sketch").alias("sketch"))
-    groups = cut(by_id.groupBy("sha").agg(
+    groups = gathered(by_id.groupBy("sha").agg(
         F.min("doc_id").alias("least"), F.min_by("n", F.coalesce("doc_id", F.lit(2 ** 63 - 1))).alias("n_same"),
-        F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
+        F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")), WIDE)
     clash = groups.groupBy("least").agg(F.count("*").alias("n"), F.min("sha").alias("first")).where("n > 1")
-    clash = cut(clash.select(F.col("least").alias("l"), "first"))
+    clash = gathered(clash.select(F.col("least").alias("l"), "first"), NARROW)
     groups = groups.join(clash, F.col("least").eqNullSafe(F.col("l")), "left").withColumn(
         "rep", F.when(F.col("least").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.col("sha"))),
                       F.col("least")).otherwise(F.xxhash64("sha"))).drop("l", "first")
     keyed = groups.select("rep", F.posexplode_outer("buckets").alias("band", "bucket")).where("bucket is not null")
     size = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    mates = cut(keyed.select("rep", "band", "bucket").join(size, "bucket"))
+    mates = gathered(keyed.select("rep", "band", "bucket").join(size, "bucket"), NARROW)
     reps = mates.select("rep").distinct()
-    distinct = cut(_texts_of(groups.join(reps, "rep", "left_semi").select("rep", "sha", "least"), plain))
+    distinct = gathered(_texts_of(groups.join(reps, "rep", "left_semi").select("rep", "sha", "least"), plain), WIDE)
 
     few = mates.where(F.col("n") <= small).select("bucket", "rep")
     pairs = (few.alias("x").join(few.alias("y"), "bucket")
              .where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    found = cut(links(cut(pairs), distinct, similarity))
+    pairs = gathered(pairs, NARROW)
+    found = gathered(links(pairs, distinct, similarity), NARROW)
     many = mates.where(F.col("n") > small).select("bucket", "band", "rep")
     if many.take(1):
         label, tried = None, pairs
         for turn in range(ROUNDS):
-            fresh = cut(_centre_pairs(many, label, turn).join(tried, ["a", "b"], "left_anti"))
+            fresh = gathered(_centre_pairs(many, label, turn).join(tried, ["a", "b"], "left_anti"), NARROW)
             found = _known(label, found).unionByName(links(fresh, distinct, similarity))
             tried = tried.unionByName(fresh)
             label = components(found)
-        rest = cut(_apart(many, label, groups.select("rep", "sketch"), bands, rows).join(tried, ["a", "b"], "left_anti"))
+        rest = gathered(_apart(many, label, groups.select("rep", "sketch"), bands, rows)
+                        .join(tried, ["a", "b"], "left_anti"), NARROW)
         found = _known(label, found).unionByName(links(rest, distinct, similarity))
     label = components(found)
     return (groups.drop("buckets", "sketch").join(label, groups["rep"] == label["node"], "left").drop("node")
@@ -308,12 +311,12 @@ def _agreeing(batches, bands, rows, agree):
 
 def _apart(many: DataFrame, label: DataFrame, sketch: DataFrame, bands: int, rows: int) -> DataFrame:
     """Bucket mates in different classes whose sketches agree, one side outside the bucket's largest class."""
-    now = cut(_labels(many, label))
+    now = gathered(_labels(many, label), NARROW)
     sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
         (F.sum("n") - F.max("n")).alias("n_out"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_ = cut(now.join(main, "bucket").join(sketch, "rep"))
+    open_ = gathered(now.join(main, "bucket").join(sketch, "rep"), WIDE)
     member = F.collect_list(F.struct("rep", "component", "sketch"))
 
     def blocks(side, size, name):
