@@ -15,7 +15,8 @@ Exact copies collapse by SHA-256 first, whatever their number. A bucket of up to
 its pairs. A larger one links its members to a few centres per round. Members that are still outside the bucket's
 largest class are then compared with all mates in other classes, block against block, by their whole sketches: pairs
 that agree in `AGREE` of the ordered pairs (at similarity 0.8 about 26 of 40 agree; fewer than 18 do with a chance of
-0.6 %) are aligned as well. So no pairs of a large group are written out, and its work is in blocks.
+0.6 %) are aligned inside the same task, unless links found there join their classes already. So no pairs of a large
+group are written out: its work is in blocks of bounded size, which yield links only.
 
 Defined results: null and empty texts, and texts without a word, are classes of equal texts only; repeated rows and
 repeated doc_ids are classified by text; columns of the input are kept, ones that clash with outputs are replaced.
@@ -45,6 +46,7 @@ ROUNDS = 2
 WIDE, NARROW = 4_000, 20_000  # rows with texts or sketches, and rows of ids, that one task reads
 JOIN_ROWS = 200             # pairs of one text that one join key holds
 BLOCK = 64                  # members of a block, about
+BLOCK_BYTES = 1 << 19       # text in a block, about
 AGREE = 0.45                # share of ordered pairs that a pair from blocks has in common
 
 
@@ -249,9 +251,8 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text", similarity=SIMILARITY
             found = _known(label, found).unionByName(links(fresh, distinct, similarity))
             tried = tried.unionByName(fresh)
             label = components(found)
-        rest = gathered(_apart(many, label, groups.select("rep", "sketch"), bands, rows)
-                        .join(tried, ["a", "b"], "left_anti"), NARROW)
-        found = _known(label, found).unionByName(links(rest, distinct, similarity))
+        found = _known(label, found).unionByName(
+            _apart(many, label, groups.select("rep", "sketch"), distinct, bands, rows, similarity))
     label = components(found)
     return (groups.drop("buckets", "sketch").join(label, groups["rep"] == label["node"], "left").drop("node")
             .withColumn("class_id", F.coalesce("component", "rep")).drop("component"))
@@ -293,8 +294,11 @@ def _centre_pairs(many: DataFrame, label: DataFrame | None, turn: int) -> DataFr
             .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
 
 
-def _agreeing(batches, bands, rows, agree):
-    """Pairs of two blocks in different classes whose sketches agree, at the first band that they share."""
+def _aligned_blocks(batches, bands, rows, agree, similarity):
+    """Links between two blocks: members in different classes whose sketches agree and whose texts align.
+
+    A pair is looked at in the first band that it shares. One link joins two classes; further ones are not sought.
+    """
     for batch in batches:
         for k in range(batch.num_rows):
             left, right = batch.column("left")[k].values, batch.column("right")[k].values
@@ -302,31 +306,53 @@ def _agreeing(batches, bands, rows, agree):
                     for side in (left, right))
             same = x[:, None, :] == y[None, :, :]
             bucketed = same.reshape(len(x), len(y), bands, rows).all(3)
+            own_x, own_y = left.field("component").to_numpy(), right.field("component").to_numpy()
             i, j = np.nonzero((same.sum(2) >= agree * bands * rows)
                               & (bucketed.argmax(2) == batch.column("band")[k].as_py())
-                              & (left.field("component").to_numpy()[:, None] != right.field("component").to_numpy()))
-            a, b = left.field("rep").to_numpy()[i], right.field("rep").to_numpy()[j]
+                              & (own_x[:, None] != own_y))
+            if not len(i):
+                continue
+            rows_x, i = np.unique(i, return_inverse=True)
+            rows_y, j = np.unique(j, return_inverse=True)
+            seq_x = _sequences(left.field("text").take(pa.array(rows_x)))
+            seq_y = _sequences(right.field("text").take(pa.array(rows_y)))
+            own_x, own_y = own_x[rows_x], own_y[rows_y]
+            linked = np.zeros(len(i), bool)
+            for n, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+                if own_x[p] != own_y[q] and aligned(seq_x[p], seq_y[q], similarity) > 0:
+                    linked[n] = True
+                    gone, stays = own_x[p], own_y[q]
+                    own_x[own_x == gone] = stays
+                    own_y[own_y == gone] = stays
+            a, b = left.field("rep").to_numpy()[rows_x[i[linked]]], right.field("rep").to_numpy()[rows_y[j[linked]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _apart(many: DataFrame, label: DataFrame, sketch: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Bucket mates in different classes whose sketches agree, one side outside the bucket's largest class."""
-    now = gathered(_labels(many, label), NARROW)
-    sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+def _apart(many: DataFrame, label: DataFrame, sketch: DataFrame, distinct: DataFrame, bands: int, rows: int,
+           similarity: float) -> DataFrame:
+    """Links of bucket mates in different classes, one side outside the bucket's largest class."""
+    length = distinct.select("rep", F.octet_length("text").alias("size"))
+    now = gathered(_labels(many, label).join(length, "rep"), NARROW)
+    sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max_by("size", F.struct("n", "component"))
     main = sizes.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
-        (F.sum("n") - F.max("n")).alias("n_out"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_ = gathered(now.join(main, "bucket").join(sketch, "rep"), WIDE)
-    member = F.collect_list(F.struct("rep", "component", "sketch"))
-
-    def blocks(side, size, name):
-        # Blocks by a hash of the member: about BLOCK rows each, from no single task.
-        number = F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / F.lit(BLOCK))).alias("block")
-        return side.groupBy("bucket", "band", number).agg(member.alias(name)).drop("block")
-
-    left = blocks(open_.where("component <> main"), "n_out", "left")
-    both = left.join(blocks(open_, "n", "right").drop("band"), "bucket").select("band", "left", "right")
-    return both.mapInArrow(lambda it: _agreeing(it, bands, rows, AGREE), "a long, b long").distinct()
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.greatest(F.ceil((F.sum("n") - F.max("n")) / F.lit(BLOCK)),
+                   F.ceil((F.sum("size") - largest) / F.lit(BLOCK_BYTES))).alias("blocks_out"),
+        F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).alias("blocks"),
+        F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    open_ = gathered(now.drop("size").join(main, "bucket"), NARROW)
+    detail = distinct.join(sketch, "rep")
+    member = F.collect_list(F.struct("rep", "component", "sketch", "text"))
+
+    def blocks(side, number, name):
+        # Blocks by a hash of the member, so they come from no single task.
+        block = F.pmod(F.xxhash64("rep"), F.col(number)).alias("block")
+        return side.join(detail, "rep").groupBy("bucket", "band", block).agg(member.alias(name)).drop("block")
+
+    left = blocks(open_.where("component <> main"), "blocks_out", "left")
+    both = left.join(blocks(open_, "blocks", "right").drop("band"), "bucket").select("band", "left", "right")
+    return both.mapInArrow(lambda it: _aligned_blocks(it, bands, rows, AGREE, similarity), "a long, b long").distinct()
 
 
 def label_documents(docs: DataFrame, doc_id="doc_id", text="text", keep=None, **options) -> DataFrame:
