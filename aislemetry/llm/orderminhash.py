@@ -45,7 +45,7 @@ CENTRES = 2                 # centres of a larger bucket in each round
 ROUNDS = 2
 WIDE, NARROW = 4_000, 20_000  # rows with texts or sketches, and rows of ids, that one task reads
 JOIN_ROWS = 200             # pairs of one text that one join key holds
-BLOCK = 64                  # members of a block, about
+BLOCK = 128                 # members of a block, about
 BLOCK_BYTES = 1 << 19       # text in a block, about
 AGREE = 0.45                # share of ordered pairs that a pair from blocks has in common
 
