@@ -8,8 +8,9 @@ every document a posterior over the domains quality x toxic. Nonnegative documen
 for token counts t, posteriors p, and target totals T_d that add up to T. Projected gradient steps with momentum are
 taken in the metric t_i / T, where one rate depends on its document's posterior only. Posteriors are rounded to
 multiples of 1 / `GRID`, so tokens are first summed per posterior, at most C(GRID + 3, 3) = 47,905 sums for four
-domains whatever the input, and a step is one aggregate over those sums. The driver sees four totals per step; the
-rate of a document is a fold over the steps' residuals, evaluated where the document is.
+domains whatever the input; one task takes all steps over an array of them until the duality gap shows that every total is
+within `PART` of the least target of the optimum's, and the documents meet the rates by a broadcast of those groups.
+`totals` gives the reached totals beside the targets.
 
 Copies of a document are its rate's whole part plus one with the probability of the rest, drawn by a content hash, so
 a repeated run gives the same corpus.
@@ -20,7 +21,6 @@ is not used; input columns named like an output are replaced by it.
 """
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -34,9 +34,10 @@ TARGET = {"poor": 0.02, "poor_toxic": 0.01, "good": 0.95, "good_toxic": 0.02}
 SAMPLE = 20_000             # labelled documents that the classifier is fitted on, at most
 LEXICON = 64                # words that tell toxic from other labelled documents
 GRID = 64
-STEPS = 40
+STEPS = 500                 # gradient steps of one job
+ROUNDS = 40                 # jobs until a fit that is still short of its tolerance is an error
 RIDGE = 1e-4
-TOLERANCE = 2e-4            # change of the residuals between steps, in shares of all tokens
+PART = 1e-3                 # of the least target: how far a total may be from the optimum's
 
 #: Bin edges of the statistics, natural logs of 1 + x for counts.
 EDGES = {
@@ -146,44 +147,80 @@ def membership(text: Column, model: dict, grid=GRID) -> Column:
         s["words"].alias("n_tokens"), bound(likelihoods(s), normal).alias("p")))
 
 
-def rate(steps: list[tuple[list[float], float]], p: Column, ridge: float, momentum=False) -> Column:
-    """The rate of a posterior after the steps' residuals; with `momentum` the point of the next gradient."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return F.lit(1.0)
-    # One text literal, which the optimiser turns into one constant: plans stay small however many steps there are.
-    path = F.from_json(F.lit(json.dumps([{"e": e, "b": b} for e, b in steps])),
-                       "array<struct<e: array<double>, b: double>>")
-
-    def step(s, k):
-        slope = sum((F.element_at(p, d + 1) * k["e"][d] for d in range(len(DOMAINS))), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), s["y"] - (slope + F.lit(ridge) * (s["y"] - 1.0)) / (1.0 + ridge))
-        return F.struct(new.alias("r"), (new + k["b"] * (new - s["r"])).alias("y"))
-
-    return F.aggregate(path, start, step)["y" if momentum else "r"]
-
-
-def solve(documents: DataFrame, target: dict, steps=STEPS, ridge=RIDGE, tolerance=TOLERANCE) -> list:
-    """Residual and momentum of every gradient step for documents with `p` and `n_tokens`."""
-    sums = cut(documents.where("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("t"))
-               .coalesce(2))                # bounded by the grid, so few tasks make short steps
-    total = sums.agg(F.sum("t")).first()[0]
+def _step(s: Column, groups: Column, wanted: list[float], ridge: float) -> Column:
+    """One gradient step of the state `s`, and the duality gap of the rates that it makes."""
+    domains = range(len(DOMAINS))
+    e = [s["ahead"][d] - F.lit(wanted[d]) for d in domains]
+
+    def sloped(g: Column, y: Column) -> Column:
+        slope = sum((g["p"][d] * e[d] for d in domains), F.lit(0.0))
+        return F.struct(g["p"].alias("p"), g["w"].alias("w"), y.alias("y"), slope.alias("slope"))
+
+    def moved(g: Column, old: Column) -> Column:
+        new = F.greatest(F.lit(0.0), g["y"] - (g["slope"] + ridge * (g["y"] - 1.0)) / (1.0 + ridge))
+        return F.struct(g["p"].alias("p"), g["w"].alias("w"), g["y"].alias("y"), g["slope"].alias("slope"),
+                        old.alias("old"), new.alias("new"))
+
+    def add(acc: Column, m: Column) -> Column:
+        # The least of the dual's own rates, slope * x + ridge / 2 (x - 1)^2 over x >= 0.
+        dual = F.when(m["slope"] < ridge, m["slope"] - m["slope"] * m["slope"] / (2 * ridge)).otherwise(ridge / 2)
+        return F.struct(
+            F.array(*[acc["made"][d] + m["w"] * m["new"] * m["p"][d] for d in domains]).alias("made"),
+            (acc["away"] + m["w"] * (m["new"] - 1.0) * (m["new"] - 1.0)).alias("away"),
+            (acc["dual"] + m["w"] * dual).alias("dual"),
+            (acc["turn"] + m["w"] * (m["y"] - m["new"]) * (m["new"] - m["old"])).alias("turn"))
+
+    def state(m: Column, sums: Column) -> Column:
+        miss = [sums["made"][d] - F.lit(wanted[d]) for d in domains]
+        primal = sum((x * x for x in miss), F.lit(0.0)) / 2 + ridge / 2 * sums["away"]
+        dual = sums["dual"] - sum((x * (x / 2 + wanted[d]) for d, x in enumerate(e)), F.lit(0.0))
+        # Momentum starts anew where it points uphill.
+        following = F.when(sums["turn"] > 0, 1.0).otherwise((1.0 + F.sqrt(1.0 + 4.0 * s["theta"] * s["theta"])) / 2)
+        push = F.when(sums["turn"] > 0, 0.0).otherwise((s["theta"] - 1.0) / following)
+        return bound(push, lambda b: F.struct(
+            F.transform(m, lambda x: x["new"]).alias("r"),
+            F.transform(m, lambda x: x["new"] + b * (x["new"] - x["old"])).alias("y"),
+            F.array(*[sums["made"][d] + b * (sums["made"][d] - s["made"][d]) for d in domains]).alias("ahead"),
+            sums["made"].alias("made"), following.alias("theta"), (primal - dual).alias("gap")))
+
+    zero = F.struct(F.array(*[F.lit(0.0) for _ in domains]).alias("made"), F.lit(0.0).alias("away"),
+                    F.lit(0.0).alias("dual"), F.lit(0.0).alias("turn"))
+    return bound(F.zip_with(F.zip_with(groups, s["y"], sloped), s["r"], moved),
+                 lambda m: bound(F.aggregate(m, zero, add), lambda sums: state(m, sums)))
+
+
+def solve(groups: DataFrame, target: dict, ridge=RIDGE, part=PART) -> DataFrame:
+    """`key`, `p` and the fitted `rate` of groups (key, p, t tokens), whose number must be bounded.
+
+    The steps run inside one task over an array of the groups, and end when no total can differ from the optimum's
+    by more than `part` of the least target: half the square of that distance is at most the duality gap.
+    """
+    groups = cut(groups)
+    total = groups.agg(F.sum("t")).first()[0]
     if not total:
-        return []
+        return groups.select("key", "p", F.lit(1.0).alias("rate"))
     weight = sum(target.values())
     wanted = [target[d] / weight for d in DOMAINS]
-    path: list = []
-    theta, last = 1.0, None
-    for _ in range(steps):
-        point = F.col("t") * rate(path, F.col("p"), ridge, momentum=True) / total
-        made = sums.agg(*[F.sum(F.element_at("p", d + 1) * point).alias(f"d{d}") for d in range(len(DOMAINS))]).first()
-        e = [made[d] - wanted[d] for d in range(len(DOMAINS))]
-        if last is not None and max(abs(a - b) for a, b in zip(e, last)) < tolerance:
+    enough = (part * min(w for w in wanted if w > 0)) ** 2 / 2
+    made = [F.sum(F.col("p")[d] * F.col("t") / F.lit(float(total))) for d in range(len(DOMAINS))]
+    one = F.transform("g", lambda g: F.lit(1.0))
+    # Sorted, so that a repeated run adds in the same order.
+    now = cut(groups.agg(F.sort_array(F.collect_list(F.struct(
+        "key", "p", (F.col("t") / F.lit(float(total))).alias("w")))).alias("g"), F.array(*made).alias("made"))
+        .select("g", F.struct(one.alias("r"), one.alias("y"), F.col("made").alias("ahead"), F.col("made").alias("made"),
+                              F.lit(1.0).alias("theta"), F.lit(math.inf).alias("gap")).alias("s")))
+    gap = math.inf
+    for _ in range(ROUNDS):
+        now = cut(now.select("g", F.aggregate(
+            F.sequence(F.lit(1), F.lit(STEPS)), F.col("s"),
+            lambda s, _: F.when(s["gap"] <= enough, s).otherwise(_step(s, F.col("g"), wanted, ridge))).alias("s")))
+        gap = now.select("s.gap").first()[0]
+        if gap <= enough:
             break
-        following = (1 + math.sqrt(1 + 4 * theta * theta)) / 2
-        path.append((e, (theta - 1) / following))
-        theta, last = following, e
-    return path
+    else:
+        raise ArithmeticError(f"duality gap {gap} after {ROUNDS * STEPS} steps, wanted {enough}")
+    return cut(now.select(F.explode(F.zip_with("g", "s.r", lambda g, r: F.struct(
+        g["key"].alias("key"), g["p"].alias("p"), r.alias("rate")))).alias("x")).select("x.*"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target=None, sample=SAMPLE,
@@ -196,18 +233,33 @@ def mix(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target
     own = docs.drop("n_tokens", "p", "rate", "copies")
     model = fit(own, labels, text, doc_id, sample)
     kept = [c for c in (keep or own.columns) if c in own.columns]
-    member, chance = field_name(own, "__member"), field_name(own, "__chance")
+    member, chance, fit_ = (field_name(own, name) for name in ("__member", "__chance", "__fit"))
     draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 30)) / float(1 << 30)
     scored = cut(own.select(*[F.col(f"`{c}`") for c in kept], draw.alias(chance),
                             membership(F.col(f"`{text}`"), model).alias(member)))
-    path = solve(scored.select(F.col(member)["p"].alias("p"), F.col(member)["n_tokens"].alias("n_tokens")),
-                 target or TARGET, ridge=ridge)
-    fitted = scored.select(*[F.col(f"`{c}`") for c in kept], F.col(member)["n_tokens"].alias("n_tokens"),
-                           F.col(member)["p"].alias("p"), rate(path, F.col(member)["p"], ridge).alias("rate"), chance)
+    groups = scored.groupBy(F.col(member)["p"].alias("p")).agg(F.sum(F.col(member)["n_tokens"]).alias("t"))
+    rates = solve(groups.select(F.col("p").alias("key"), "p", "t"), target or TARGET, ridge)
+    # At most as many rows as there are posteriors on the grid.
+    met = scored.join(F.broadcast(rates.select(F.struct("key", "p", "rate").alias(fit_))),
+                      F.col(member)["p"] == F.col(fit_)["key"])
+    fitted = met.select(*[F.col(f"`{c}`") for c in kept], F.col(member)["n_tokens"].alias("n_tokens"),
+                        F.col(fit_)["p"].alias("p"), F.col(fit_)["rate"].alias("rate"), chance)
     return fitted.withColumn("copies", (F.floor("rate") + (F.col(chance) < F.col("rate") - F.floor("rate")).cast(
         "long")).cast("long")).drop(chance)
 
 
+def totals(mixed: DataFrame, target=None) -> DataFrame:
+    """domain, target and reached share of all tokens at the rates of `mix`, and the share that the copies make."""
+    target = target or TARGET
+    weight = sum(target.values())
+    all_tokens = F.greatest(F.sum("n_tokens"), F.lit(1))
+    shares = [F.struct(F.lit(name).alias("domain"), F.lit(target[name] / weight).alias("target"),
+                       *[(F.sum(F.col("p")[d] * F.col("n_tokens") * F.col(by)) / all_tokens).alias(label)
+                         for by, label in (("rate", "reached"), ("copies", "copied"))])
+              for d, name in enumerate(DOMAINS)]
+    return mixed.agg(F.array(*shares).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def apply(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target=None, **options) -> DataFrame:
     """The mixed corpus: every document as often as its copies say, with the columns of `docs`."""
     inner = field_name(docs, "__row")

@@ -139,6 +139,25 @@ def test_mixing(spark, odd):
             assert mixing.mix(frame, own).count() == frame.count()
 
 
+def test_mixing_totals_are_those_of_the_optimum(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mixed = mixing.mix(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), keep=("doc_id",)).cache()
+    rows = mixed.collect()
+    p, r = np.array([r["p"] for r in rows]), np.array([r["rate"] for r in rows])
+    w = np.array([r["n_tokens"] for r in rows], float)
+    w /= w.sum()
+    want = np.array([mixing.TARGET[d] for d in mixing.DOMAINS])
+    x = y = np.ones(len(w))
+    for k in range(40_000):
+        new = np.maximum(0, y - (p @ (p.T @ (w * y) - want) + mixing.RIDGE * (y - 1)) / (1 + mixing.RIDGE))
+        y, x = new + (k % 300) / (k % 300 + 3) * (new - x), new
+    near = 1.01 * mixing.PART * min(mixing.TARGET.values())
+    assert np.abs(p.T @ (w * r) - p.T @ (w * x)).max() < near
+    told = {t["domain"]: t for t in mixing.totals(mixed).collect()}
+    assert np.allclose([told[d]["reached"] for d in mixing.DOMAINS], p.T @ (w * r))
+    assert np.allclose([told[d]["target"] for d in mixing.DOMAINS], want)
+
+
 def test_langid(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(docs).where("held_out").join(docs, "doc_id").collect()
