@@ -6,10 +6,10 @@ every document a posterior over the domains quality x toxic. Nonnegative documen
     1/2 sum_d ((sum_i p_id t_i r_i - T_d) / T)^2  +  ridge/2 sum_i t_i / T (r_i - 1)^2
 
 for token counts t, posteriors p, and target totals T_d that add up to T. Projected gradient steps with momentum are
-taken in the metric t_i / T, where one rate depends on its document's posterior only. Posteriors are rounded to
-multiples of 1 / `GRID`, so tokens are first summed per posterior, at most C(GRID + 3, 3) = 47,905 sums for four
-domains whatever the input; one task takes all steps over an array of them until the duality gap shows that every total is
-within `PART` of the least target of the optimum's, and the documents meet the rates by a broadcast of those groups.
+taken in the metric t_i / T, where one rate depends on its document's posterior only. A posterior depends on the bins
+only, so tokens are first summed per vector of bins, at most 7 * 7 * 9 * 8 * 5 = 17,640 sums whatever the input. One
+task takes all steps over an array of them until the duality gap shows that every total is within `PART` of the least
+target of the optimum's, and the documents meet the exact posteriors and rates by a broadcast of those groups.
 `totals` gives the reached totals beside the targets.
 
 Copies of a document are its rate's whole part plus one with the probability of the rest, drawn by a content hash, so
@@ -33,7 +33,6 @@ DOMAINS = ("poor", "poor_toxic", "good", "good_toxic")        # index: 2 * quali
 TARGET = {"poor": 0.02, "poor_toxic": 0.01, "good": 0.95, "good_toxic": 0.02}
 SAMPLE = 20_000             # labelled documents that the classifier is fitted on, at most
 LEXICON = 64                # words that tell toxic from other labelled documents
-GRID = 64
 STEPS = 500                 # gradient steps of one job
 ROUNDS = 40                 # jobs until a fit that is still short of its tolerance is an error
 RIDGE = 1e-4
@@ -128,23 +127,31 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", sample
     return {"lexicon": told, "prior": [math.log(n[d] / sum(n.values())) for d in range(len(DOMAINS))], "logs": logs}
 
 
-def membership(text: Column, model: dict, grid=GRID) -> Column:
-    """Struct of n_tokens and p, the posteriors in multiples of 1 / grid that add up to 1."""
-    domains = range(len(DOMAINS))
+def vector(stat: Column) -> Column:
+    """One number for the bins of all statistics."""
+    code = F.lit(0)
+    for name, edges in EDGES.items():
+        code = code * (len(edges) + 1) + _bin(stat, name)
+    return code
+
 
-    def likelihoods(stat: Column) -> Column:
-        return F.array(*[sum((F.element_at(F.lit(model["logs"][f][d]), _bin(stat, f) + 1) for f in EDGES),
-                             F.lit(model["prior"][d])) for d in domains])
+def membership(text: Column, model: dict) -> Column:
+    """Struct of n_tokens and the vector of bins, on which alone the posterior depends."""
+    return bound(statistics(text, model["lexicon"]), lambda s: F.struct(s["words"].alias("n_tokens"),
+                                                                        vector(s).alias("bins")))
 
-    def normal(log: Column) -> Column:
-        return bound(F.transform(log, lambda s: F.exp(s - F.array_max(log))), lambda e: bound(
-            F.transform(e, lambda x: F.floor(x / sum((F.element_at(e, d + 1) for d in domains), F.lit(0.0)) * grid)),
-            lambda q: F.transform(q, lambda x, k: (x + F.when(
-                k + 1 == F.array_position(e, F.lit(1.0)),
-                grid - sum((F.element_at(q, d + 1) for d in domains), F.lit(0))).otherwise(0)) / grid)))
 
-    return bound(statistics(text, model["lexicon"]), lambda s: F.struct(
-        s["words"].alias("n_tokens"), bound(likelihoods(s), normal).alias("p")))
+def posterior(bins: Column, model: dict) -> Column:
+    """Exact posteriors by `DOMAINS` of a vector of bins."""
+    domains, at, below = range(len(DOMAINS)), {}, 1
+    for name, edges in reversed(EDGES.items()):
+        at[name] = (F.floor(bins / below) % (len(edges) + 1) + 1).cast("int")
+        below *= len(edges) + 1
+    log = F.array(*[sum((F.element_at(F.lit(model["logs"][f][d]), at[f]) for f in EDGES), F.lit(model["prior"][d]))
+                    for d in domains])
+    return bound(log, lambda log: bound(
+        F.transform(log, lambda x: F.exp(x - F.array_max(log))),
+        lambda e: F.transform(e, lambda x: x / sum((e[d] for d in domains), F.lit(0.0)))))
 
 
 def _step(s: Column, groups: Column, wanted: list[float], ridge: float) -> Column:
@@ -237,11 +244,11 @@ def mix(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", target
     draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 30)) / float(1 << 30)
     scored = cut(own.select(*[F.col(f"`{c}`") for c in kept], draw.alias(chance),
                             membership(F.col(f"`{text}`"), model).alias(member)))
-    groups = scored.groupBy(F.col(member)["p"].alias("p")).agg(F.sum(F.col(member)["n_tokens"]).alias("t"))
-    rates = solve(groups.select(F.col("p").alias("key"), "p", "t"), target or TARGET, ridge)
-    # At most as many rows as there are posteriors on the grid.
+    groups = scored.groupBy(F.col(member)["bins"].alias("key")).agg(F.sum(F.col(member)["n_tokens"]).alias("t"))
+    rates = solve(groups.select("key", posterior(F.col("key"), model).alias("p"), "t"), target or TARGET, ridge)
+    # At most as many rows as there are vectors of bins.
     met = scored.join(F.broadcast(rates.select(F.struct("key", "p", "rate").alias(fit_))),
-                      F.col(member)["p"] == F.col(fit_)["key"])
+                      F.col(member)["bins"] == F.col(fit_)["key"])
     fitted = met.select(*[F.col(f"`{c}`") for c in kept], F.col(member)["n_tokens"].alias("n_tokens"),
                         F.col(fit_)["p"].alias("p"), F.col(fit_)["rate"].alias("rate"), chance)
     return fitted.withColumn("copies", (F.floor("rate") + (F.col(chance) < F.col("rate") - F.floor("rate")).cast(

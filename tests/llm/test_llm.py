@@ -158,6 +158,20 @@ def test_mixing_totals_are_those_of_the_optimum(spark):
     assert np.allclose([told[d]["target"] for d in mixing.DOMAINS], want)
 
 
+def test_mixing_posteriors_are_exact(spark):
+    model = {"lexicon": [], "prior": [-0.1, -5.0, -3.0, -6.0],
+             "logs": {f: [[-0.3 * (d + 1) * b for b in range(len(e) + 1)] for d in range(4)]
+                      for f, e in mixing.EDGES.items()}}
+    docs = spark.createDataFrame([(PROSE,), ("a b",), ("# $ %",), (None,), ("x" * 3000,)], "text string")
+    stat = mixing.statistics(F.col("text"), [])
+    rows = docs.select(stat.alias("s"), mixing.posterior(mixing.membership(F.col("text"), model)["bins"], model).alias(
+        "p")).collect()
+    for row in rows:
+        bins = {f: sum(row["s"][f] >= x for x in e) for f, e in mixing.EDGES.items()}
+        e = np.exp([model["prior"][d] + sum(model["logs"][f][d][b] for f, b in bins.items()) for d in range(4)])
+        assert np.allclose(row["p"], e / e.sum(), rtol=1e-9)
+
+
 def test_langid(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(docs).where("held_out").join(docs, "doc_id").collect()
