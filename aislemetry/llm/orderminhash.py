@@ -13,9 +13,9 @@ every element of a sequence is unique. A text of one to four words is one shingl
 
 Exact copies collapse by SHA-256 first, whatever their number. A bucket of up to `SMALL` different texts yields all
 its pairs. A larger one links its members to a few centres per round. Members that are still outside the bucket's
-largest class are then compared with all mates in other classes, block against block, by their whole sketches: pairs
-that agree in `AGREE` of the ordered pairs (at similarity 0.8 about 26 of 40 agree; fewer than 18 do with a chance of
-0.6 %) are aligned inside the same task, unless links found there join their classes already. So no pairs of a large
+largest class are then compared with all mates in other classes, block against block: pairs that have as many shingles
+in common as an alignment needs are aligned inside the same task, unless links found there join their classes already.
+That filter is exact, so large and small buckets miss the same pairs: those that share no bucket. No pairs of a large
 group are written out: its work is in blocks of bounded size, which yield links only.
 
 Defined results: null and empty texts, and texts without a word, are classes of equal texts only; repeated rows and
@@ -47,7 +47,7 @@ WIDE, NARROW = 4_000, 20_000  # rows with texts or sketches, and rows of ids, th
 JOIN_ROWS = 200             # pairs of one text that one join key holds
 BLOCK = 128                 # members of a block, about
 BLOCK_BYTES = 1 << 19       # text in a block, about
-AGREE = 0.45                # share of ordered pairs that a pair from blocks has in common
+COLUMNS = 1 << 14           # different shingles of two blocks that are counted in one pass
 
 
 def labelled(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,8 +294,28 @@ def _centre_pairs(many: DataFrame, label: DataFrame | None, turn: int) -> DataFr
             .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
 
 
-def _aligned_blocks(batches, bands, rows, agree, similarity):
-    """Links between two blocks: members in different classes whose sketches agree and whose texts align.
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each sequence of `a` has in common with each of `b`; elements of a sequence are unique."""
+    key, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    own = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    left = own < len(a)
+    wanted = np.flatnonzero((np.bincount(at[left], minlength=len(key)) > 0)
+                            & (np.bincount(at[~left], minlength=len(key)) > 0))
+    place = np.full(len(key), -1)
+    place[wanted] = np.arange(len(wanted))
+    place = place[at]
+    common = np.zeros((len(a), len(b)), np.float32)
+    # Counts stay whole numbers below 2^24 in one pass; the sum is rounded to them.
+    for begin in range(0, len(wanted), COLUMNS):
+        inside = (place >= begin) & (place < begin + COLUMNS)
+        seen = np.zeros((len(a) + len(b), min(COLUMNS, len(wanted) - begin)), np.float32)
+        seen[own[inside], place[inside] - begin] = 1
+        common += seen[:len(a)] @ seen[len(a):].T
+    return np.rint(common).astype(np.int64)
+
+
+def _aligned_blocks(batches, bands, rows, similarity):
+    """Links between two blocks: members in different classes whose shingles suffice and whose texts align.
 
     A pair is looked at in the first band that it shares. One link joins two classes; further ones are not sought.
     """
@@ -304,19 +324,19 @@ def _aligned_blocks(batches, bands, rows, agree, similarity):
             left, right = batch.column("left")[k].values, batch.column("right")[k].values
             x, y = (np.frombuffer(b"".join(side.field("sketch").to_pylist()), np.uint32).reshape(len(side), -1)
                     for side in (left, right))
-            same = x[:, None, :] == y[None, :, :]
-            bucketed = same.reshape(len(x), len(y), bands, rows).all(3)
+            bucketed = (x[:, None, :] == y[None, :, :]).reshape(len(x), len(y), bands, rows).all(3)
             own_x, own_y = left.field("component").to_numpy(), right.field("component").to_numpy()
-            i, j = np.nonzero((same.sum(2) >= agree * bands * rows)
-                              & (bucketed.argmax(2) == batch.column("band")[k].as_py())
-                              & (own_x[:, None] != own_y))
-            if not len(i):
+            open_ = (bucketed.argmax(2) == batch.column("band")[k].as_py()) & (own_x[:, None] != own_y)
+            rows_x, rows_y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(rows_x):
                 continue
-            rows_x, i = np.unique(i, return_inverse=True)
-            rows_y, j = np.unique(j, return_inverse=True)
             seq_x = _sequences(left.field("text").take(pa.array(rows_x)))
             seq_y = _sequences(right.field("text").take(pa.array(rows_y)))
             own_x, own_y = own_x[rows_x], own_y[rows_y]
+            total = np.add.outer([len(s) for s in seq_x], [len(s) for s in seq_y])
+            # Aligned shingles are common ones, so a pair with fewer than `aligned` needs cannot link.
+            need = np.ceil(similarity * total / (1 + similarity) - 1e-9)
+            i, j = np.nonzero(open_[np.ix_(rows_x, rows_y)] & (shared(seq_x, seq_y) >= need))
             linked = np.zeros(len(i), bool)
             for n, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
                 if own_x[p] != own_y[q] and aligned(seq_x[p], seq_y[q], similarity) > 0:
@@ -352,7 +372,7 @@ def _apart(many: DataFrame, label: DataFrame, sketch: DataFrame, distinct: DataF
 
     left = blocks(open_.where("component <> main"), "blocks_out", "left")
     both = left.join(blocks(open_, "blocks", "right").drop("band"), "bucket").select("band", "left", "right")
-    return both.mapInArrow(lambda it: _aligned_blocks(it, bands, rows, AGREE, similarity), "a long, b long").distinct()
+    return both.mapInArrow(lambda it: _aligned_blocks(it, bands, rows, similarity), "a long, b long").distinct()
 
 
 def label_documents(docs: DataFrame, doc_id="doc_id", text="text", keep=None, **options) -> DataFrame:

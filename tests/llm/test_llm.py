@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from aislemetry.llm import (bpe, compression, digest, langid, lstm_crf, mixing, orderminhash, pii, quality, queries,
                             token_rollup, toxicity)
+from aislemetry.llm.common import Words
 from aislemetry.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -257,6 +258,35 @@ def test_order_minhash(spark, odd):
     assert orderminhash.label_documents(odd.limit(0)).count() == 0
 
 
+def test_blocks_lose_no_link(spark):
+    """Chains of short texts, each at similarity 0.8 to 0.85 with its neighbours only, compared in blocks alone."""
+    rng = np.random.default_rng(8)
+    texts, chain = [], []
+    for words, n in ((13, 900), (16, 400)):                   # 9 and 12 shingles: 8 / 10 and 11 / 13 in common
+        stream = [f"{words}w{x}" for x in rng.integers(0, 1 << 40, n + words)]
+        texts += [" ".join(stream[k:k + words]) for k in range(n)]
+        chain += [words] * n
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, keys, pairs = orderminhash.sketches(Words(data, np.cumsum([0, *map(len, texts)])))
+    many = spark.createDataFrame([(int(x), band, k) for k, own in enumerate(keys.view(np.int64))
+                                  for band, x in enumerate(own)], "bucket long, band int, rep long")
+    many = many.join(many.groupBy("bucket").count().where("count > 1"), "bucket").select("bucket", "band", "rep")
+    label = spark.range(len(texts)).selectExpr("id as node", "id as component")
+    sketch = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(pairs)], "rep long, sketch binary")
+    distinct = spark.createDataFrame([*enumerate(texts)], "rep long, text string")
+    found = orderminhash._apart(many, label, sketch, distinct, orderminhash.BANDS, orderminhash.ROWS, 0.8).collect()
+    assert {tuple(r) for r in found} == {(k, k + 1) for k in range(len(texts) - 1)
+                                         if chain[k] == chain[k + 1] and (keys[k] == keys[k + 1]).any()}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(9)
+    a, b = ([np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 5, 40), (1, 30)))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert orderminhash.shared(a, b).tolist() == want
+    assert orderminhash.shared([], b).shape == (0, 2)
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert orderminhash.aligned(a, a) == 1.0
