@@ -1,4 +1,5 @@
 """Operators for training text against brute force, round trips and held-out accuracy, with odd rows everywhere."""
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -358,6 +359,43 @@ def test_compression(spark, odd):
     assert (row["n_dup_lines"], row["n_symbols"]) == (2, 1)
 
 
+TALES = ("Вечером над рекой поднялся туман, и старый паромщик долго не решался отчалить от берега. На "
+         "другой стороне его ждали трое путников: учитель из соседней деревни, девушка с корзиной яблок и "
+         "молчаливый солдат, который возвращался домой после долгой службы. Никто из них не знал, что "
+         "мост, о котором говорили весной, уже начали строить выше по течению.",
+         "Το πρωί ο ψαράς βρήκε τη βάρκα του γεμάτη νερό και κάθισε στην προκυμαία χωρίς να μιλά. Η "
+         "γυναίκα του έφερε ψωμί, ελιές και λίγο τυρί, ενώ τα παιδιά μάζευαν κοχύλια κοντά στο παλιό "
+         "φρούριο. Όταν φύσηξε ο βοριάς, όλοι κατάλαβαν πως το ταξίδι θα έπρεπε να περιμένει ώς την "
+         "επόμενη εβδομάδα.",
+         "아침 일찍 시장에 나간 할머니는 생선 두 마리와 배추 세 포기를 사서 천천히 집으로 돌아왔다. 골목 끝에서 만난 우체부는 바다 건너 사는 손자가 보낸 편지를 건네주었고, "
+         "할머니는 안경을 찾느라 한참 동안 마루를 뒤졌다. 저녁이 되자 이웃들이 모여 함께 국을 끓이며 오래된 노래를 불렀다.")
+
+
+def base64_lines(rng, n):
+    text = base64.b64encode(rng.bytes(n)).decode()
+    return "\n".join(text[k:k + 76] for k in range(0, len(text), 76))[:n]
+
+
+def verdicts(spark, texts):
+    rows = compression.measure(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    return [r["kept"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_compression_bands_part_prose_from_noise(spark):
+    rng = np.random.default_rng(12)
+    sizes = sorted({x for below, *_ in compression.BANDS for x in (below - 1, below) if x < 1 << 20} | {1500, 30_000})
+    printable = [chr(c) for c in range(32, 127)]
+    noise = [base64_lines(rng, n) for n in sizes for _ in range(5)]
+    noise += ["".join(rng.choice(printable, n)) for n in sizes for _ in range(5)]
+    assert not any(verdicts(spark, noise))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars > 3000 and lang is not null").collect()
+    clean = [r["text"] for r, kept in zip(docs, verdicts(spark, [r["text"] for r in docs])) if kept]
+    assert len(clean) > 0.5 * len(docs)
+    prose = [t[:n] for t in clean for n in sizes if 128 <= n <= 3000]
+    prose += [t.encode()[:n].decode(errors="ignore") for t in TALES for n in (160, 200, 260, 330, 380)]
+    assert np.mean(verdicts(spark, prose)) > 0.98 and all(verdicts(spark, TALES))
+
+
 def test_pattern_spans_match_plain_patterns():
     rng = np.random.default_rng(6)
 
