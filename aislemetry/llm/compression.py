@@ -2,7 +2,8 @@
 
 zstandard ratios (compressed bytes / bytes) are taken of the whole document and of each fixed chunk. Repetitive text
 compresses far below what prose of its length does, noise far above; both limits depend on the length, since short
-texts carry the frame overhead and long ones profit from a longer window.
+texts carry the frame overhead and long ones profit from a longer window. Chunks are taken from two of them upwards and
+judged by the limits of their own length, so a part of noise cannot hide behind the ratio of the whole text.
 
 Defined results: a null or empty text has no words, ratio null and is not kept; equal texts get equal verdicts; input
 rows are never merged or dropped by `measure`; an input column with the name of an output column is replaced.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from aislemetry.llm.common import Words, per_row, segment_hashes, slices
 
 LEVEL = 3
-CHUNK = 16_384              # bytes of a fixed chunk; a shorter last piece joins the chunk before it
+CHUNK = 2_048               # bytes of a fixed chunk; a shorter last piece joins the chunk before it
 WINDOW = 5                  # words of a repeated window
 
 #: (bytes below, lowest ratio, highest ratio): verdict limits by length. The lower ones were measured on natural-language

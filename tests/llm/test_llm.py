@@ -396,6 +396,18 @@ def test_compression_bands_part_prose_from_noise(spark):
     assert np.mean(verdicts(spark, prose)) > 0.98 and all(verdicts(spark, TALES))
 
 
+def test_compression_chunks_see_noise_inside_prose(spark):
+    rng = np.random.default_rng(13)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars > 6000 and lang is not null").collect()
+    texts = [r["text"] for r in docs]
+    clean = [t for t, kept in zip(texts, verdicts(spark, texts)) if kept]
+    assert len(clean) > 0.5 * len(texts)
+    mixed = [t[:8000 * k] + "\n" + base64_lines(rng, 4500) + "\n" + t for t in clean for k in (0, 1)]
+    assert not any(verdicts(spark, mixed))
+    row = compression.measure(spark.createDataFrame([(1, clean[0][:4096])], "doc_id long, text string")).first()
+    assert row["chunk_low"] < row["chunk_high"]
+
+
 def test_pattern_spans_match_plain_patterns():
     rng = np.random.default_rng(6)
 
