@@ -67,7 +67,7 @@ class Ledger:
         """Apply a batch once; False if it was there already."""
         if self._complete(batch):
             return False
-        added(deltas).coalesce(1).write.mode("overwrite").parquet(self._path(batch))
+        added(deltas).write.mode("overwrite").parquet(self._path(batch))
         return True
 
     def totals(self, batches: list[str]) -> DataFrame:

@@ -206,6 +206,20 @@ def test_rollup(spark, odd, tmp_path):
         ledger.commit("../x", token_rollup.counts(odd, "words-1"))
 
 
+def test_rollup_of_many_keys_is_not_one_task(spark, tmp_path):
+    many = spark.range(4000).selectExpr("id as doc_id", "'a b c' as text", "'en' as lang", "concat('s', id) as source")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        ledger = token_rollup.Ledger(spark, str(tmp_path / "wide"))
+        ledger.commit("a", token_rollup.counts(many, "words-1"))
+    finally:
+        spark.conf.set(setting, before)
+    assert len(spark.read.parquet(ledger._path("a")).inputFiles()) > 1
+    assert ledger.totals(["a"]).where("n_docs = 1 and n_tokens = 3").count() == 4000
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen: Counter = Counter()
