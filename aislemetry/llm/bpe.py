@@ -24,6 +24,7 @@ import heapq
 import json
 import sys
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -235,10 +236,10 @@ class Encoder:
                 # final sigma is no special case.
                 plain = unicodedata.normalize("NFC", part)
                 if plain.isascii() or all(unicodedata.category(c) != "Cn" for c in set(plain)):
-                    yield None, _WORD.findall(plain.replace("Σ", "σ").lower())
+                    yield None, (m[0] for m in _WORD.finditer(plain.replace("Σ", "σ").lower()))
                 else:
                     self.rules = self.rules or unicode_rules()
-                    yield None, self.rules[0].findall(plain.translate(self.rules[1]).lower())
+                    yield None, (m[0] for m in self.rules[0].finditer(plain.translate(self.rules[1]).lower()))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the tokens joined by spaces."""
@@ -248,10 +249,21 @@ class Encoder:
                 ids.append(np.array([self.t.special[special]], "<u4").tobytes())
                 shown.append(special)
             else:
+                words = list(words)
                 ids += map(self.ids.__getitem__, words)
                 shown += map(self.text.__getitem__, words)
         return b"".join(ids), " ".join(shown)
 
+    def stream(self, text: str):
+        """The ids of `encode`, some words at a time."""
+        for special, words in self.pieces(text):
+            if special is not None:
+                yield np.array([self.t.special[special]], "<u4").tobytes()
+            else:
+                words = iter(words)
+                while part := list(islice(words, PART)):
+                    yield b"".join(map(self.ids.__getitem__, part))
+
 
 class Decoder:
     """Token ids in, text out, as soon as characters are complete.
@@ -269,13 +281,13 @@ class Decoder:
         self.begun = False
 
     def feed(self, ids) -> str:
+        if not self.plain:
+            begun, self.begun = self.begun, self.begun or bool(ids)
+            return " " * (begun and bool(ids)) + " ".join(map(self.names.__getitem__, ids))
         out = []
         for i in ids:
             name = self.names[i]
-            if not self.plain:
-                out += [" "] * self.begun + [name]
-                self.begun = True
-            elif i in self.special:
+            if i in self.special:
                 out.append(self.state.decode(b"", True) + name)
                 self.state.reset()
             else:
@@ -292,6 +304,7 @@ class Decoder:
 
 # ---------------------------------------------------------------- Spark side
 
+PART = 4_096                # words encoded and decoded at a time
 _coders: dict = {}          # one per worker process and file, so that caches outlive a task
 
 
@@ -300,7 +313,7 @@ def _coded(batches, shared, key, wanted):
         _coders.clear()
         tables = shared.value
         _coders[key] = (Encoder(tables), Decoder(tables), Decoder(tables, plain=True))
-    encoder, _, _ = _coders[key]
+    encoder, shown, plain = _coders[key]
     for batch in batches:
         rest = batch.drop_columns(["__text"])
         column = batch.column("__text")
@@ -308,17 +321,25 @@ def _coded(batches, shared, key, wanted):
             part = column.slice(begin, 256)
             made: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for value in part:
-                ids, shown = encoder.encode(value.as_py() or "")
-                made["n_tokens"].append(len(ids) // 4)
-                made["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                if "decoded_sha256" in wanted:
-                    made["decoded_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
+                size, digest, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
+                shown.begun = False
+                for ids in encoder.stream(value.as_py() or ""):
+                    size += len(ids) // 4
+                    digest.update(ids)
+                    if "decoded_sha256" in wanted:
+                        back.update(shown.feed(np.frombuffer(ids, "<u4").tolist()).encode())
+                    if "ids" in wanted or "decoded" in wanted:
+                        held.append(ids)
+                back.update(shown.finish().encode())
+                made["n_tokens"].append(size)
+                made["ids_sha256"].append(digest.hexdigest())
+                made["decoded_sha256"].append(back.hexdigest())
+                whole = np.frombuffer(b"".join(held), "<u4")
                 if "ids" in wanted:
-                    made["ids"].append(np.frombuffer(ids, "<u4").astype(np.int32))
+                    made["ids"].append(whole.astype(np.int32))
                 if "decoded" in wanted:
-                    back = _coders[key][2]
-                    back.state.reset()
-                    made["decoded"].append(back.feed(np.frombuffer(ids, "<u4").tolist()) + back.finish())
+                    plain.state.reset()
+                    made["decoded"].append(plain.feed(whole.tolist()) + plain.finish())
             yield pa.RecordBatch.from_arrays(
                 [*rest.slice(begin, len(part)).columns, *(pa.array(made[c], _ARROW[c]) for c in wanted)],
                 names=[*rest.schema.names, *wanted])

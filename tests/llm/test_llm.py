@@ -3,8 +3,10 @@ import base64
 import hashlib
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,6 +345,26 @@ def test_bpe_matches_the_library(spark, odd, tables):
     assert bpe.encode(odd.limit(0), queries.tokenizer_file()).count() == 0
 
 
+def test_bpe_digest_is_of_decoded_ids(tables, monkeypatch):
+    texts = ["", PROSE, (PROSE + " <|endoftext|> ") * 300, "ab" * 4000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["__text"])
+    shared = SimpleNamespace(value=tables)
+
+    def digests():
+        bpe._coders.clear()
+        return [d for out in bpe._coded([batch], shared, "own", ("n_tokens", "ids_sha256", "decoded_sha256"))
+                for d in zip(*[out.column(c).to_pylist() for c in out.schema.names])]
+
+    coder = bpe.Encoder(tables)
+    want = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+            for i, t in map(coder.encode, texts)]
+    assert digests() == want
+    feed = bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids: feed(self, ids[:-1]))
+    assert [a[2] != b[2] for a, b in zip(digests(), want)] == [False, True, True, True]
+    bpe._coders.clear()
+
+
 def test_transducer_is_stable(tables):
     rng = np.random.default_rng(5)
     word = list("".join(rng.choice(["th", "e", "in", "g", "er", "a", "on", "s", "tion"], 2500)))
