@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetry.llm import bpe, compression, digest, langid, mixing, orderminhash, pii, quality, token_rollup, toxicity
+from aislemetry.llm import (bpe, compression, digest, divergence, langid, lexical, licenses, mixing, orderminhash, pii, quality,
+                            token_rollup, toxicity)
 from aislemetry.llm.common import table
 from aislemetry.session import shared_dir
 
@@ -73,8 +74,21 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals(["insert", "revise", "delete-new", "delete-old"])
 
 
+def op11_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.Index.build(table(spark, sf_dir, "documents")).rank(table(spark, sf_dir, "benchmark"))
+
+
+def op13_bitmap_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op7_order_minhash, op9_compression_bands, op10_lstm_crf_pii, op4_soft_mixing, op8_streaming_bpe, op1_quartile_digest, op2_fourier_quality,
-                                 op3_toxic_segments, op5_family_langid, op6_token_rollup)}
+                                 op3_toxic_segments, op5_family_langid, op6_token_rollup,
+                                 op11_template_licenses, op12_hybrid_search, op13_bitmap_divergence)}
 ORACLES: dict[str, str] = {"op6_token_rollup": r"""
 with kept as (
     select d.source, d.lang, case when coalesce(d.lang, '') <> 'en' then 'pieces-2' else 'words-1' end as version,
@@ -85,4 +99,6 @@ select source, lang, version, count(*) as n_docs,
        cast(sum(case version
            when 'words-1' then len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
            else len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) end) as bigint) as n_tokens
-from kept group by all"""}
+from kept group by all""",
+    "op11_template_licenses": licenses.oracle(), "op12_hybrid_search": lexical.oracle(),
+    "op13_bitmap_divergence": divergence.oracle()}
