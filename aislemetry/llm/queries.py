@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aislemetry.llm import (bpe, compression, digest, divergence, langid, lexical, licenses, mixing, orderminhash, pii, quality,
                             token_rollup, toxicity)
 from aislemetry.llm.common import table
-from aislemetry.session import shared_dir
+from aislemetry.session import cut, shared_dir
 
 
 def tokenizer_file(name="word_bpe_49k.json") -> str:
@@ -57,21 +57,20 @@ def op5_family_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches over all documents, one of them committed twice.
+    """Totals after three batches over all documents, one of them committed twice.
 
     All documents come in under words-1; those outside English are re-tokenised; labelled toxic ones are deleted.
     """
-    docs = table(spark, sf_dir, "documents")
+    numbers = cut(token_rollup.measured(table(spark, sf_dir, "documents"), keep=("doc_id",)))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi")
+    foreign = F.coalesce("lang", F.lit("")) != "en"
     ledger = token_rollup.Ledger(spark, shared_dir(spark, "rollup"))
-    foreign = "coalesce(lang, '') <> 'en'"
-    ledger.commit("insert", token_rollup.counts(docs, "words-1"))
-    ledger.commit("revise", token_rollup.revised(docs.where(foreign), "words-1", "pieces-2"))
-    ledger.commit("delete-new", token_rollup.counts(gone.where(foreign), "pieces-2", -1))
-    ledger.commit("delete-old", token_rollup.counts(gone.where(f"not ({foreign})"), "words-1", -1))
-    ledger.commit("revise", token_rollup.revised(docs.where(foreign), "words-1", "pieces-2"))
-    return ledger.totals(["insert", "revise", "delete-new", "delete-old"])
+    ledger.commit("insert", token_rollup.signed(numbers, "words-1"))
+    ledger.commit("revise", token_rollup.moved(numbers.where(foreign), "words-1", "pieces-2"))
+    ledger.commit("delete", token_rollup.signed(numbers.join(toxic, "doc_id", "left_semi"), F.when(
+        foreign, "pieces-2").otherwise("words-1"), -1))
+    ledger.commit("revise", token_rollup.moved(numbers.where(foreign), "words-1", "pieces-2"))
+    return ledger.totals(["insert", "revise", "delete"])
 
 
 def op11_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

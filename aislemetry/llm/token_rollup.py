@@ -27,16 +27,33 @@ VERSIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def counts(docs: DataFrame, version: str, sign=1, text="text") -> DataFrame:
-    """Signed rows (source, lang, version, n_docs, n_tokens) of documents under one tokenizer version."""
+def measured(docs: DataFrame, versions=tuple(VERSIONS), keep=(), text="text") -> DataFrame:
+    """source, lang, kept columns and n: tokens by tokenizer version. All that deltas need; texts stay behind."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select("source", "lang", F.lit(version).alias("version"), F.lit(sign).cast("long").alias("n_docs"),
-                       (F.lit(sign) * VERSIONS[version](body)).cast("long").alias("n_tokens"))
+    return docs.select("source", "lang", *keep, F.create_map(*[x for v in versions for x in (
+        F.lit(v), VERSIONS[v](body).cast("long"))]).alias("n"))
+
+
+def signed(numbers: DataFrame, version, sign=1) -> DataFrame:
+    """Signed rows (source, lang, version, n_docs, n_tokens) of measured documents; `version` may be a column."""
+    version = F.lit(version) if isinstance(version, str) else version
+    return numbers.select("source", "lang", version.alias("version"), F.lit(sign).cast("long").alias("n_docs"),
+                          (F.lit(sign) * F.element_at("n", version)).cast("long").alias("n_tokens"))
+
+
+def counts(docs: DataFrame, version: str, sign=1, text="text") -> DataFrame:
+    """Signed rows of documents under one tokenizer version."""
+    return signed(measured(docs, (version,), text=text), version, sign)
+
+
+def moved(numbers: DataFrame, old: str, new: str) -> DataFrame:
+    """Signed rows that move measured documents from one tokenizer version to another."""
+    return signed(numbers, old, -1).unionByName(signed(numbers, new, 1))
 
 
 def revised(docs: DataFrame, old: str, new: str, text="text") -> DataFrame:
-    """Signed rows that move documents from one tokenizer version to another."""
-    return counts(docs, old, -1, text).unionByName(counts(docs, new, 1, text))
+    """`moved` for documents that are not measured yet."""
+    return moved(measured(docs, (old, new), text=text), old, new)
 
 
 def added(deltas: DataFrame) -> DataFrame:
