@@ -34,8 +34,8 @@ from aislemetry.llm.common import SLICE_BYTES, Words, buffers, mix, texts
 from aislemetry.session import shared_dir
 
 TOP = 20
-SEGMENT_DOCS = 8_192        # documents of a segment; an ordinal fits 16 bits
-SEGMENT_BYTES = 32 << 20
+SEGMENT_DOCS = 4_096        # documents of a segment; an ordinal fits 16 bits
+SEGMENT_BYTES = 16 << 20
 WINDOW = 64                 # ordinals that are skipped together
 SHORT = 1 / 32              # a list is short if it holds at most this share of the segment's documents
 STRIP = 32                  # windows scored at once; the threshold rises between strips
@@ -63,8 +63,8 @@ class _Segment:
         if len(words.start):
             _, at, n = np.unique(mix(words.hash + words.row.astype(np.uint64) * _K), return_index=True, return_counts=True)
             self.hashes.append(words.hash[at])
-            self.rows.append(place[words.row[at]])
-            self.counts.append(n)
+            self.rows.append(place[words.row[at]].astype(np.int32))
+            self.counts.append(n.astype(np.int32))
         self.ids.append(ids.filter(pa.array(some)))
         self.lengths.append(words.count[some])
         self.n += int(some.sum())
@@ -73,17 +73,17 @@ class _Segment:
     def row(self, id_type) -> pa.RecordBatch:
         ids = pa.concat_arrays([a.cast(id_type) for a in self.ids])
         order = pc.array_sort_indices(ids).to_numpy()
-        ordinal = np.empty(len(order), np.int64)
-        ordinal[order] = np.arange(len(order))
-        hashes, rows, counts = (np.concatenate(x) if x else np.zeros(0, np.int64)
+        ordinal = np.empty(len(order), np.int32)
+        ordinal[order] = np.arange(len(order), dtype=np.int32)
+        hashes, rows, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64)
                                 for x in (self.hashes, self.rows, self.counts))
-        at = ordinal[rows]
+        at = ordinal[rows.astype(np.int64)]
         by = np.lexsort((at, hashes))
         hashes, at, counts = hashes[by], at[by], counts[by]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         lengths = np.concatenate(self.lengths)[order]
         packed = [_packed(hashes[first]), _packed(np.append(first, len(hashes))), _packed(at.astype(np.uint16)),
-                  _packed(counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64)), _packed(lengths)]
+                  _packed(counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int32)), _packed(lengths)]
         return pa.RecordBatch.from_arrays(
             [pa.array([len(order)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()),
              pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), ids.take(pa.array(order))),
@@ -155,7 +155,7 @@ class Searcher:
         self.hashes = np.frombuffer(row["hashes"], np.uint64)
         self.starts = np.frombuffer(row["starts"], np.int64)
         self.ordinals = np.frombuffer(row["ordinals"], np.uint16)
-        kind = np.uint16 if len(row["counts"]) == 2 * len(self.ordinals) else np.int64
+        kind = np.uint16 if len(row["counts"]) == 2 * len(self.ordinals) else np.int32
         self.counts = np.frombuffer(row["counts"], kind)
         self.m = scale(np.frombuffer(row["lengths"], np.int64), n_docs, n_terms)
         self.windows = -(-self.n // WINDOW)
