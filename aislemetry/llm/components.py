@@ -48,10 +48,12 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     (node, component) edges, are in that state already.
     """
     now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    tasks = -(-now.count() // EDGES) or 1
+    now = now.coalesce(tasks)
     tasks, unsettled = _state(now)
     while unsettled:
         large = _star(now.coalesce(tasks), True).coalesce(tasks)
-        now = cut(_star(large, False).coalesce(tasks).distinct())
+        now = cut(_star(large, False).coalesce(tasks).distinct().coalesce(tasks))
         tasks, unsettled = _state(now)
     now = now.coalesce(tasks)
     # Every edge is (node, least node) now.

@@ -178,20 +178,23 @@ def _verified(batches, similarity):
                                          names=["a", "b"]).filter(pa.array(good))
 
 
-def _with_text(pairs: DataFrame, distinct: DataFrame, side: str) -> DataFrame:
-    """Join the text of one side; a text with many pairs is dealt over several keys."""
-    load = pairs.groupBy(side).agg(F.ceil(F.count("*") / F.lit(JOIN_ROWS)).cast("int").alias("__parts"))
+def _with_text(pairs: DataFrame, load: DataFrame, distinct: DataFrame, side: str) -> DataFrame:
+    """Join the text of one side; a text with many pairs is dealt over several keys, `load` tells how many."""
     spread = (distinct.join(load, distinct["rep"] == load[side], "inner")
-              .select(F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), side, "__parts",
+              .select(F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), side,
                       F.col("text").alias(f"text_{side}")))
-    other = "b" if side == "a" else "a"
-    keyed = pairs.join(load, side).withColumn("__part", F.pmod(F.xxhash64(other), F.col("__parts")).cast("int"))
-    return keyed.drop("__parts").join(spread.drop("__parts"), [side, "__part"]).drop("__part")
+    return pairs.withColumn("__part", F.col(f"__part_{side}")).join(spread, [side, "__part"]).drop("__part")
 
 
 def links(pairs: DataFrame, distinct: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """Those (a, b) of `pairs` whose texts align."""
-    full = _with_text(_with_text(pairs, distinct, "a"), distinct, "b")
+    """Those (a, b) of `pairs` whose texts align. Both loads are counted on the bare ids, before any text is there."""
+    load = {side: pairs.groupBy(side).agg(F.ceil(F.count("*") / F.lit(JOIN_ROWS)).cast("int").alias("__parts"))
+            for side in ("a", "b")}
+    dealt = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        dealt = dealt.join(load[side], side).withColumn(
+            f"__part_{side}", F.pmod(F.xxhash64(other), F.col("__parts")).cast("int")).drop("__parts")
+    full = _with_text(_with_text(dealt, load["a"], distinct, "a"), load["b"], distinct, "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(
         lambda it: _verified(it, similarity), "a long, b long")
 
@@ -377,10 +380,10 @@ def _apart(many: DataFrame, label: DataFrame, sketch: DataFrame, distinct: DataF
 
 def label_documents(docs: DataFrame, doc_id="doc_id", text="text", keep=None, **options) -> DataFrame:
     """The `keep` columns (default: all) of every row of `docs` with `class_id`, the least doc_id of its class."""
-    found = classes(docs, doc_id, text, **options).select(F.col("sha").alias("__own"), "class_id")
     names = [c for c in (keep or docs.columns) if c != "class_id"]
-    own = docs.select(*[F.col(f"`{c}`") for c in names], _sha(text).alias("__sha"))
-    return own.join(found, own["__sha"] == found["__own"]).drop("__sha", "__own")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _sha(text).alias("sha"))
+    found = classes(docs, doc_id, text, **options).select("sha", "class_id")
+    return own.join(found, "sha").select("row.*", "class_id")
 
 
 def one_per_class(docs: DataFrame, doc_id="doc_id", text="text", **options) -> DataFrame:
@@ -390,15 +393,13 @@ def one_per_class(docs: DataFrame, doc_id="doc_id", text="text", **options) -> D
     de-duplication.
     """
     found = classes(docs, doc_id, text, **options)
-    winners = cut(found.where(F.col("rep") == F.col("class_id")).select(
-        F.col("sha").alias("__own"), F.col("least").alias("__least"), "n_same"))
-    names = docs.columns
-    tagged = docs.withColumn("__sha", _sha(text)).withColumn("__id", F.col(f"`{doc_id}`").cast("long"))
-    own = [F.col(f"`{c}`") for c in names]
+    winners = cut(found.where(F.col("rep") == F.col("class_id")).select("sha", "least", "n_same"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _sha(text).alias("own"),
+                         F.col(f"`{doc_id}`").cast("long").alias("id"))
 
     def met(side):
-        return tagged.join(side, (tagged["__sha"] == side["__own"]) & tagged["__id"].eqNullSafe(side["__least"]))
+        return tagged.join(side, (tagged["own"] == side["sha"]) & tagged["id"].eqNullSafe(side["least"]))
 
-    once = met(winners.where("n_same = 1")).select(*own)
-    again = met(winners.where("n_same > 1")).dropDuplicates(["__sha"]).select(*own)
+    once = met(winners.where("n_same = 1")).select("row.*")
+    again = met(winners.where("n_same > 1")).dropDuplicates(["sha"]).select("row.*")
     return once.unionByName(again)
