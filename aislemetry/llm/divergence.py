@@ -34,6 +34,8 @@ SCALE = 1_000_000_000       # fixed value: unit of p
 TOP_TERMS = 200             # fixed value: ranks of the term part
 BLOCK = 2_048               # term ids of a block, on average
 TILE = 64                   # sources of a tile
+COUNT_BYTES = 12 << 20      # text that is counted before its sums leave a task
+BROADCAST_GROUPS = 100_000  # groups are broadcast up to this many rows, joined by (lang, source) beyond
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -48,20 +50,34 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     """The byte ranges as one text array."""
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    near = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.repeat((starts - offsets[:-1]).astype(near), sizes)
+    at += np.arange(offsets[-1], dtype=near)
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)),
                                             pa.py_buffer(np.ascontiguousarray(data[at])))
 
 
-def counted(batches):
-    """Occurrences and documents per (lang, source, term) of every Arrow batch."""
+def parts_of(batches, limit=COUNT_BYTES):
+    """Parts of Arrow batches with at most `limit` bytes of text, one row at least."""
     for batch in batches:
+        offsets = buffers(texts(batch.column("text")))[1]
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
+def counted(batches):
+    """Occurrences and documents per (lang, source, term) of every part of the Arrow batches."""
+    for batch in parts_of(batches):
         data, offsets = buffers(texts(batch.column("text")))
         data = _LOWER[data]
         keys = pa.table({"lang": batch.column("lang"), "source": batch.column("source")})
         pairs: dict = {}
         group = np.array([pairs.setdefault(k, len(pairs)) for k in zip(
-            keys["lang"].to_pylist(), keys["source"].to_pylist())], np.int64)
+            keys["lang"].to_pylist(), keys["source"].to_pylist())], np.int32)
+        near = np.int32 if len(data) < 1 << 31 else np.int64
         found, row, rows = [], 0, len(offsets) - 1
         while row < rows:
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
@@ -73,21 +89,26 @@ def counted(batches):
                                      return_counts=True)
                 limit = offsets[words.row[at] + row + 1] - low
                 after = np.append(words.start[1:], len(words.inside))[at]
-                found.append((words.hash[at], group[words.row[at] + row], n, words.start[at] + low,
-                              np.minimum(after, limit) + low))
+                found.append((words.hash[at], group[words.row[at] + row], n.astype(np.int32), (words.start[at] + low).astype(near),
+                              (np.minimum(after, limit) + low).astype(near)))
             row = end
         if not found:
             continue
         hashes, groups, n, starts, ends = map(np.concatenate, zip(*found))
-        _, at, code = np.unique(mix(hashes ^ mix(groups.astype(np.uint64) + np.uint64(1))), return_index=True,
-                                return_inverse=True)
-        starts, ends = starts[at], _trimmed(data, starts[at], ends[at])
+        del found, words
+        key = mix(hashes ^ mix(groups.astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sums, size = np.add.reduceat(n[order].astype(np.int64), first), np.diff(np.append(first, len(order)))
+        at = order[first]
+        del key, order, hashes
+        groups, starts = groups[at], starts[at].astype(np.int64)
+        ends = _trimmed(data, starts, ends[at].astype(np.int64))
         names = list(pairs)
         yield pa.RecordBatch.from_arrays([
-            pa.array([names[g][0] for g in groups[at]], pa.string()),
-            pa.array([names[g][1] for g in groups[at]], pa.string()),
-            _gathered(data, starts, ends).cast(pa.string()),
-            pa.array(np.bincount(code, n).astype(np.int64)), pa.array(np.bincount(code).astype(np.int64))],
+            pa.array([names[g][0] for g in groups], pa.string()), pa.array([names[g][1] for g in groups], pa.string()),
+            _gathered(data, starts, ends).cast(pa.string()), pa.array(sums), pa.array(size)],
             ["lang", "source", "term", "n", "docs"])
 
 
@@ -114,14 +135,10 @@ def cells(docs: DataFrame, min_docs=MIN_DOCS) -> DataFrame:
 # ---------------------------------------------------------------- integer formulas
 
 def likelihood(count: Column, total: Column) -> Column:
-    """1 + floor(10^9 (count + 1) / total) by long division in steps of a thousand; count is below total."""
-    rest = count + 1
-    whole = _div(rest, total)
-    digits, rest = whole, rest - whole * total
-    for _ in range(3):
-        step = _div(rest * 1000, total)
-        digits, rest = digits * 1000 + step, rest * 1000 - step * total
-    return digits + 1
+    """1 + floor(10^9 (count + 1) / total), in decimals where 64 bits do not hold the product."""
+    wide = (count + 1).cast("decimal(20,0)") * F.lit(SCALE)
+    return F.when(count < 9_000_000_000, _div((count + 1) * SCALE, total)).otherwise(
+        _div(wide, total.cast("decimal(20,0)"))) + 1
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -156,9 +173,8 @@ def sources(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def bitsets(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, block, n_block, source, n, word, bits: which terms of the block occur n times in the source."""
-    sizes = groups.select("lang", "blocks").distinct()
     in_block = Window.partitionBy("lang", "block")
-    ids = (kept.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    ids = (kept.join(groups.select("lang", "source", "blocks"), ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
            .withColumn("id", F.dense_rank().over(in_block.orderBy("term")) - 1)
            .withColumn("n_block", F.max("id").over(in_block).cast("long") + 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
@@ -248,6 +264,8 @@ def audit(docs: DataFrame, min_docs=MIN_DOCS, top_terms=TOP_TERMS) -> DataFrame:
     """lang, source, part (`pair` or `term`), item, value, rank."""
     kept = cut(cells(docs, min_docs))
     groups = cut(sources(docs, kept))
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
 
     def ranked(rows, part):
