@@ -409,7 +409,6 @@ def ema(df, keys, order, value, alpha, name, chunk_s=None, blend_first=False) ->
     return _fold(df, keys, order, chunk_s, walker, out, report, chainer, T.DoubleType())
 
 
-# --- greedy thinning ---------------------------------------------------------
 def _groups(batches, keys):
     """Consecutive rows of one key out of sorted batches.
 
@@ -435,68 +434,3 @@ def _groups(batches, keys):
         starts = [0] + [k for k in new.nonzero()[0].tolist() if k > 0]
         for a, b in zip(starts, [*starts[1:], n]):
             yield pdf, a, b, bool(new[a])
-
-
-def throttle(df: DataFrame, keys, order, period, chunk_s=None, strict=False) -> DataFrame:
-    """Keep a row iff it is `period` or more after the last kept row of its key.
-
-    The decision depends on the last *kept* row, so it is a fold, not a window. A
-    chunk is summed up by the rows that could be its first kept one, with the
-    kept time each would end on: those are the rows less than one period after
-    the chunk's first, plus the one after them.
-    """
-    keys, order = list(keys), list(order)
-    t = order[0]
-
-    def due(now, last):
-        return now - last > period if strict else now - last >= period
-
-    def walker(by, entry):
-        def run(batches):
-            last, current, keep = float("-inf"), None, []
-            for pdf, a, b, new in _groups(batches, by):
-                if current is not pdf:
-                    if current is not None:
-                        yield current.iloc[keep]
-                    current, keep = pdf, []
-                    ts = pdf[t].tolist()
-                if new:
-                    last = float("-inf")
-                    if entry is not None and pdf[entry].iloc[a] == pdf[entry].iloc[a]:
-                        last = float(pdf[entry].iloc[a])
-                for i in range(a, b):
-                    if due(ts[i], last):
-                        keep.append(i)
-                        last = ts[i]
-            if current is not None:
-                yield current.iloc[keep]
-        return run
-
-    def summarise(ts):
-        n, end, j = len(ts), list(ts), len(ts)
-        for i in range(n - 1, -1, -1):
-            while j - 1 > i and due(ts[j - 1], ts[i]):
-                j -= 1
-            if j < n:
-                end[i] = end[j]
-        stop = 0
-        while stop < n - 1 and not due(ts[stop], ts[0]):
-            stop += 1
-        return ts[:stop + 1], end[:stop + 1]
-
-    def chainer(by):
-        def run(batches):
-            last = float("-inf")
-            for pdf, a, b, new in _groups(batches, by):
-                if new:
-                    last = float("-inf")
-                part, entry = pdf.iloc[a:b], []
-                for cin, cout in zip(part["__in"], part["__out"]):
-                    entry.append(last)
-                    last = next((float(y) for x, y in zip(cin, cout) if due(x, last)), last)
-                yield part.assign(__entry=entry).drop(columns=["__in", "__out"])
-        return run
-
-    report = (lambda by: _chunk_reporter(by, [t], ["__in", "__out"], summarise), order,
-              [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("__in", "__out")])
-    return _fold(df, keys, order, chunk_s, walker, df.schema, report, chainer, T.DoubleType())

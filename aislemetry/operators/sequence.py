@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from aislemetry.functions import geometry as G
 from aislemetry.functions import queueing as Q
 from aislemetry.operators.ordered import (First, LastValid, Next, NextValid, Prev, RunMin, RunSum,
-                                          Tail, WholeMax, WholeSum, ema, resolve, scan, throttle)
+                                          Tail, WholeMax, WholeSum, ema, resolve, scan)
+from aislemetry.operators.thinning import throttle
 
 ORDER = ("t", "seq")
 
@@ -97,7 +98,7 @@ def crossings(points: DataFrame, wires: DataFrame, band=12.0, debounce=2.0,
         *keys, F.col("t_emit").alias("t"), "seq",
         G.crossing_direction(q1, q2, F.col("in_dir"),
                              G.side_of(q1, q2, F.col("u"), F.col("v")) > 0).alias("dir"))
-    return throttle(hits, keys, ORDER, debounce, chunk_s)
+    return throttle(hits, keys, ORDER, debounce)
 
 
 def close_stockouts(events: DataFrame, keys=("run_id", "roi", "sku"), chunk_s="auto") -> DataFrame:
@@ -280,14 +281,9 @@ def alerts_from_events(stockouts, queue, occupancy, clock=None, target_wait_s=18
     hits = alert_candidates(stockouts, queue, occupancy, clock, target_wait_s, capacity,
                             chunk_s=chunk_s)
     cooldown = {r: c for r, (_, c) in ALERT_RULES.items()} | dict(rules or {})
-    keys = ["store_id", "rule", *extra_keys]
-    chunk_s = resolve(chunk_s, hits, keys)
-    out = None
-    for seconds in sorted(set(cooldown.values())):
-        named = [r for r, c in cooldown.items() if c == seconds]
-        part = throttle(hits.where(F.col("rule").isin(*named)), keys, ORDER, seconds, chunk_s)
-        out = part if out is None else out.unionByName(part)
-    return out
+    seconds = F.element_at(F.create_map(*[F.lit(x) for r, c in cooldown.items() for x in (r, float(c))]), F.col("rule"))
+    return throttle(hits.withColumn("__period", seconds), ["store_id", "rule", *extra_keys], ORDER, "__period").drop(
+        "__period")
 
 
 def arrival_rate(entries: DataFrame, probes: DataFrame, window=300.0, keys=("run_id",),
@@ -329,7 +325,7 @@ def queue_estimates(lanes: DataFrame, service_s=45.0, alpha=0.3, period=None,
     chunk_s = resolve(chunk_s, lanes, keys)
     q = lanes.select(*keys, "t", "seq", Q.naive_count(F.slice("cells", 1, 16)).alias("__raw"))
     if period:
-        q = throttle(q, keys, ORDER, period, chunk_s)
+        q = throttle(q, keys, ORDER, period)
     q = ema(q, keys, ORDER, "__raw", alpha, "__c", chunk_s)
     return q.select(*keys, "t", "seq", F.round("__c", 2).alias("count"),
                     F.round(F.col("__c") * service_s, 1).alias("pred_wait_s"))
@@ -340,7 +336,7 @@ def staffing_alerts(entries, probes, counters=2, service_s=45.0, target_wait_s=1
     """Advice to open counters, judged at most once per `period`."""
     keys = list(keys)
     chunk_s = resolve(chunk_s, probes, keys)
-    ticks = throttle(probes.select(*keys, "t", "seq"), keys, ORDER, period, chunk_s)
+    ticks = throttle(probes.select(*keys, "t", "seq"), keys, ORDER, period)
     rate = arrival_rate(entries, ticks, window, keys, chunk_s)
     advice = Q.staffing_advice(F.lit(counters), F.col("lambda_per_s"), F.lit(1.0 / service_s),
                                F.lit(float(target_wait_s)))
@@ -419,7 +415,7 @@ def reach_events(motion: DataFrame, min_ratio=0.05, peak=120, strong_ratio=0.12,
                                     F.bool_and(watch).alias("__w"))
     r = r.where(F.col("__e").isNotNull() & (F.col("frames") >= min_frames) & F.col("__w"))
     picks = r.select(*keys, F.col("__e.t").alias("t"), F.col("__e.seq").alias("seq"), "frames")
-    return throttle(picks, keys, ORDER, cooldown, chunk_s, strict=True)
+    return throttle(picks, keys, ORDER, cooldown, strict=True)
 
 
 def _count_of(array, value):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from aislemetry.functions import timebuckets as TB
 from aislemetry.operators import sequence as S
-from aislemetry.operators.ordered import ema, resolve, throttle
+from aislemetry.operators.ordered import ema, resolve
+from aislemetry.operators.thinning import throttle
 from aislemetry.plans import kpis as K
 from aislemetry.plans.registry import query
 from aislemetry.plans.views import EMPTY_BELOW, LOW_BELOW, WIRES
@@ -26,7 +27,7 @@ def kept(source, period, op=">="):
     AND kept.t = s.t""")
 def _(v):
     occ = v.occupancy.select("run_id", "t", "seq", "count")
-    return throttle(occ, ["run_id"], ["t", "seq"], HOURS6, resolve("auto", occ, ["run_id"]))
+    return throttle(occ, ["run_id"], ["t", "seq"], HOURS6)
 
 
 @query("visits", "SELECT * FROM v_visit")

@@ -12,7 +12,8 @@ from aislemetry.functions import geometry as G
 from aislemetry.functions import labels as L
 from aislemetry.functions import timebuckets as TB
 from aislemetry.operators.asof import exists_within, nearest
-from aislemetry.operators.ordered import NextValid, Prev, RunSum, WholeSum, resolve, scan, throttle
+from aislemetry.operators.ordered import NextValid, Prev, RunSum, WholeSum, resolve, scan
+from aislemetry.operators.thinning import throttle
 
 GRID_W, GRID_H = 16, 12
 RUN = "run_id"
@@ -169,7 +170,7 @@ def heatmap_accumulate(cells, frames=None, publish_s=None, chunk_s="auto"):
         return n.withColumn("count", F.sum("n").over(w)).drop("n")
     frames = (cells if frames is None else frames).select(RUN, "t").distinct()
     chunk_s = resolve(chunk_s, frames, [RUN])
-    ticks = throttle(frames, [RUN], ["t"], publish_s, chunk_s)
+    ticks = throttle(frames, [RUN], ["t"], publish_s)
     ticks = scan(ticks, [RUN], ["t"], {"__p": Prev(F.col("t"))}, chunk_s)
     ticks = ticks.where(F.col("__p").isNotNull()).select(RUN, "t")
     # A sample first shows at the next publish at or after it.

@@ -121,7 +121,7 @@ def throttle_step(period, columns):
 
 
 def stream_throttle(df: DataFrame, period, keys, key_ddl, columns, column_ddl) -> DataFrame:
-    """Streaming form of `ordered.throttle`, e.g. alert cooldowns per store and rule."""
+    """Streaming form of `thinning.throttle`, e.g. alert cooldowns per store and rule."""
     keep = ["t", "seq", *columns]
     p = Fold(throttle_step(period, keep), "last double", (None,), [*keys, *keep], list(keys))
     extra = f", {column_ddl}" if column_ddl else ""

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from aislemetry.operators import asof
 from aislemetry.operators.ordered import (First, LastValid, Next, NextValid, Prev, RunMax, RunMin, RunSum, Tail,
-                                          WholeMax, WholeSum, chunk_seconds, ema, scan, throttle)
+                                          WholeMax, WholeSum, chunk_seconds, ema, scan)
+from aislemetry.operators.thinning import due_from, throttle
 
 ROWS = None
 
@@ -40,9 +41,20 @@ def test_chunk_seconds_bounds_every_chunk(df):
     assert worst <= 20
 
 
-@pytest.mark.parametrize("chunk", [None, 6.0, 45.0])
-@pytest.mark.parametrize("period,strict", [(3.0, False), (17.0, True), (150.0, False)])
-def test_throttle_matches_a_loop(df, chunk, period, strict):
+@pytest.fixture(params=[1, 2, 7])
+def ranges(spark, request):
+    """Rows lie in that many ranges, so keys are cut anywhere."""
+    wanted = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("period,strict", [(3.0, False), (17.0, True), (150.0, False), (0.0, True), (0.0, False), (0.1, False)])
+def test_throttle_matches_a_loop(spark, df, ranges, period, strict):
     want = []
     for k in "ab":
         last = float("-inf")
@@ -50,10 +62,57 @@ def test_throttle_matches_a_loop(df, chunk, period, strict):
             if t - last > period or (t - last == period and not strict):
                 want.append(s)
                 last = t
-    got = throttle(df.drop("v"), ["k"], ["t", "seq"], period, chunk, strict)
+    got = throttle(df.drop("v"), ["k"], ["t", "seq"], period, strict)
     assert sorted(r.seq for r in got.collect()) == sorted(want)
 
 
+def looped(times, period):
+    kept, last = [], float("-inf")
+    for t in times:
+        if t - last >= period:
+            kept.append(t)
+            last = t
+    return kept
+
+
+def test_throttle_spreads_one_hot_key(spark, ranges):
+    """A key of 200,000 rows, dense and sparse by turns, with ties across every cut."""
+    rng = random.Random(4)
+    times = sorted([rng.uniform(0, 100.0) for _ in range(60_000)] + [float(rng.randint(5_000, 5_040)) for _ in range(100_000)]
+                   + [rng.uniform(0, 400_000.0) for _ in range(39_997)] + [1e6, 1e6, 1e6])
+    d = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "t double, seq bigint").repartition(4)
+    for period in (0.004, 33.0, 3600.0):
+        got = throttle(d, [], ["t", "seq"], period)
+        first = {}
+        for i, t in enumerate(times):
+            first.setdefault(t, i)
+        want = looped(times, period)
+        assert sorted(map(tuple, got.collect())) == [(t, first[t]) for t in want]
+
+
+def test_throttle_of_odd_rows(spark, ranges):
+    """Null and NaN times, null keys, repeated rows, a period per key, an empty table."""
+    data = [("a", 1.0, 1, 2.0), ("a", 1.0, 1, 2.0), ("a", None, 2, 2.0), ("a", float("nan"), 3, 2.0), ("a", 3.0, 4, 2.0),
+            (None, 1.0, 5, 4.0), (None, 4.0, 6, 4.0), (None, 5.0, 7, 4.0), ("b", float("-1e300"), 8, 1.0), ("b", 0.1, 9, 1.0)]
+    d = spark.createDataFrame(data, "k string, t double, seq bigint, p double")
+    got = throttle(d, ["k"], ["t", "seq"], "p")
+    assert sorted((r.k or "", r.seq) for r in got.collect()) == [("", 5), ("", 7), ("a", 1), ("a", 4), ("b", 8), ("b", 9)]
+    assert got.columns == d.columns and throttle(d.limit(0), ["k"], ["t"], 1.0).collect() == []
+
+
+def test_due_times_are_exact():
+    import numpy as np
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = rng.choice([rng.uniform(-5, 5), 1.7e9 + rng.random(), -1e-12, 0.0, 1e17])
+        p = rng.choice([0.1, 0.3, 1e-9, 21600.0, rng.random(), 3.3])
+        for strict in (False, True):
+            u = float(due_from(t, p, strict))
+            below = float(np.nextafter(u, -np.inf))
+            assert (u - t > p) if strict else (u - t >= p)
+            assert below <= t or not ((below - t > p) if strict else (below - t >= p))
+
+
 @pytest.mark.parametrize("chunk", [None, 25.0])
 def test_ema_matches_a_loop(df, chunk):
     want, state = {}, {}
@@ -132,5 +191,5 @@ def test_null_keys_survive_chunks(spark):
         e = {r.seq: r.e for r in ema(d, ["k"], ["t", "seq"], "v", 0.3, "e", chunk).collect()}
         assert e == pytest.approx(loop(lambda s, t, x: (x if s is None else 0.3 * x + 0.7 * s,) * 2))
         kept = loop(lambda s, t, x: (t, True) if s is None or t - s >= 5 else (s, False))
-        got = throttle(d, ["k"], ["t", "seq"], 5.0, chunk)
+        got = throttle(d, ["k"], ["t", "seq"], 5.0)
         assert sorted(r.seq for r in got.collect()) == [s for s, yes in kept.items() if yes]

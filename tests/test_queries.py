@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from aislemetry.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not mounted")
 
 
@@ -40,6 +41,7 @@ def same(a, b, slack):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) - len(ORACLES) <= 8
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
