@@ -73,11 +73,82 @@ def sliding_arrivals(entries: DataFrame, delay="10 minutes", length="5 minutes",
                     (F.col("arrivals") / seconds).alias("lambda_per_s"))
 
 
-def run_available(stream: DataFrame, mode="append", name="stream") -> DataFrame:
-    """Run a stream over everything available, to a table in the shared folder."""
+def run_available(stream: DataFrame, mode="append", name="stream", closing=None) -> DataFrame:
+    """Run a stream over everything available, to a table in the shared folder.
+
+    `closing(spark, checkpoint)` gives the rows that the stopped stream still holds (`folds.held`); they follow.
+    """
     spark = stream.sparkSession
     out, state = shared_dir(spark, f"{name}-out"), shared_dir(spark, f"{name}-state")
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema).parquet(out)
+    return rows if closing is None else rows.unionByName(closing(spark, state))
+
+
+def upsert(stream: DataFrame, base: str, checkpoint: str, trigger=None):
+    """Write every change of an aggregation (update mode); `latest` resolves each key to its last change.
+
+    A micro-batch holds one row per changed key and replaces the folder that an earlier attempt of it left, so a key
+    is present once however often it changed or a batch was retried, and open windows are there too.
+    """
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+
+    return (stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
+def latest(spark: SparkSession, base: str, keys, schema) -> DataFrame:
+    """The table that `upsert` keeps below `base`: the last change of every key."""
+    names = [f.name for f in schema.fields]
+    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.fields)}, batch_id long"
+                             ).option("basePath", base).parquet(f"{base}/batch_id=*")
+    values = [c for c in names if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in names])
+
+
+def run_upserts(stream: DataFrame, keys, name="upsert") -> DataFrame:
+    """`upsert` over everything available, as a table."""
+    spark = stream.sparkSession
+    base = shared_dir(spark, f"{name}-out")
+    upsert(stream, base, shared_dir(spark, f"{name}-state"), {"availableNow": True}).awaitTermination()
+    return latest(spark, base, keys, stream.schema)
+
+
+def split_late(events: DataFrame, base: str, checkpoint: str, delay_s: float, trigger=None):
+    """Write rows to `on_time` or, where they are behind the watermark, to `late`; no row is lost.
+
+    The watermark of a batch is the greatest time of all earlier batches less the delay, as the engine's own is. The
+    greatest time of every batch is kept below `marks`, so a retried batch is split as it was at first.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int):
+        top = None
+        if batch_id:
+            marks = spark.read.schema("t double, batch_id long").option("basePath", f"{base}/marks").parquet(
+                f"{base}/marks/batch_id=*")
+            top = marks.where(F.col("batch_id") < batch_id).agg(F.max("t")).first()[0]
+        late = F.lit(False) if top is None else F.coalesce(F.col("t") < top - delay_s, F.lit(False))
+        batch.persist()
+        try:
+            batch.agg(F.max("t").alias("t")).write.mode("overwrite").parquet(f"{base}/marks/batch_id={batch_id}")
+            for name, rows in (("on_time", batch.where(~late)), ("late", batch.where(late))):
+                rows.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
+def replayed(rows: DataFrame, part, parts: int, files=2) -> DataFrame:
+    """A stream of `rows` whose micro-batch k holds the rows with `part` k: an arrival order of one's own choice."""
+    spark = rows.sparkSession
+    folder = shared_dir(spark, "replay")
+    for k in range(parts):
+        rows.where(part == k).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -5,9 +5,16 @@ Rows of a key are sorted by (t, seq) inside each micro-batch and folded through
 one key brings per batch is bounded by the source's admission limit
 (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`). A key that has been silent for
 `idle_s` of event time is closed by a timer, which flushes open visits.
+
+With `reorder`, rows first wait in keyed state until the watermark has passed them and are folded in order then, so
+files that arrive out of order give the results of sorted ones; what waits per key is bounded by the watermark delay.
+What a stopped stream still holds, state and waiting rows, is read from its checkpoint as a table and closed by the
+same fold (`held`), so the end of the input is no different from a later row.
 """
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -19,17 +26,40 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 VISIT_STATE = ("zone string, since double, run string, run_since double, seen boolean, last double")
 
 
+def _plain(value):
+    """A cell as state takes it: lists for arrays, None for missing numbers and texts."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return None if isinstance(value, float) and value != value else value
+
+
 class Fold(StatefulProcessor):
     """Runs a step function over one value state."""
 
     def __init__(self, step: Callable, state_ddl: str, start: tuple, columns: list[str],
-                 keys: list[str], finish: Callable | None = None, idle_s: float | None = None):
+                 keys: list[str], finish: Callable | None = None, idle_s: float | None = None,
+                 reorder: str | None = None):
+        if reorder and idle_s is not None:
+            raise ValueError("a reordering fold closes its keys at the end of the input")
         self.step, self.state_ddl, self.start = step, state_ddl, start
         self.columns, self.keys, self.finish, self.idle_s = columns, keys, finish, idle_s
+        self.reorder = reorder           # columns that the step reads, t and seq first, as DDL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("fold", self.state_ddl)
+        if self.reorder:
+            self.waiting = handle.getListState("waiting", self.reorder)
+
+    def _folded(self, state, rows):
+        outputs = []
+        for row in rows:
+            state, out = self.step(state, row)
+            outputs.extend(out)
+        return state, outputs
+
+    def _row_names(self):
+        return [c.split()[0] for c in re.split(r",\s*(?![^<>]*>)", self.reorder)]
 
     def _frame(self, key, outputs):
         head = dict(zip(self.keys, key))
@@ -37,11 +67,12 @@ class Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "seq"], kind="stable")
+        if self.reorder:
+            self.waiting.appendList([tuple(map(_plain, r)) for r in zip(*[batch[c].tolist() for c in self._row_names()])])
+            self._wake(float(batch["t"].iloc[0]))
+            return
         state = self.value.get() if self.value.exists() else self.start
-        outputs = []
-        for row in batch.to_dict("records"):
-            state, out = self.step(state, row)
-            outputs.extend(out)
+        state, outputs = self._folded(state, batch.to_dict("records"))
         self.value.update(state)
         if self.idle_s is not None:
             for timer in list(self.handle.listTimers()):
@@ -49,7 +80,37 @@ class Fold(StatefulProcessor):
             self.handle.registerTimer(int((float(batch["t"].max()) + self.idle_s) * 1000))
         yield self._frame(key, outputs)
 
+    def _wake(self, t):
+        """One timer, at the first row that waits."""
+        timers = list(self.handle.listTimers())
+        due = math.ceil(t * 1000)
+        if not timers or due < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+
+    def _release(self, until_ms):
+        """Fold the waiting rows that no later row can precede any more."""
+        names = self._row_names()
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        ready = [r for r in rows if r[0] * 1000 <= until_ms]
+        rest = rows[len(ready):]
+        if not ready:
+            return []
+        state, outputs = self._folded(self.value.get() if self.value.exists() else self.start,
+                                      [dict(zip(names, r)) for r in ready])
+        self.value.update(state)
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        return outputs
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.reorder:
+            yield self._frame(key, self._release(timerValues.getCurrentWatermarkInMs()))
+            return
         outputs = self.finish(self.value.get()) if self.finish and self.value.exists() else []
         self.value.clear()
         yield self._frame(key, outputs)
@@ -59,10 +120,38 @@ class Fold(StatefulProcessor):
 
 
 def run_fold(df: DataFrame, keys, schema: str, processor: Fold) -> DataFrame:
-    """Attach a fold to a stream. With `idle_s` the input needs a `ts` watermark."""
-    mode = "EventTime" if processor.idle_s is not None else "None"
-    return df.groupBy(*keys).transformWithStateInPandas(
+    """Attach a fold to a stream. With `idle_s` or `reorder` the input needs a `ts` watermark."""
+    mode = "EventTime" if processor.idle_s is not None or processor.reorder else "None"
+    out = df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+    out.fold = processor
+    return out
+
+
+def held(spark, state: str, processor: Fold, schema) -> DataFrame:
+    """Rows that closing every key of a stopped stream gives: waiting rows folded, then the fold's `finish`.
+
+    Both are read from the checkpoint `state` as tables; one key's share is what its state and waiting rows hold.
+    """
+    def read(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(state)
+
+    names = processor.keys
+    rows = read("fold").select("key.*", F.struct("value.*").alias("state"))
+    if not processor.reorder:
+        rows = rows.withColumn("row", F.lit(None).cast("struct<t:double>"))
+    else:
+        late = read("waiting").select("key.*", F.col("list_element").alias("row"))
+        rows = rows.unionByName(late, allowMissingColumns=True)
+
+    def close(key, pdf):
+        some = [s for s in pdf["state"] if s is not None]
+        state = tuple(some[0].values()) if some else processor.start
+        waiting = sorted((r for r in pdf["row"] if r is not None), key=lambda r: (r["t"], r["seq"]))
+        state, outputs = processor._folded(state, waiting)
+        return processor._frame(key, outputs + (processor.finish(state) if processor.finish else []))
+
+    return rows.groupBy(*names).applyInPandas(close, schema)
 
 
 def with_event_time(df: DataFrame, delay="10 minutes") -> DataFrame:
@@ -100,12 +189,12 @@ def visit_step(debounce, min_visit):
 
 
 def stream_visits(obs: DataFrame, debounce=1.0, min_visit=2.0, idle_s=30.0,
-                  keys=("run_id", "track_id"), key_ddl="run_id string, track_id bigint") -> DataFrame:
-    """Streaming form of `sequence.visits`; silence of `idle_s` ends a track."""
+                  keys=("run_id", "track_id"), key_ddl="run_id string, track_id bigint", reorder=False) -> DataFrame:
+    """Streaming form of `sequence.visits`; silence of `idle_s` ends a track (None: only the end of the input)."""
     step, finish = visit_step(debounce, min_visit)
     cols = ["zone", "t_enter", "t_exit", "dwell_s"]
     p = Fold(step, VISIT_STATE, (None, 0.0, None, 0.0, False, 0.0), [*keys, *cols], list(keys),
-             finish, idle_s)
+             finish, idle_s, "t double, seq bigint, zone string" if reorder else None)
     ddl = f"{key_ddl}, zone string, t_enter double, t_exit double, dwell_s double"
     return run_fold(obs, keys, ddl, p)
 
@@ -128,14 +217,15 @@ def stream_throttle(df: DataFrame, period, keys, key_ddl, columns, column_ddl) -
     return run_fold(df, keys, f"{key_ddl}, t double, seq bigint{extra}", p)
 
 
-def stream_ema(df: DataFrame, value, alpha, keys, key_ddl) -> DataFrame:
+def stream_ema(df: DataFrame, value, alpha, keys, key_ddl, reorder=False) -> DataFrame:
     """Streaming form of `ordered.ema`: run value per row."""
     def step(state, row):
         x = float(row[value])
         s = x if state[0] is None else alpha * x + (1.0 - alpha) * state[0]
         return (s,), [{"t": row["t"], "seq": row["seq"], "smooth": s}]
 
-    p = Fold(step, "s double", (None,), [*keys, "t", "seq", "smooth"], list(keys))
+    p = Fold(step, "s double", (None,), [*keys, "t", "seq", "smooth"], list(keys),
+             reorder=f"t double, seq bigint, {value} double" if reorder else None)
     return run_fold(df, keys, f"{key_ddl}, t double, seq bigint, smooth double", p)
 
 
@@ -215,10 +305,11 @@ def crossing_step(band, debounce):
 
 def stream_crossings(points: DataFrame, wires: DataFrame, band=12.0, debounce=2.0,
                      keys=("run_id", "track_id", "wire_id"),
-                     key_ddl="run_id string, track_id bigint, wire_id string") -> DataFrame:
+                     key_ddl="run_id string, track_id bigint, wire_id string", reorder=False) -> DataFrame:
     """Streaming form of `sequence.crossings` over a stream-static join with the wires."""
+    row = "t double, seq bigint, u double, v double, q1 array<double>, q2 array<double>, in_dir string"
     p = Fold(crossing_step(band, debounce), "side int, au double, av double, fired double",
-             (None, None, None, None), [*keys, "t", "seq", "dir"], list(keys))
+             (None, None, None, None), [*keys, "t", "seq", "dir"], list(keys), reorder=row if reorder else None)
     return run_fold(points.join(wires, "stream"), keys, f"{key_ddl}, t double, seq bigint, dir string", p)
 
 
@@ -262,3 +353,85 @@ def stream_inventory(rows: DataFrame, confirm=15, agreement=0.85, keys=("run_id"
     p = Fold(inventory_step(confirm, agreement), "stock int, marks string", (None, None),
              [*keys, *cols], list(keys))
     return run_fold(rows, keys, f"{key_ddl}, t double, seq bigint, removed int, remaining int, rule string", p)
+
+
+# --- heartbeat -------------------------------------------------------------------
+class Heartbeat(StatefulProcessor):
+    """One row per period and key from its first reading on, whether readings come or not.
+
+    A timer at the end of every period emits the period's last reading, or zero, and sets the next timer, so a silent
+    key keeps reporting for as long as the watermark moves. State: the period due next, and the last reading of every
+    period that is not over yet.
+    """
+
+    def __init__(self, keys, period: float, value: str):
+        self.keys, self.period, self.field = list(keys), period, value
+        self.columns = [*self.keys, "tick", value]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "tick long")
+        self.open = handle.getMapState("open", "tick long", "t double, seq long, count long")
+
+    def _timer(self, tick):
+        self.handle.registerTimer(math.ceil((tick + 1) * self.period * 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "seq"], kind="stable")
+        ticks = np.floor(batch["t"].to_numpy() / self.period).astype(np.int64)
+        for i in np.append(np.flatnonzero(ticks[1:] != ticks[:-1]), len(ticks) - 1):
+            row, at = batch.iloc[int(i)], (int(ticks[i]),)
+            now = (float(row["t"]), int(row["seq"]), int(row[self.field]))
+            if not self.open.containsKey(at) or tuple(self.open.getValue(at))[:2] < now[:2]:
+                self.open.updateValue(at, now)
+        first = int(ticks[0])
+        if not self.due.exists() or first < self.due.get()[0]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.due.update((first,))
+            self._timer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, tick, out = timerValues.getCurrentWatermarkInMs(), self.due.get()[0], []
+        while (tick + 1) * self.period * 1000 <= now:
+            value = 0
+            if self.open.containsKey((tick,)):
+                value = self.open.getValue((tick,))[2]
+                self.open.removeKey((tick,))
+            out.append((*key, tick, value))
+            tick += 1
+        self.due.update((tick,))
+        self._timer(tick)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_heartbeat(readings: DataFrame, period: float, value="count", keys=("run_id",),
+                     key_ddl="run_id string") -> DataFrame:
+    """keys, tick (number of the period) and the period's last reading, zero where there is none.
+
+    readings: keys, t, seq, value, and a `ts` watermark. Readings of periods that are over are late and not taken.
+    """
+    p = Heartbeat(keys, period, value)
+    out = readings.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=p, outputStructType=f"{key_ddl}, tick bigint, {value} bigint", outputMode="Append",
+        timeMode="EventTime")
+    out.fold = p
+    return out
+
+
+def held_ticks(spark, state: str, processor: Heartbeat) -> DataFrame:
+    """Periods of a stopped stream that were still open, each key's up to its last reading."""
+    def read(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(state)
+
+    value = processor.field
+    due = read("due").select("key.*", F.col("value.tick").alias("due"))
+    seen = read("open").select("key.*", F.col("user_map_key.tick").alias("tick"), F.col("user_map_value.count").alias(value))
+    ends = seen.groupBy(*processor.keys).agg(F.max("tick").alias("last"))
+    spine = due.join(ends, processor.keys).where("due <= last").select(
+        *processor.keys, F.explode(F.sequence("due", "last")).alias("tick"))
+    return spine.join(seen, [*processor.keys, "tick"], "left").fillna(0, [value])

@@ -99,3 +99,109 @@ def test_streamed_json_envelopes(spark, tmp_path):
     s = RD.read_events(spark, str(tmp_path / "e"), streaming=True)
     got = flows.run_available(s.select("t", "payload")).first()
     assert s.isStreaming and json.loads(got.payload) == {"count": 3}
+
+
+# --- order, late rows, end of input ----------------------------------------------
+def arrivals(spark, tmp_path, batches, ddl):
+    """Each list of rows is one micro-batch."""
+    path = str(tmp_path / "arrivals")
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path), spark.read.parquet(path)
+
+
+OBS = "run_id string, track_id bigint, t double, seq bigint, zone string"
+
+
+def wandering(n=300, seed=21):
+    rng = random.Random(seed)
+    rows, zone = [], {}
+    for i in range(n):
+        k = 1 + i % 3
+        if rng.random() < 0.15:
+            zone[k] = rng.choice(["a", "b", None])
+        rows.append(("r", k, 100.0 + i * 0.5, i, zone.get(k)))
+    return rows
+
+
+def close_all(stream, name="fold"):
+    return flows.run_available(stream, name=name, closing=lambda spark, state: folds.held(
+        spark, state, stream.fold, stream.schema))
+
+
+def test_shuffled_arrival_gives_the_rows_of_the_sorted_one(spark, tmp_path):
+    rng = random.Random(22)
+    rows = wandering()
+    # Every row comes up to 20 s after its place, well inside the delay of a minute.
+    order = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 20.0))
+    batches = [order[i:i + 50] for i in range(0, 300, 50)]
+    stream, batch = arrivals(spark, tmp_path, batches, OBS)
+    timed = folds.with_event_time(stream, "1 minute")
+    got = close_all(folds.stream_visits(timed, 1.0, 2.0, idle_s=None, reorder=True))
+    want = S.visits(batch, 1.0, 2.0, chunk_s=None).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+
+
+def test_end_of_input_closes_what_is_open(spark, tmp_path):
+    rows = wandering(seed=23)
+    stream, batch = arrivals(spark, tmp_path, [rows[:150], rows[150:]], OBS)
+    open_ = folds.stream_visits(stream, 1.0, 2.0, idle_s=None)
+    got = close_all(open_)
+    want = S.visits(batch, 1.0, 2.0, chunk_s=None).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # Without the closing step the last visit of every track is missing.
+    assert flows.run_available(folds.stream_visits(stream, 1.0, 2.0, idle_s=None)).count() == got.count() - sum(
+        1 for k in (1, 2, 3) if max(r.t_exit for r in want.where(f"track_id = {k}").collect())
+        == max(r[2] for r in rows if r[1] == k))
+
+
+def test_waiting_rows_keep_ties_and_gaps(spark, tmp_path):
+    """Equal times are folded by seq; missing values and repeated rows survive the wait."""
+    rows = [("r", 10.0, 2, 4.0), ("r", 10.0, 1, 2.0), ("r", 9.0, 0, 1.0), ("r", 10.0, 2, 4.0), ("r", 500.0, 3, 8.0)]
+    ddl = "run_id string, t double, seq bigint, v double"
+    stream, _ = arrivals(spark, tmp_path, [rows[:2], rows[2:]], ddl)
+    got = close_all(folds.stream_ema(folds.with_event_time(stream, "1 minute"), "v", 0.5, ["run_id"], "run_id string",
+                                     reorder=True))
+    assert [(r.seq, r.smooth) for r in got.orderBy("seq", "smooth").collect()] == [
+        (0, 1.0), (1, 1.5), (2, 2.75), (2, 3.375), (3, 5.6875)]
+
+
+def test_late_rows_are_kept_beside_the_others(spark, tmp_path):
+    ddl = "run_id string, t double"
+    batches = [[("r", 100.0), ("r", 50.0)], [("r", 80.0), ("r", 95.0), ("r", 200.0)], [("r", 100.0), ("r", 191.0), (None, None)]]
+    stream, batch = arrivals(spark, tmp_path, batches, ddl)
+    base = str(tmp_path / "split")
+    for _ in range(2):
+        flows.split_late(stream, base, str(tmp_path / "state"), 10.0, {"availableNow": True}).awaitTermination()
+    on_time, late = (spark.read.parquet(f"{base}/{x}").select("t") for x in ("on_time", "late"))
+    assert sorted(r.t for r in late.collect()) == [80.0, 100.0]
+    assert on_time.count() + late.count() == batch.count() and on_time.where("t is null").count() == 1
+
+
+def test_upserts_hold_every_window_once(spark, tmp_path):
+    ddl = "run_id string, t double, event_type string, amount double"
+    batches = [[("r", 10.0, "a", 1.0), ("r", 1000.0, "a", 1.0)], [("r", 20.0, "a", 2.0), ("r", 1010.0, "b", 1.0)],
+               [("r", 30.0, "a", 4.0)]]
+    stream, _ = arrivals(spark, tmp_path, batches, ddl)
+    k = flows.windowed_kpis(stream, "1 hour")
+    base = str(tmp_path / "windows")
+    for _ in range(2):
+        flows.upsert(k, base, str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
+    got = flows.latest(spark, base, ["run_id", "t_bucket", "event_type"], k.schema)
+    assert sorted((r.t_bucket, r.event_type, r.n, r.total) for r in got.collect()) == [
+        (0, "a", 3, 7.0), (900, "a", 1, 1.0), (900, "b", 1, 1.0)]
+
+
+def test_heartbeat_reports_silence(spark, tmp_path):
+    ddl = "run_id string, t double, seq bigint, count bigint"
+    # Key a falls silent after 25 s while b goes on; b's clock lets a report zeros.
+    batches = [[("a", 11.0, 1, 5), ("a", 19.0, 2, 7), ("b", 10.0, 3, 1)], [("a", 25.0, 4, 3), ("b", 40.0, 5, 2)],
+               [("b", 100.0, 6, 9)], [("b", 101.0, 7, 4)]]
+    stream, _ = arrivals(spark, tmp_path, batches, ddl)
+    s = folds.stream_heartbeat(folds.with_event_time(stream, "5 seconds"), 10.0)
+    got = flows.run_available(s, name="beat", closing=lambda spark, state: folds.held_ticks(spark, state, s.fold))
+    seen = {(r.run_id, r.tick): r["count"] for r in got.collect()}
+    assert got.count() == len(seen)
+    assert {t: c for (k, t), c in seen.items() if k == "b"} == {1: 1, 2: 0, 3: 0, 4: 2, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 4}
+    own = {t: c for (k, t), c in seen.items() if k == "a"}
+    assert own[1] == 7 and own[2] == 3 and set(own) >= set(range(1, 9)) and not any(own[t] for t in own if t > 2)
