@@ -18,13 +18,16 @@ from pyspark.sql import types as T
 CHUNK = "__chunk"
 PART = "__part"            # struct of keys and chunk: unlike plain columns it compares NULL fields as equal
 TARGET_ROWS = 500_000
+TARGET_BYTES = 64 << 20     # estimated input up to which a key is not cut
+CHUNK_SECONDS = 3600.0      # a key's rows of an hour fit one task
 
 
 def chunk_seconds(df: DataFrame, keys, t="t", target=None):
     """Chunk length so that no (key, chunk) exceeds `target` rows, else None.
 
-    A row count first: no key outgrows a table that fits one task. Otherwise one
-    aggregation over the key and time columns finds the biggest key.
+    Measures with jobs, for a caller who sets the length by hand. A row count first:
+    no key outgrows a table that fits one task. Otherwise one aggregation over the
+    key and time columns finds the biggest key.
     """
     target = int(target or df.sparkSession.conf.get("spark.aislemetry.chunk.rows",
                                                     str(TARGET_ROWS)))
@@ -44,9 +47,20 @@ def chunk_seconds(df: DataFrame, keys, t="t", target=None):
         slot /= 60.0
 
 
-def resolve(chunk_s, df, keys, t="t"):
-    """`"auto"` measures, a number fixes the chunk length, None means one chunk."""
-    return chunk_seconds(df, keys, t) if chunk_s == "auto" else chunk_s
+def resolve(chunk_s, df, keys=(), t="t"):
+    """Chunk length: a number fixes it, None means one chunk per key, `"auto"` goes by the size of the inputs.
+
+    The optimizer's size estimate of the plan is taken, so no job runs while a plan is built. Inputs of at most
+    `spark.aislemetry.chunk.bytes` fit one task however the keys are spread; larger ones, and those of unknown size,
+    are cut every `spark.aislemetry.chunk.seconds`. `chunk_seconds` measures a length where an hour is too long.
+    """
+    if chunk_s != "auto":
+        return chunk_s
+    conf = df.sparkSession.conf
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= int(conf.get("spark.aislemetry.chunk.bytes", str(TARGET_BYTES))):
+        return None
+    return float(conf.get("spark.aislemetry.chunk.seconds", str(CHUNK_SECONDS)))
 
 
 def _boxed(expr):
@@ -434,3 +448,38 @@ def _groups(batches, keys):
         starts = [0] + [k for k in new.nonzero()[0].tolist() if k > 0]
         for a, b in zip(starts, [*starts[1:], n]):
             yield pdf, a, b, bool(new[a])
+
+
+def key_changes(batch, keys):
+    """Rows of an Arrow batch whose key differs from the row before; NULL equals NULL."""
+    import numpy as np
+    import pyarrow.compute as pc
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        now, before = batch.column(k).slice(1), batch.column(k).slice(0, max(0, batch.num_rows - 1))
+        unlike = pc.fill_null(pc.not_equal(now, before), False)
+        new[1:] |= pc.or_(unlike, pc.xor(now.is_null(), before.is_null())).to_numpy(zero_copy_only=False)
+    return new
+
+
+def whole_groups(batches, keys):
+    """One Arrow batch per group of sorted batches; a group that runs on into later batches is joined."""
+    import pyarrow as pa
+    held, last = [], None
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = [0, *key_changes(batch, keys).nonzero()[0].tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(batch.column(k)[a].as_py() for k in keys)
+            if held and key != last:
+                yield joined()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield joined()

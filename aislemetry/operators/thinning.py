@@ -19,12 +19,12 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aislemetry.operators.ordered import key_changes
 from aislemetry.session import cut
 
 
@@ -43,16 +43,6 @@ def due_from(t, period, strict: bool):
     return u
 
 
-def _changes(batch: pa.RecordBatch, keys) -> np.ndarray:
-    """Rows of a batch whose key differs from the row before; NULL equals NULL."""
-    new = np.zeros(batch.num_rows, bool)
-    for k in keys:
-        now, before = batch.column(k).slice(1), batch.column(k).slice(0, max(0, batch.num_rows - 1))
-        unlike = pc.fill_null(pc.not_equal(now, before), False)
-        new[1:] |= pc.or_(unlike, pc.xor(now.is_null(), before.is_null())).to_numpy(zero_copy_only=False)
-    return new
-
-
 def _runs(batches, keys, t):
     """(batch, first row, one past the last, times, key, whether the key starts here) of sorted batches."""
     last = None
@@ -60,7 +50,7 @@ def _runs(batches, keys, t):
         if not batch.num_rows:
             continue
         times = batch.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False)
-        starts = [0, *np.flatnonzero(_changes(batch, keys)).tolist()]
+        starts = [0, *np.flatnonzero(key_changes(batch, keys)).tolist()]
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             key = tuple(batch.column(k)[a].as_py() for k in keys)
             yield batch, a, b, times[a:b], key, key != last

@@ -4,13 +4,14 @@ Detected tables and label tables share the key `clip`.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aislemetry.operators.asof import nearest, overlap_matches
 from aislemetry.operators.detections import FRAME_KEY, match_blobs
-from aislemetry.operators.matching import mutual_best
-from aislemetry.operators.ordered import RunSum, WholeSum, resolve, scan
+from aislemetry.operators.ordered import LastValid, Prev, RunSum, WholeSum, resolve, scan, whole_groups
 
 # Acceptance limits.
 TARGETS = {"entry_count_error": 0.10, "exit_count_error": 0.10, "occupancy_mae": 1.5,
@@ -74,18 +75,43 @@ def dwell_and_switches(labels: DataFrame, visit: DataFrame) -> DataFrame:
 def match_stockouts(labels: DataFrame, starts: DataFrame, tol=10.0) -> DataFrame:
     """Each label, in list order, takes the first unused start of its facing near it.
 
-    labels: clip, pos, facing, t_start; starts: clip, seq, facing, t. Candidates
-    come from an equi-join on facing and time bucket; the choice runs in
-    mutual-best rounds over them.
+    labels: clip, pos, facing, t_start; starts: clip, seq, facing, t. Where labels and starts of a facing lie further
+    apart than `tol`, nothing on one side can take anything on the other, so such gaps cut the timeline into
+    independent components. Each is matched by one pass over its labels; there are no rounds.
+    Returns clip, facing, pos, t_start, seq, t.
     """
-    at = F.floor(F.col("t_start") / tol)
-    want = labels.select("clip", "facing", "pos", "t_start",
-                         F.explode(F.array(at - 1, at, at + 1)).alias("__slot"))
-    got = starts.select("clip", "facing", F.col("seq"), F.col("t"),
-                        F.floor(F.col("t") / tol).alias("__slot"))
-    c = want.join(got, ["clip", "facing", "__slot"]).where(
-        F.abs(F.col("t") - F.col("t_start")) <= tol).drop("__slot")
-    return mutual_best(c, ["clip", "pos"], ["clip", "seq"], ["pos", "seq"])
+    keys = ["clip", "facing"]
+    none = F.lit(None)
+    line = labels.select(*keys, F.col("t_start").cast("double").alias("t"), "pos",
+                         none.cast(starts.schema["seq"].dataType).alias("seq")).unionByName(
+        starts.select(*keys, F.col("t").cast("double").alias("t"), none.cast(labels.schema["pos"].dataType).alias("pos"),
+                      "seq"))
+    chunk_s = resolve("auto", line, keys)
+    line = scan(line, keys, ["t"], {"__p": Prev(F.col("t"))}, chunk_s)
+    begins = F.col("__p").isNull() | (F.col("t") - F.col("__p") > tol)
+    line = scan(line.withColumn("__b", F.when(begins, F.col("t"))), keys, ["t"],
+                {"component": LastValid(F.col("__b"), True)}, chunk_s)
+    by = [*keys, "component"]
+    line = line.select(*by, "t", "pos", "seq").repartition(*by).sortWithinPartitions(*by)
+    schema = T.StructType([line.schema[c] for c in (*keys, "pos")] + [T.StructField("t_start", T.DoubleType()),
+                                                                   line.schema["seq"], line.schema["t"]])
+
+    def run(batches):
+        for rows in whole_groups(batches, by):
+            t, pos, seq = (rows.column(c).to_pylist() for c in ("t", "pos", "seq"))
+            free = sorted((s, x) for s, x in zip(seq, t) if s is not None)
+            found = []
+            for p, at in sorted((p, x) for p, x in zip(pos, t) if p is not None):
+                hit = next((k for k, (_, x) in enumerate(free) if abs(x - at) <= tol), None)
+                if hit is not None:
+                    found.append((p, at, *free.pop(hit)))
+            if found:
+                head = [rows.column(k).slice(0, 1).take(pa.array([0] * len(found))) for k in keys]
+                kinds = [rows.column(c).type for c in ("pos", "t", "seq", "t")]
+                yield pa.RecordBatch.from_arrays(head + [pa.array(c, k) for c, k in zip(zip(*found), kinds)],
+                                                 names=schema.names)
+
+    return line.mapInArrow(run, schema)
 
 
 def stockout_scores(labels: DataFrame, starts: DataFrame, tol=10.0) -> DataFrame:
