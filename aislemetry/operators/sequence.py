@@ -14,6 +14,7 @@ from aislemetry.functions import queueing as Q
 from aislemetry.operators.ordered import (First, LastValid, Next, NextValid, Prev, RunMin, RunSum,
                                           Tail, WholeMax, WholeSum, ema, resolve, scan)
 from aislemetry.operators.thinning import throttle
+from aislemetry.schema import store_keys
 
 ORDER = ("t", "seq")
 
@@ -71,14 +72,14 @@ def crossings(points: DataFrame, wires: DataFrame, band=12.0, debounce=2.0,
 
     points: keys, stream, t, seq, u, v and optionally `t_emit`, the time at which
     a replayed birth point is judged. wires: wire_id, stream, q1, q2 (arrays),
-    in_dir. The first point fixes a side for free; the other side commits only
+    in_dir, and store_id where stores have their own. The first point fixes a side for free; the other side commits only
     outside the band; the segment from the last point on the old side must
     properly cross the wire; then one crossing per key and wire per `debounce`.
     """
     keys = list(keys)
     chunk_s = resolve(chunk_s, points, keys)
     emit = F.col("t_emit") if "t_emit" in points.columns else F.col("t")
-    p = points.withColumn("t_emit", emit).join(wires, "stream")
+    p = points.withColumn("t_emit", emit).join(wires, store_keys(points, wires, "stream"))
     q1 = (F.col("q1")[0], F.col("q1")[1])
     q2 = (F.col("q2")[0], F.col("q2")[1])
     keys = [*keys, "wire_id"]
@@ -128,14 +129,15 @@ def fill_status(fills: DataFrame, rois: DataFrame | None = None, alpha=0.35, his
                 empty_below=60, low_below=110, keys=("run_id", "roi"), chunk_s="auto") -> DataFrame:
     """Smoothed fill, majority status over the last readings and its confidence.
 
-    Thresholds come from `rois` (roi, empty_below, low_below) when given.
+    Thresholds come from `rois` (roi, empty_below, low_below, by store with store_id) when given.
     """
     keys = list(keys)
     chunk_s = resolve(chunk_s, fills, keys)
     raw = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor("fill").cast("double")))
     f = fills.withColumn("raw_fill", raw)
     if rois is not None:
-        f = f.join(rois.select("roi", "empty_below", "low_below"), "roi")
+        on = store_keys(f, rois, "roi")
+        f = f.join(rois.select(*on, "empty_below", "low_below"), on)
     else:
         f = f.withColumns({"empty_below": F.lit(empty_below), "low_below": F.lit(low_below)})
     f = ema(f, keys, ORDER, "raw_fill", alpha, "__smooth", chunk_s, blend_first=True)
@@ -182,8 +184,9 @@ def shelf_incidents(status: DataFrame, keys=("run_id", "roi"), chunk_s="auto") -
 
 def incident_alerts(incidents: DataFrame, planogram: DataFrame) -> DataFrame:
     """Message rows for the two alert kinds of `shelf_incidents`."""
-    plan = planogram.select(F.col("facing").alias("roi"), "sku", "name")
-    a = incidents.where(F.col("kind").isin("alert_out", "alert_low")).join(plan, "roi")
+    plan = planogram.withColumn("roi", F.col("facing"))
+    on = store_keys(incidents, plan, "roi")
+    a = incidents.where(F.col("kind").isin("alert_out", "alert_low")).join(plan.select(*on, "sku", "name"), on)
     out = F.col("kind") == "alert_out"
     where = F.concat(F.col("name"), F.lit(" ("), F.col("sku").cast("string"),
                      F.lit(") at facing "), F.col("roi"))
@@ -207,7 +210,8 @@ def planogram_violations(status: DataFrame, expected: DataFrame | None = None,
     wrong = F.lit(False)
     s = status
     if expected is not None:
-        s = s.join(expected.select("roi", F.col("sku").alias("expected_sku")), "roi")
+        on = store_keys(s, expected, "roi")
+        s = s.join(expected.select(*on, F.col("sku").alias("expected_sku")), on)
         if "sku" in status.columns:
             wrong = F.coalesce(F.col("sku") != F.col("expected_sku"), F.lit(False))
     observed = (F.when(F.col("status").isin("empty", "low"), F.col("status"))
@@ -438,7 +442,7 @@ def inventory(status: DataFrame, stock: DataFrame, confirm=15, agreement=0.85,
     init = F.col("initial_stock")
     qty = (F.when(F.col("status") == "empty", F.lit(0))
            .when(F.col("status") == "low", F.floor(init * 0.3).cast("int")).otherwise(init))
-    rows = status.join(stock, "roi").withColumns({
+    rows = status.join(stock, store_keys(status, stock, "roi")).withColumns({
         "__q": qty, "__stock": init, "__since": F.lit(None).cast("struct<t:double,seq:bigint>")})
     keep = rows.columns
     out = None

@@ -238,13 +238,13 @@ def _(v):
     return K.queue_status(v.queue_estimate)
 
 
-NEAR_SQL = """SELECT t, lane, pred_wait_s, actual_wait_s, pred_wait_s - actual_wait_s AS error_s FROM (
-    SELECT q.t, q.lane, q.actual_wait_s, CASE WHEN b.t IS NOT NULL AND (a.t IS NULL OR q.t - b.t <= a.t - q.t)
+NEAR_SQL = """SELECT clip, t, lane, pred_wait_s, actual_wait_s, pred_wait_s - actual_wait_s AS error_s FROM (
+    SELECT q.clip, q.t, q.lane, q.actual_wait_s, CASE WHEN b.t IS NOT NULL AND (a.t IS NULL OR q.t - b.t <= a.t - q.t)
       THEN b.pred_wait_s ELSE a.pred_wait_s END AS pred_wait_s
     FROM v_queue_truth q ASOF LEFT JOIN v_queue_estimate b ON {bl} q.t >= b.t
     ASOF LEFT JOIN v_queue_estimate a ON {al} q.t < a.t) WHERE pred_wait_s IS NOT NULL"""
-ANY_LANE = NEAR_SQL.format(bl="", al="")
-BY_LANE = NEAR_SQL.format(bl="q.lane = b.lane AND", al="q.lane = a.lane AND")
+ANY_LANE = NEAR_SQL.format(bl="q.clip = b.run_id AND", al="q.clip = a.run_id AND")
+BY_LANE = NEAR_SQL.format(bl="q.clip = b.run_id AND q.lane = b.lane AND", al="q.clip = a.run_id AND q.lane = a.lane AND")
 
 
 @query("wait_pred_vs_actual", ANY_LANE)

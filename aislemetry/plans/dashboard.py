@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 
 from aislemetry.functions import labels as L
 from aislemetry.plans import kpis as K
+from aislemetry.schema import with_store
 
 
-def dashboard(t: dict[str, DataFrame], now: float, run_id: str | None = None, bounds=None,
+def dashboard(t: dict[str, DataFrame], now: float | None = None, run_id: str | None = None, bounds=None,
               tz="UTC") -> dict[str, DataFrame]:
     """Every tile, for one run or for all.
 
     `t` holds run, occupancy, tripwire, shelf_fill, visit, heatmap, stockout,
-    queue_estimate, pos_txn, alert, planogram. `now` is one second past the last
-    event of the runs shown; it prices open incidents.
+    queue_estimate, pos_txn, alert, planogram and optionally rois; planogram and
+    rois may have rows per store. Open incidents are priced up to `now`, by default
+    one second past the last event of each run.
     """
     if run_id is not None:
         t = {n: d.where(F.col("run_id") == run_id) if "run_id" in d.columns else d for n, d in t.items()}
     window = K.run_window(t["run"], t["occupancy"], t["tripwire"], t["shelf_fill"], t["visit"])
     tiles = K.heatmap(t["heatmap"])
+    incidents, until = t["stockout"], now
+    if "store_id" in t["planogram"].columns:
+        incidents = with_store(incidents, t["run"])
+    if now is None:
+        incidents, until = K.with_now(incidents, window), "now"
     return {
         "window": window,
         "live": K.live_summary(t["run"], t["occupancy"]),
@@ -29,10 +36,10 @@ def dashboard(t: dict[str, DataFrame], now: float, run_id: str | None = None, bo
         "shoppers": K.shopper_totals(t["visit"]),
         "zones": K.dwell_by_zone(t["visit"]),
         "queue": K.queue_status(t["queue_estimate"]),
-        "shelf": K.shelf_board(t["shelf_fill"], t["stockout"], t.get("rois")),
-        "stockouts": K.recent_stockouts(t["stockout"], t["planogram"], now),
-        "lost_revenue": K.lost_revenue(t["stockout"], t["planogram"], now),
-        "replenishment": K.replenishment_list(t["stockout"], t["planogram"], 5),
+        "shelf": K.shelf_board(t["shelf_fill"], t["stockout"], t.get("rois"), t["run"]),
+        "stockouts": K.recent_stockouts(incidents, t["planogram"], until),
+        "lost_revenue": K.lost_revenue(incidents, t["planogram"], until),
+        "replenishment": K.replenishment_list(incidents, t["planogram"], 5),
         "alerts": K.alerts(t["alert"], open_only=False, n=12),
         "heatmap": K.heatmap_grid(tiles, bounds),
         "footfall_hourly": K.footfall_by_hour(t["tripwire"], day=now, tz=tz, zero_fill=True),

@@ -14,6 +14,7 @@ from aislemetry.functions import timebuckets as TB
 from aislemetry.operators.asof import exists_within, nearest
 from aislemetry.operators.ordered import NextValid, Prev, RunSum, WholeSum, resolve, scan
 from aislemetry.operators.thinning import throttle
+from aislemetry.schema import store_keys, with_store
 
 GRID_W, GRID_H = 16, 12
 RUN = "run_id"
@@ -272,10 +273,11 @@ def zone_labels(zones: DataFrame, bounds):
 
 # --- shelf -------------------------------------------------------------------
 def planogram_rates(planogram):
-    """sku -> revenue per hour; a repeated sku keeps its last entry."""
-    last = planogram.groupBy("sku").agg(F.max_by(
+    """sku (of a store) -> revenue per hour; a repeated sku keeps its last entry."""
+    keys = [c for c in ("store_id", "sku") if c in planogram.columns]
+    last = planogram.groupBy(*keys).agg(F.max_by(
         F.struct("expected_sales_per_hour", "unit_price"), "position").alias("p"))
-    return last.select("sku", (F.coalesce("p.expected_sales_per_hour", F.lit(0.0))
+    return last.select(*keys, (F.coalesce("p.expected_sales_per_hour", F.lit(0.0))
                                * F.coalesce("p.unit_price", F.lit(0.0))).alias("rate"))
 
 
@@ -284,7 +286,7 @@ def planogram_lookup(stockout, planogram):
 
     No broadcast hint: the size of both sides decides, and AQE splits hot skus.
     """
-    return stockout.join(planogram_rates(planogram), "sku", "left").withColumn(
+    return stockout.join(planogram_rates(planogram), store_keys(stockout, planogram, "sku"), "left").withColumn(
         "rate", F.coalesce("rate", F.lit(0.0)))
 
 
@@ -294,6 +296,11 @@ def stockout_durations(stockout, t0=None, t1=None):
                     (F.col("t_end") - F.col("t_start")).alias("duration_s"))
 
 
+def with_now(df, window):
+    """Rows with `now`, one second past the last event of their run, which prices open incidents."""
+    return df.join(window.select(RUN, (F.coalesce("t1", F.lit(0.0)) + 1.0).alias("now")), RUN, "left")
+
+
 def open_stockout_flag(shelf, stockout):
     """Add `stockout`: the facing has an incident without an end."""
     still = (stockout.where(F.col("t_end").isNull()).select(RUN, "roi").distinct()
@@ -309,11 +316,16 @@ def shelf_latest(shelf_fill, stockout):
     return open_stockout_flag(last, stockout)
 
 
-def shelf_board(shelf_fill, stockout, rois=None):
-    """Latest facings with their display state; an open incident forces empty."""
+def shelf_board(shelf_fill, stockout, rois=None, run=None):
+    """Latest facings with their display state; an open incident forces empty.
+
+    With `rois` per store, `run` tells the store of each run.
+    """
     s = shelf_latest(shelf_fill, stockout)
     if rois is not None:
-        s = s.join(rois.select("roi", "empty_below", "low_below"), "roi", "left")
+        s = with_store(s, run) if run is not None and "store_id" in rois.columns else s
+        on = store_keys(s, rois, "roi")
+        s = s.join(rois.select(*on, "empty_below", "low_below"), on, "left")
     else:
         s = s.withColumns({"empty_below": F.lit(None).cast("int"), "low_below": F.lit(None).cast("int")})
     state = L.shelf_state(F.col("fill"), F.coalesce("empty_below", F.lit(60)),
@@ -327,7 +339,7 @@ def _lost(stockout, planogram, keys, now):
     seconds = F.greatest(F.lit(0.0), end - F.col("t_start"))
     # Time is summed per sku before the lookup, so a hot sku reaches the join as
     # one row per run; the money is added as decimals, independent of task order.
-    per = stockout.groupBy(*keys, "sku").agg(F.sum(seconds).alias("__s"))
+    per = stockout.groupBy(*dict.fromkeys([*keys, *store_keys(stockout, planogram, "sku")])).agg(F.sum(seconds).alias("__s"))
     money = (F.col("__s") / 3600.0 * F.col("rate")).cast("decimal(30,6)")
     return planogram_lookup(per, planogram).groupBy(*keys).agg(
         F.round(F.sum(money).cast("double"), 2).alias("lost_revenue"))
@@ -346,7 +358,7 @@ def recent_stockouts(stockout, planogram, now, n=20):
     """The newest `n` incidents of each run with their cost so far."""
     w = Window.partitionBy(RUN).orderBy(F.col("t_start").desc(), "roi", "sku", "t_end")
     top = stockout.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
-    end = F.coalesce("t_end", F.lit(float(now)))
+    end = F.coalesce("t_end", F.lit(float(now)) if not isinstance(now, str) else F.col(now))
     hours = F.greatest(F.lit(0.0), end - F.col("t_start")) / 3600.0
     return planogram_lookup(top, planogram).select(
         RUN, F.col("roi").alias("facing"), "sku", F.round(end - F.col("t_start"), 1).alias("duration_s"),
@@ -369,6 +381,8 @@ def compliance_score(status, planogram):
     runs = status.select(RUN).distinct()
     last = status.groupBy(RUN, "roi").agg(F.max_by("status", F.struct("t", "seq")).alias("status"))
     plan = planogram.select(F.col("facing").alias("roi")).distinct()
+    if "store_id" in planogram.columns:
+        return _compliance_by_store(status, planogram)
     n = plan.agg(F.count("*")).scalar()
     ok = last.where(F.col("status") == "normal").join(plan, "roi", "left_semi").groupBy(RUN).agg(
         F.count("*").alias("__ok"))
@@ -377,9 +391,25 @@ def compliance_score(status, planogram):
         RUN, F.coalesce(F.round(share, 1), F.lit(100.0)).alias("compliance"))
 
 
+def _compliance_by_store(status, planogram):
+    """The same with a planogram per store: a run answers for the facings of its store."""
+    last = status.groupBy(RUN, "store_id", "roi").agg(F.max_by("status", F.struct("t", "seq")).alias("status"))
+    facings = status.select(RUN, "store_id").distinct().join(
+        planogram.select("store_id", F.col("facing").alias("roi")).distinct(), "store_id", "left")
+    read = facings.join(last, [RUN, "store_id", "roi"], "left")
+    return read.groupBy(RUN).agg(F.coalesce(F.round(F.try_divide(
+        F.count_if(F.col("status") == "normal") * 100.0, F.count("roi")), 1), F.lit(100.0)).alias("compliance"))
+
+
 def inventory_summary(commits, status, stock):
-    """Initial, current and removed items per facing, and their value."""
-    facings = status.select(RUN, "roi").distinct().join(stock, "roi")
+    """Initial, current and removed items per facing, and their value.
+
+    With `stock` per store every facing of the run's store is listed; else those that were read.
+    """
+    if "store_id" in stock.columns:
+        facings = status.select(RUN, "store_id").distinct().join(stock, "store_id")
+    else:
+        facings = status.select(RUN, "roi").distinct().join(stock, "roi")
     gone = commits.groupBy(RUN, "roi").agg(F.sum("removed").alias("removed"))
     s = facings.join(gone, [RUN, "roi"], "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     return s.select(RUN, "roi", F.col("initial_stock").alias("initial"),
@@ -401,17 +431,18 @@ def queue_status(queue_estimate):
 
 def wait_pred_vs_actual(queue_truth, queue_estimate, t0=None, t1=None, by_lane=False,
                         chunk_s="auto"):
-    """Each truth row with the prediction nearest in time.
+    """Each truth row with the prediction of its run that is nearest in time.
 
-    By default lane and run are ignored; `by_lane` matches within the lane.
+    A truth row's `clip` is the run that it was labelled for. By default the lane is ignored; `by_lane` matches
+    within it.
     """
-    keys = ["lane"] if by_lane else []
-    pred = between(queue_estimate, t0, t1).select("lane", "t", "seq", "pred_wait_s")
+    keys = ["clip", "lane"] if by_lane else ["clip"]
+    pred = between(queue_estimate, t0, t1).select(F.col(RUN).alias("clip"), "lane", "t", "seq", "pred_wait_s")
     if not by_lane:
         pred = pred.drop("lane")
     m = nearest(between(queue_truth, t0, t1), pred, keys, right_seq="seq", chunk_s=chunk_s)
     m = m.where(F.col("near").isNotNull())
-    return m.select("t", "lane", F.col("near.pred_wait_s").alias("pred_wait_s"), "actual_wait_s",
+    return m.select("clip", "t", "lane", F.col("near.pred_wait_s").alias("pred_wait_s"), "actual_wait_s",
                     (F.col("near.pred_wait_s") - F.col("actual_wait_s")).alias("error_s"))
 
 
@@ -431,11 +462,12 @@ def convert_by_txn(visit, pos_txn, mapping=None, chunk_s="auto"):
     (source, zone) turns a hint into a zone first.
     """
     v = visit.where(F.col("dwell_s") >= 5).withColumn("__hi", F.col("t_exit") + 900.0)
-    x = pos_txn.select(RUN, "t", F.col("zone_hint").alias("zone"))
+    store = [c for c in ("store_id",) if mapping is not None and c in mapping.columns]
+    x = pos_txn.select(RUN, *store, "t", F.col("zone_hint").alias("zone"))
     if mapping is not None:
-        x = x.join(mapping.withColumnRenamed("zone", "__z"), F.col("zone") == F.col("source"),
-                   "left").select(RUN, "t", F.col("__z").alias("zone"))
-    x = x.where(F.col("zone").isNotNull())
+        on = store_keys(x, mapping, "source")
+        x = x.withColumnRenamed("zone", "source").join(mapping.select(*on, "zone"), on, "left")
+    x = x.where(F.col("zone").isNotNull()).select(RUN, "t", "zone")
     return exists_within(v, x, [RUN, "zone"], "t_enter", "__hi", flag="converted",
                          chunk_s=chunk_s).drop("__hi")
 
@@ -446,7 +478,8 @@ def convert_by_shelf(visit, shelf_fill, mapping, max_fill=30.0, drop=None, chunk
     Near is from 60 s before entry to 60 s after exit. With `drop`, a fall of at
     least that much since the facing's previous reading counts instead.
     """
-    f = shelf_fill.join(mapping, F.col("roi") == F.col("source")).select(
+    on = store_keys(shelf_fill, mapping, "roi")
+    f = shelf_fill.join(mapping.withColumn("roi", F.col("source")).select(*on, "zone"), on).select(
         RUN, "roi", "zone", "t", "seq", "fill")
     if drop is None:
         f = f.where(F.col("fill") <= max_fill)

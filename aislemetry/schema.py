@@ -77,3 +77,17 @@ FLAG_WARM, FLAG_TRUNCATED = 1, 2
 HEAT_CELL_M = 0.25
 # Wall times before 2025-09-05 mean the clock was never set.
 PLAUSIBLE_EPOCH = 1757030400.0
+
+
+def store_keys(facts, dimension, *keys) -> list[str]:
+    """Keys that join facts to a dimension: with the store where the dimension has rows per store."""
+    if "store_id" not in dimension.columns:
+        return list(keys)
+    if "store_id" not in facts.columns:
+        raise ValueError("the dimension is per store: give the facts their store_id (schema.with_store)")
+    return ["store_id", *keys]
+
+
+def with_store(facts, run):
+    """Facts of a run with their run's store."""
+    return facts.join(run.select("run_id", "store_id").distinct(), "run_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetry.schema import DIMENSIONS, ENVELOPE, FRAME, MAX_BLOBS
+from aislemetry.schema import DIMENSIONS, ENVELOPE, FRAME, MAX_BLOBS, store_keys
 
 
 def read_events(spark: SparkSession, path, streaming=False, **options) -> DataFrame:
@@ -49,7 +49,8 @@ def roi_fills(frames: DataFrame, rois: DataFrame) -> DataFrame:
     """Fill per facing; the list position in `rois` is the slot in the record."""
     keep = [c for c in ("run_id", "store_id", "stream", "frame_id", "t") if c in frames.columns]
     f = frames.select(*keep, F.posexplode("roi_fill").alias("position", "fill"))
-    return f.join(rois.select("position", F.col("id").alias("roi")), "position").drop("position")
+    on = store_keys(f, rois, "position")
+    return f.join(rois.select(*on, F.col("id").alias("roi")), on).drop("position")
 
 
 def lane_cells(frames: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def lane_cells(frames: DataFrame, lanes: DataFrame) -> DataFrame:
     """
     keep = [c for c in ("run_id", "store_id", "frame_id", "t") if c in frames.columns]
     f = frames.select(*keep, F.posexplode("lane_occupancy").alias("position", "v"))
-    j = f.join(lanes.select("position", F.col("lane").cast("bigint").alias("lane")), "position")
+    on = store_keys(f, lanes, "position")
+    j = f.join(lanes.select(*on, F.col("lane").cast("bigint").alias("lane")), on)
     cells = F.transform(F.array_sort(F.collect_list(F.struct("position", "v"))), lambda s: s["v"])
     out = j.groupBy(*keep, "lane").agg(cells.cast("array<bigint>").alias("cells"))
     pad = F.array_repeat(F.lit(0).cast("bigint"), 16)
