@@ -26,8 +26,8 @@ def clip_sql(source, k="v_clip"):
     }
 
 
-BOX_B = {"v_boxb": """SELECT frame_id, line, x + CASE WHEN line % 2 = 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
-    y, w, h FROM v_box WHERE w >= 23"""}
+BOX_B = {"v_boxb": """SELECT frame_id, line, x + CASE WHEN w < 23 THEN 1000.0::DOUBLE WHEN line % 2 = 1 THEN 4.0::DOUBLE
+    ELSE 0.0::DOUBLE END AS x, y, w, h FROM v_box"""}
 BOTH = {**clip_sql("v_box"), **BOX_B, **clip_sql("v_boxb", "v_clipb")}
 
 
@@ -187,7 +187,24 @@ def _(v):
     return c.withColumns({k: F.round(k, 6) for k in ("mean_iou", "count_agreement", "mean_blob_delta")})
 
 
-@query("merge_fragments")
+# Independent model: one step per looked-at pair (i, j) of every frame; a pass without a union ends it.
+STACK = """(CASE WHEN a.y <= b.y THEN b.y - (a.y + a.h) ELSE a.y - (b.y + b.h) END) BETWEEN -0.25 * least(a.h, b.h) AND 8
+    AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / greatest(least(a.w, b.w), 1e-9) >= 0.6"""
+FUSE_SQL = f"""WITH RECURSIVE s(frame_id, bs, i, j, ch) AS (
+      SELECT frame_id, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY k), 1, 2, false FROM v_clip GROUP BY frame_id
+      UNION ALL SELECT frame_id, CASE WHEN hit THEN list_concat(list_append(bs[:i - 1], {{'x': least(a.x, b.x), 'y': least(a.y, b.y),
+            'w': greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x), 'h': greatest(a.y + a.h, b.y + b.h) - least(a.y, b.y)}}),
+            list_concat(bs[i + 1:j - 1], bs[j + 1:])) ELSE bs END,
+        CASE WHEN hit OR j < len(bs) THEN i WHEN i < len(bs) THEN i + 1 ELSE 1 END,
+        CASE WHEN hit THEN j WHEN j < len(bs) THEN j + 1 WHEN i < len(bs) THEN i + 2 ELSE 2 END,
+        CASE WHEN hit THEN true WHEN j < len(bs) OR i < len(bs) THEN ch ELSE false END
+      FROM (SELECT *, j <= len(bs) AND {STACK} AS hit FROM (SELECT *, bs[i] AS a, bs[j] AS b FROM s
+        WHERE i < len(bs) OR ch)))
+    SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY w * h DESC, x, y, w, h) - 1 AS INTEGER) AS k,
+      x, y, w, h, w * h AS area FROM (SELECT frame_id, unnest(bs, recursive := true) FROM s WHERE i >= len(bs) AND NOT ch)"""
+
+
+@query("merge_fragments", FUSE_SQL, clip_sql("v_box"))
 def _(v):
     return D.merge_fragments(boxes_a(v), x_tol=0.6).drop("run_id", "stream")
 
@@ -222,11 +239,11 @@ TRK = {"v_trk": """SELECT l_orderkey AS frame_id, l_suppkey AS track_id, CAST(p
     CAST(p * 7 % 480 AS DOUBLE) AS v, p % 5 = 0 AS still, CAST(p % 97 AS DOUBLE) AS travelled,
     CASE l_suppkey % 5 WHEN 0 THEN 'entrance' WHEN 1 THEN 'aisle_a' WHEN 2 THEN 'aisle_b'
       WHEN 3 THEN 'checkout' END AS zone
-    FROM (SELECT l_orderkey, l_suppkey, min(l_partkey) AS p FROM lineitem GROUP BY ALL)"""}
+    FROM (SELECT l_orderkey, l_suppkey, CAST(sum(l_partkey) AS BIGINT) AS p FROM lineitem GROUP BY ALL)"""}
 
 
 def trk(v):
-    g = v.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_partkey").alias("p"))
+    g = v.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_partkey").alias("p"))
     zone = F.try_element_at(F.array(*map(F.lit, ("entrance", "aisle_a", "aisle_b", "checkout"))),
                             (F.col("l_suppkey") % 5 + 1).cast("int"))
     u, w = (F.col("p") % 640).cast("double"), (F.col("p") * 7 % 480).cast("double")

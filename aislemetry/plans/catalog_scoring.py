@@ -10,7 +10,7 @@ TOL = 3600.0
 
 GT = {
     "v_gt_entry": """SELECT run_id AS clip, t, CASE event_type WHEN 'click' THEN 'out' ELSE 'in' END AS dir
-        FROM v_ev WHERE event_type IN ('view', 'click') AND value >= 4""",
+        FROM v_ev WHERE event_type IN ('view', 'click', 'signup')""",
     "v_gt_occ": """SELECT run_id AS clip, t, CAST(floor(value) AS BIGINT) % 60 AS count FROM v_ev
         WHERE event_type = 'purchase'""",
     "v_gt_visit": """SELECT run_id AS clip, track_id * 100000000000 + CAST(floor(t_enter) AS BIGINT) AS label_id, zone,
@@ -21,7 +21,7 @@ GT = {
 
 
 def gt(v):
-    e = v.of_type("view", "click").where(F.col("value") >= 4)
+    e = v.of_type("view", "click", "signup")
     label = (F.col("track_id") * 100000000000 + F.floor("t_enter")).cast("bigint")
     starts = v.stockout_event.where(F.col("kind") == "start")
     return {

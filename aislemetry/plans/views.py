@@ -187,9 +187,9 @@ class Views:
 
     @cached_property
     def box_b(self):
-        """The second detector: shifted on odd lines, small boxes missing."""
-        b = self.box.where(F.col("w") >= 23)
-        return b.withColumn("x", F.col("x") + F.when(F.col("line") % 2 == 1, 4.0).otherwise(0.0))
+        """The second detector: shifted on odd lines, the smallest boxes out of the picture."""
+        off = F.when(F.col("w") < 23, 1000.0).when(F.col("line") % 2 == 1, 4.0).otherwise(0.0)
+        return self.box.withColumn("x", F.col("x") + off)
 
     @cached_property
     def envelope(self):

@@ -118,9 +118,10 @@ def test_rollup_totals(spark):
 
 
 def test_wait_ignores_lane_unless_asked(spark):
-    truth = spark.createDataFrame([("c", 10.0, 0, 1, 1, 50.0)],
+    truth = spark.createDataFrame([("r", 10.0, 0, 1, 1, 50.0)],
                                   "clip string, t double, seq bigint, lane bigint, count bigint, actual_wait_s double")
-    pred = table(spark, "queue_estimate", [("r", 9.0, 2, 1.0, 40.0, 0), ("r", 11.0, 1, 1.0, 60.0, 1)], ", seq bigint")
+    pred = table(spark, "queue_estimate", [("r", 9.0, 2, 1.0, 40.0, 0), ("r", 11.0, 1, 1.0, 60.0, 1),
+                                           ("other", 10.0, 1, 1.0, 99.0, 2)], ", seq bigint")
     assert K.wait_pred_vs_actual(truth, pred, chunk_s=None).first()["error_s"] == -10.0
     assert K.wait_pred_vs_actual(truth, pred, by_lane=True, chunk_s=None).first()["error_s"] == 10.0
 
