@@ -308,6 +308,22 @@ def scan(df: DataFrame, keys, order, specs: dict[str, Spec], chunk_s=None) -> Da
         for n, s in specs.items()])
 
 
+# --- ranks ----------------------------------------------------------------------
+def weighted_ranks(df: DataFrame, keys, value, chunk_s="auto") -> DataFrame:
+    """One row per key and distinct value: its weight `__w`, last rank `__r` and the key's rows `__n`.
+
+    Equal values are added up before the shuffle, so neither a key nor a value that holds most rows is a task.
+    """
+    rows = df.groupBy(*keys, value).agg(F.count("*").alias("__w"))
+    return scan(rows, keys, [value], {"__r": RunSum(F.col("__w")), "__n": WholeSum(F.col("__w"))},
+                resolve(chunk_s, df, keys, value))
+
+
+def holds_rank(rank):
+    """Whether a row of `weighted_ranks` covers a rank."""
+    return (F.col("__r") >= rank) & (F.col("__r") - F.col("__w") < rank)
+
+
 # --- folds over sorted partitions ----------------------------------------------
 def _spread(df, by, sort):
     df = df.repartition(*by) if by else df.repartition(1)

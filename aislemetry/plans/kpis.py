@@ -12,7 +12,7 @@ from aislemetry.functions import geometry as G
 from aislemetry.functions import labels as L
 from aislemetry.functions import timebuckets as TB
 from aislemetry.operators.asof import exists_within, nearest
-from aislemetry.operators.ordered import NextValid, Prev, RunSum, WholeSum, resolve, scan
+from aislemetry.operators.ordered import NextValid, Prev, RunSum, holds_rank, resolve, scan, weighted_ranks
 from aislemetry.operators.thinning import throttle
 from aislemetry.schema import store_keys, with_store
 
@@ -113,16 +113,14 @@ def footfall_spark(tripwire, window, buckets=12):
 def dwell_by_zone(visit, t0=None, t1=None, chunk_s="auto"):
     """Visits, upper median and nearest-rank p90 of the dwell per zone.
 
-    Ranks come from a running count over the dwell axis, cut into chunks when one
-    zone is too big for a task.
+    Equal dwells are one weighted row before any rank is formed, so a value that
+    every visit shares is one row; ranks come from a running sum of the weights.
     """
-    v = between(visit, t0, t1, "t_enter").select(RUN, "zone", "dwell_s", "track_id", "t_enter")
+    v = between(visit, t0, t1, "t_enter").where(F.col("dwell_s").isNotNull())
     keys = [RUN, "zone"]
-    v = scan(v, keys, ["dwell_s", "track_id", "t_enter"],
-             {"__r": RunSum(F.lit(1)), "__n": WholeSum(F.lit(1))},
-             resolve(chunk_s, v, keys, "dwell_s"))
-    median = F.col("__r") == F.floor(F.col("__n") / 2) + 1
-    p90 = F.col("__r") == F.ceil((F.col("__n") * 9) / 10)
+    v = weighted_ranks(v, keys, "dwell_s", chunk_s)
+    median = holds_rank(F.floor(F.col("__n") / 2) + 1)
+    p90 = holds_rank(F.ceil((F.col("__n") * 9) / 10))
     return v.where(median | p90).groupBy(*keys).agg(
         F.max("__n").alias("visits"), F.max(F.when(median, F.col("dwell_s"))).alias("median_dwell_s"),
         F.max(F.when(p90, F.col("dwell_s"))).alias("p90_dwell_s"))

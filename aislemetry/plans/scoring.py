@@ -4,6 +4,8 @@ Detected tables and label tables share the key `clip`.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 
 from aislemetry.operators.asof import nearest, overlap_matches
 from aislemetry.operators.detections import FRAME_KEY, match_blobs
-from aislemetry.operators.ordered import LastValid, Prev, RunSum, WholeSum, resolve, scan, whole_groups
+from aislemetry.operators.ordered import (LastValid, Prev, holds_rank, resolve, scan, weighted_ranks,
+                                          whole_groups)
 
 # Acceptance limits.
 TARGETS = {"entry_count_error": 0.10, "exit_count_error": 0.10, "occupancy_mae": 1.5,
@@ -214,16 +217,19 @@ def check_frame_counts(frames_a: DataFrame, frames_b: DataFrame) -> DataFrame:
 def timing_stats(durations: DataFrame, keys=("label",), col="ms", chunk_s="auto") -> DataFrame:
     """Frames, mean, 95th percentile (linear) and frames per second.
 
-    The two ranks around the percentile come from a running count over the
-    duration axis, cut into chunks when one label is too big for a task.
+    Equal durations are one weighted row; the two ranks around the percentile come
+    from a running sum of the weights. The total is a sum of decimals, so it has the
+    same bits however the rows are dealt.
     """
     keys = list(keys)
-    d = durations.select(*keys, F.col(col).cast("double").alias("ms"))
-    d = scan(d, keys, ["ms"], {"__r": RunSum(F.lit(1)), "__n": WholeSum(F.lit(1)),
-                               "__s": WholeSum(F.col("ms"))}, resolve(chunk_s, d, keys, "ms"))
+    d = durations.select(*keys, F.col(col).cast("double").alias("ms")).where("ms is not null")
+    total = d.groupBy(*keys).agg(F.sum(F.col("ms").cast("decimal(28,9)")).cast("double").alias("__s"))
+    d = weighted_ranks(d, keys, "ms", chunk_s)
     at = (F.col("__n") - 1) * 0.95
     lo, hi = F.floor(at) + 1, F.least(F.floor(at) + 2, F.col("__n"))
-    g = d.where((F.col("__r") == lo) | (F.col("__r") == hi)).groupBy(*keys).agg(
+    near = d.where(holds_rank(lo) | holds_rank(hi))
+    g = near.join(total.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).groupBy(*keys).agg(
         F.max("__n").alias("frames"), F.max("__s").alias("__s"),
         F.min("ms").alias("__a"), F.max("ms").alias("__b"))
     part = (F.col("frames") - 1) * 0.95 - F.floor((F.col("frames") - 1) * 0.95)

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislemetry.operators.sequence import close_stockouts
-from aislemetry.schema import PAYLOAD_DDL, RUN_TABLES, TABLES
+from aislemetry.schema import LANE_CELLS, PAYLOAD_DDL, RUN_TABLES, TABLES
+from aislemetry.session import shared_dir
 from aislemetry.sources.validate import pack_cells
 
 
@@ -28,11 +29,16 @@ def route_events(events: DataFrame, run_id: str | None = None, pair=True) -> dic
     """Valid envelopes to one DataFrame per table.
 
     `pair` closes stock-outs here; a streaming sink stores start and end rows and
-    pairs them when they are read.
+    pairs them when they are read. Lane readings with more cells than a lane has go,
+    as envelopes with their reason, to `quarantine`.
     """
     e = with_run(events, run_id)
     p = {k: _typed(e, k) for k in PAYLOAD_DDL}
+    lanes = e.where(F.col("event_type") == "lane_occ").withColumn(
+        "p", F.from_json("payload", PAYLOAD_DDL["lane_occ"]))
+    long_ = F.coalesce(F.size("p.cells") > LANE_CELLS, F.lit(False))
     out = {
+        "quarantine": lanes.where(long_).drop("p").withColumn("reason", F.lit(f"more than {LANE_CELLS} cells")),
         "tripwire": p["tripwire"].select("run_id", "t", "p.dir"),
         "occupancy": p["occupancy"].select("run_id", "t", "p.count"),
         "visit": p["visit"].select(
@@ -43,8 +49,7 @@ def route_events(events: DataFrame, run_id: str | None = None, pair=True) -> dic
         "planogram_violation": p["planogram_violation"].select(
             "run_id", "t", F.col("zone_id").alias("roi"), F.col("p.expected_sku").alias("expected"),
             "p.observed"),
-        "lane_occ": pack_cells(p["lane_occ"].select("run_id", "t", "p.lane", "p.cells")).where(
-            "cells_ok").drop("cells_ok"),
+        "lane_occ": pack_cells(lanes.where(~long_).select("run_id", "t", "p.lane", "p.cells")).drop("cells_ok"),
         "queue_estimate": p["queue_estimate"].select("run_id", "t", "p.lane", "p.count", "p.pred_wait_s"),
         "pos_txn": p["pos_txn"].select("run_id", "t", "p.lane", "p.items", "p.amount", "p.zone_hint"),
         "alert": p["alert"].select("run_id", "t", "p.severity", "p.rule", "p.message",
@@ -71,9 +76,24 @@ def upsert_heatmap(rows: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], base: str, mode="append"):
-    """Parquet tables partitioned by run, the unit of pruning and deletion."""
+    """Parquet tables partitioned by run, the unit of pruning and deletion.
+
+    With `mode` "replace" the runs at hand take the place of what is there of them, other runs stay: a load that is
+    repeated leaves the same rows.
+    """
     for name, df in tables.items():
-        df.write.mode(mode).partitionBy("run_id").parquet(f"{base}/{name}")
+        writer = df.write.partitionBy("run_id")
+        if mode == "replace":
+            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        else:
+            writer = writer.mode(mode)
+        writer.parquet(f"{base}/{name}")
+
+
+def staged(events: DataFrame, folder: str) -> DataFrame:
+    """Events written by type in one pass over their source; each table then reads its own type's files only."""
+    events.write.mode("overwrite").partitionBy("event_type").parquet(folder)
+    return events.sparkSession.read.schema(events.schema).parquet(folder).select(*events.columns)
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -83,12 +103,14 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def load_history(spark: SparkSession, events: DataFrame, base: str, clipset="history") -> DataFrame:
     """Bulk-load event history of many stores, each under its own run id.
 
-    events: envelope plus run_id. Returns the run registry rows it wrote.
+    events: envelope plus run_id. The source is read once, into files by event type in the shared folder; loading a
+    run again replaces it. Returns the run registry rows it wrote.
     """
+    events = staged(events, shared_dir(spark, "staged"))
     tables = route_events(events)
     runs = events.groupBy("run_id", "store_id").agg(F.lit(0.0).alias("started")).withColumn(
         "clipset", F.lit(clipset))
-    write_tables({**tables, "run": runs}, base)
+    write_tables({**tables, "run": runs}, base, "replace")
     return runs
 
 

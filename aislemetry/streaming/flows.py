@@ -30,7 +30,8 @@ def sink_events(events: DataFrame, base: str, checkpoint: str, run_id: str | Non
         try:
             good = checked.where(F.col("reason").isNull()).drop("reason", "missing", "unexpected")
             tables = sinks.route_events(good, run_id, pair=False)
-            tables["quarantine"] = checked.where(F.col("reason").isNotNull())
+            tables["quarantine"] = checked.where(F.col("reason").isNotNull()).unionByName(
+                tables["quarantine"], allowMissingColumns=True)
             for name, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
             if done is not None:

@@ -193,3 +193,23 @@ def test_null_keys_survive_chunks(spark):
         kept = loop(lambda s, t, x: (t, True) if s is None or t - s >= 5 else (s, False))
         got = throttle(d, ["k"], ["t", "seq"], 5.0)
         assert sorted(r.seq for r in got.collect()) == [s for s, yes in kept.items() if yes]
+
+
+@pytest.mark.parametrize("chunk", [None, 3.0])
+def test_ranks_of_equal_values(spark, chunk):
+    """One value that nearly every row has is one weighted row; medians are those of the sorted list."""
+    from aislemetry.plans import kpis as K
+    from aislemetry.plans import scoring as SC
+    rng = random.Random(9)
+    values = {z: [5.0] * 400 + [float(rng.randint(0, 9)) for _ in range(99)] for z in ("a", None)}
+    visit = spark.createDataFrame([("r", z, v, 0.0) for z, vs in values.items() for v in vs],
+                                  "run_id string, zone string, dwell_s double, t_enter double")
+    for r in K.dwell_by_zone(visit, chunk_s=chunk).collect():
+        d = sorted(values[r.zone])
+        assert (r.visits, r.median_dwell_s, r.p90_dwell_s) == (len(d), d[len(d) // 2], d[-(-len(d) * 9 // 10) - 1])
+    timed = visit.select(F.col("zone").alias("label"), F.col("dwell_s").alias("ms"))
+    for r in SC.timing_stats(timed, chunk_s=chunk).collect():
+        d = sorted(values[r.label])
+        at = (len(d) - 1) * 0.95
+        want = d[int(at)] + (d[int(at) + 1] - d[int(at)]) * (at - int(at))
+        assert (r.frames, r.mean_ms) == (len(d), sum(d) / len(d)) and abs(r.p95_ms - want) < 1e-9

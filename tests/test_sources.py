@@ -184,3 +184,21 @@ def test_report_files(spark, tmp_path):
     SK.write_report({"a": t}, t.agg(F.sum("n").alias("n")), str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "a")).first()["n"] == "1"
     assert spark.read.json(str(tmp_path / "summary")).first()["n"] == 1
+
+
+def test_loading_twice_leaves_the_same_rows(spark, tmp_path):
+    """Long lanes go to quarantine; a repeated load replaces its runs and leaves others alone."""
+    rows = [(1.0, "s", "overhead", None, "occupancy", '{"count": 3}', "r1"), (2.0, "s", "overhead", None, "occupancy", '{"count": 4}', "r2"),
+            (3.0, "s", "overhead", None, "lane_occ", json.dumps({"lane": 1, "cells": list(range(17))}), "r1"),
+            (4.0, "s", "overhead", None, "lane_occ", json.dumps({"lane": 1, "cells": [1, 2]}), "r1")]
+    events = spark.createDataFrame(rows, "t double, store_id string, stream string, zone_id string, event_type string, "
+                                         "payload string, run_id string")
+    base = str(tmp_path)
+    SK.load_history(spark, events, base)
+    SK.load_history(spark, events.where("run_id = 'r1'"), base)
+    occ = SK.read_table(spark, base, "occupancy")
+    assert sorted((r.run_id, r["count"]) for r in occ.collect()) == [("r1", 3), ("r2", 4)]
+    assert [r.cells for r in SK.read_table(spark, base, "lane_occ").collect()] == [[1, 2] + [0] * 14]
+    bad = spark.read.parquet(f"{base}/quarantine").collect()
+    assert [(r.t, r.reason) for r in bad] == [(3.0, "more than 16 cells")]
+    assert SK.read_table(spark, base, "run").count() == 2
