@@ -167,6 +167,10 @@ def _predicted(batches, model):
         values = batch.column("text")
         for row, data, offsets in slices(batch):
             x = features(data, offsets)
+            for i in np.flatnonzero(~x.any(1) & (np.diff(offsets) == 1)):
+                # A lone letter has no byte pair of its own; the blanks around it make two.
+                own = np.array([32, data[offsets[i]], 32], np.uint8)
+                x[i] = features(own, np.array([0, 3]))[0]
             lettered = x.any(1)
             for i in np.flatnonzero(lettered):
                 # Bytes beyond ASCII may be letters or not; ASCII letters settle it for nearly every text.

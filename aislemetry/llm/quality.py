@@ -158,9 +158,10 @@ def learn(measured: DataFrame, marks: DataFrame, ridge=RIDGE):
     penalty = np.full(size, ridge * moments["n"])
     penalty[-1] = 0
     weights = np.linalg.solve(left + np.diag(penalty) + 1e-9 * np.eye(size), right)
-    bins = (_apply(rows, ["y"], kernel, weights).groupBy(F.round(F.col("score") * STEPS).alias("k"))
-            .agg(F.avg("y").alias("y"), F.count("*").alias("n"))
-            .where(F.abs("k") <= 2 * STEPS).orderBy("k").collect())
+    # Scores far outside 0 to 1 fall into the outermost bins, so there are at most 4 x STEPS + 1 and every row counts.
+    raw = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("score")))
+    bins = (_apply(rows, ["y"], kernel, weights).groupBy(F.round(raw * STEPS).alias("k"))
+            .agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("k").collect())
     fit = pooled([r["y"] for r in bins], [r["n"] for r in bins])
     return kernel, weights, (np.array([r["k"] / STEPS for r in bins]), np.clip(fit, 0.0, 1.0))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislemetry.llm import divergence, lexical, licenses
+from aislemetry.llm import divergence, langid, lexical, licenses, quality, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, places string, k long"
 MIT = next(t for t in licenses.TEMPLATES if t.label == "mit-text")
@@ -272,3 +272,37 @@ def test_audit_joins_without_products(spark):
     docs = docs_of(spark, [(i, "a b c", "en", f"s{i % 3}") for i in range(9)])
     plan = divergence.audit(docs)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+# ---------------------------------------------------------------- earlier operators
+
+def test_a_lone_letter_is_a_text(spark):
+    rows = [(i, "the house and the garden " * 5, "en", "a") for i in range(40)] + [
+        (100 + i, "das haus und der garten " * 5, "de", "a") for i in range(40)]
+    rows += [(900, "a", None, None), (901, "Z", None, None), (902, "7", None, None), (903, "", None, None), (904, "\u00e9", None, None)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, rows)).collect()}
+    assert {got[i] for i in (900, 901, 904)} <= {"en", "de"} and got[902] == got[903] == "und"
+
+
+def test_every_learning_row_is_calibrated(spark, monkeypatch):
+    """Raw scores beyond the bins count in the outermost ones."""
+    seen = []
+    pooled = quality.pooled
+    monkeypatch.setattr(quality, "pooled", lambda y, n: seen.append(sum(n)) or pooled(y, n))
+    monkeypatch.setattr(quality, "STEPS", 10)
+    measured = quality.measure(docs_of(spark, [(i, "word " * (i + 1), "en", "a") for i in range(60)]), "text", "doc_id")
+    marks = spark.createDataFrame([(i, 50.0 if i == 0 else float(i % 2)) for i in range(60)], "doc_id long, y double")
+    quality.learn(measured, marks)
+    assert seen == [60]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(queries.ORACLES[name])
+    cols = [c[0] for c in want.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
