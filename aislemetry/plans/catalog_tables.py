@@ -7,7 +7,6 @@ from aislemetry.functions import labels as L
 from aislemetry.functions import queueing as Q
 from aislemetry.functions import timebuckets as TB
 from aislemetry.plans import kpis as K
-from aislemetry.plans import dashboard as DB
 from aislemetry.plans.catalog_kpi import KPI_SQL
 from aislemetry.plans.registry import query
 from aislemetry.session import shared_dir
@@ -475,8 +474,3 @@ def tables(v):
     return {"run": v.run, "occupancy": v.occupancy, "tripwire": v.tripwire, "shelf_fill": v.shelf_fill,
             "visit": v.visit, "queue_estimate": v.queue_estimate, "pos_txn": v.pos_txn,
             "stockout": v.stockout, "planogram": v.planogram, "alert": v.alert}
-
-
-@query("dashboard_headline")
-def _(v):
-    return DB.headline(tables(v))
