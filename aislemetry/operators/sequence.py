@@ -6,13 +6,15 @@ seconds, or None (each key fits one task).
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aislemetry.functions import geometry as G
 from aislemetry.functions import queueing as Q
 from aislemetry.operators.ordered import (First, LastValid, Next, NextValid, Prev, RunMin, RunSum,
-                                          Tail, WholeMax, WholeSum, ema, resolve, scan)
+                                          Tail, WholeMax, WholeSum, ema, key_changes, resolve, scan)
 from aislemetry.operators.thinning import throttle
 from aislemetry.schema import store_keys
 
@@ -475,3 +477,56 @@ def inventory(status: DataFrame, stock: DataFrame, confirm=15, agreement=0.85,
             .when(F.col("stock") <= threshold, "low_stock_detected"))
     return out.select(*keys, "t", "seq", "removed", F.col("stock").alias("remaining"),
                       (F.col("removed") * F.col("unit_price")).alias("revenue"), rule.alias("rule"))
+
+
+def inventory_with_removals(status: DataFrame, removals: DataFrame, stock: DataFrame, confirm=15, agreement=0.85,
+                            keys=("run_id", "roi")) -> DataFrame:
+    """`inventory` where items are also taken out directly, by hand or as detected picks.
+
+    removals: keys, t, seq, quantity. A removal lowers the stock at once, by no more than there is, and makes every
+    earlier reading neutral, so the two sources do not count one item twice. As each step depends on the stock that the
+    last one left, a facing is folded in order, by the same step as the stream (`folds.inventory_step`); its state is
+    one number and one mark per reading of the window, and rows pass in Arrow batches.
+    """
+    from aislemetry.streaming.folds import inventory_step
+    keys = list(keys)
+    store = [c for c in ("store_id",) if c in stock.columns and c not in keys]
+    lines = status.select(*keys, *store, "t", "seq", "status").unionByName(
+        removals.select(*keys, *store, "t", "seq", F.col("quantity").cast("int").alias("removal")), allowMissingColumns=True)
+    floor = F.greatest(F.lit(1), F.coalesce(F.col("low_threshold"), F.floor(F.col("initial_stock") * 0.3).cast("int")))
+    rows = lines.join(stock, store_keys(lines, stock, "roi")).select(
+        *keys, "t", "seq", "status", "removal", F.col("initial_stock").cast("int").alias("initial_stock"),
+        floor.alias("threshold"), F.col("unit_price").cast("double").alias("unit_price"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "t", "seq")
+    fields = [rows.schema[c] for c in (*keys, "t", "seq")]
+    schema = T.StructType(fields + [T.StructField(c, T.IntegerType()) for c in ("removed", "remaining")] + [
+        T.StructField("revenue", T.DoubleType()), T.StructField("rule", T.StringType())])
+    cells = ("t", "seq", "status", "removal", "initial_stock", "threshold", "unit_price")
+
+    def run(batches):
+        step, state, last = inventory_step(confirm, agreement), (None, None), None
+        for batch in batches:
+            new = key_changes(batch, keys)
+            columns = {c: batch.column(c).to_pylist() for c in cells}
+            at, found = [], []
+            for n in range(batch.num_rows):
+                if n == 0 or new[n]:
+                    key = tuple(batch.column(k)[n].as_py() for k in keys)
+                    state, last = state if key == last else (None, None), key
+                row = {c: v[n] for c, v in columns.items()}
+                state, out = step(state, row)
+                for o in out:
+                    at.append(n)
+                    found.append((o["removed"], o["remaining"], o["removed"] * row["unit_price"], o["rule"]))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(pa.array(at)) for c in (*keys, "t", "seq")]
+                    + [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.float64(), pa.string()))],
+                    names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def inventory_incidents(commits: DataFrame, keys=("run_id", "roi")) -> DataFrame:
+    """Stock-out starts of facings that inventory has counted down to nothing."""
+    return commits.where(F.col("remaining") == 0).select(*keys, "t", "seq", F.lit("start").alias("kind"))

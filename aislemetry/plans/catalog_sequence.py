@@ -352,3 +352,30 @@ def _(v):
 def _(v):
     s = wide_status(v)
     return K.inventory_summary(S.inventory(s, stock(v)), s, stock(v))
+
+
+# Independent model: as above, with picks of one or two items in the place of every eleventh reading.
+PICK_SQL = COMMIT_SQL.replace("CASE status WHEN 'empty' THEN 0 WHEN 'low' THEN 3 ELSE 10 END AS q FROM v_wide",
+    "CASE status WHEN 'empty' THEN 0 WHEN 'low' THEN 3 ELSE 10 END AS q, CASE WHEN seq % 11 = 0 THEN 1 + seq % 2 END AS pick FROM v_wide").replace(
+    "SELECT *, CASE WHEN len(w) >= 15", "SELECT *, CASE WHEN pick IS NOT NULL THEN CASE WHEN stock > 0 THEN greatest(0, stock - pick) END WHEN len(w) >= 15").replace(
+    "f.stock, list_append(f.win, e.q)[-15:] AS w", "f.stock, e.pick, CASE WHEN e.pick IS NULL THEN list_append(f.win, e.q)[-15:] ELSE f.win END AS w").replace(
+    "CASE WHEN hit IS NULL THEN 0 ELSE stock - hit END", "CAST(CASE WHEN hit IS NULL THEN 0 ELSE stock - hit END AS INTEGER)").replace(
+    "coalesce(hit, stock),", "CAST(coalesce(hit, stock) AS INTEGER),").replace("lambda x: hit)", "lambda x: CAST(hit AS INTEGER))")
+
+
+def picked(v):
+    s = wide_status(v).select("run_id", "roi", "t", "seq", "status")
+    pick = F.col("seq") % 11 == 0
+    removals = s.where(pick).select("run_id", "roi", "t", "seq", (F.col("seq") % 2 + 1).alias("quantity"))
+    return S.inventory_with_removals(s.where(~pick), removals, stock(v))
+
+
+@query("inventory_with_removals", PICK_SQL, WIDE)
+def _(v):
+    return picked(v)
+
+
+@query("inventory_incidents", f"""WITH RECURSIVE c AS (SELECT * FROM ({PICK_SQL}))
+    SELECT run_id, roi, t, seq, 'start' AS kind FROM c WHERE remaining = 0""", WIDE)
+def _(v):
+    return S.inventory_incidents(picked(v))

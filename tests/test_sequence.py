@@ -270,3 +270,27 @@ def test_holt_folds_every_value(spark, alpha, beta):
     for chunk in (None, 50.0):
         r = S.holt(s, alpha=alpha, beta=beta, chunk_s=chunk).first()
         assert (r.level, r.trend) == pytest.approx((level, trend), abs=1e-9)
+
+
+def test_inventory_with_removals(spark):
+    """Picks lower the stock at once, readings only later; both together match the streamed step."""
+    from aislemetry.streaming.folds import inventory_step
+    rng = random.Random(17)
+    names = [s if rng.random() < 0.95 else "normal" for s, n in (("normal", 20), ("low", 30), ("empty", 40)) for _ in range(n)]
+    picks = {5: 2, 6: 1, 50: 99, 51: 1}
+    status = spark.createDataFrame([(r, "A1", float(i), i, s) for r in ("r", None) for i, s in enumerate(names) if i not in picks],
+                                   "run_id string, roi string, t double, seq bigint, status string")
+    removals = spark.createDataFrame([(r, "A1", float(i), i, q) for r in ("r", None) for i, q in picks.items()],
+                                     "run_id string, roi string, t double, seq bigint, quantity int")
+    stock = spark.createDataFrame([("A1", 10, 3, 2.0)], "roi string, initial_stock int, low_threshold int, unit_price double")
+    step, state, want = inventory_step(), (None, None), []
+    for i, s in enumerate(names):
+        row = {"t": float(i), "seq": i, "initial_stock": 10, "threshold": 3,
+               "status": None if i in picks else s, "removal": picks.get(i)}
+        state, out = step(state, row)
+        want += [(i, o["removed"], o["remaining"], o["removed"] * 2.0, o["rule"]) for o in out]
+    got = S.inventory_with_removals(status, removals, stock)
+    for r in ("r", None):
+        mine = sorted((x.seq, x.removed, x.remaining, x.revenue, x.rule) for x in got.collect() if x.run_id == r)
+        assert mine == want and mine[0][:3] == (5, 2, 8) and mine[-1][2] == 0
+    assert {x.seq for x in S.inventory_incidents(got).collect()} == {want[-1][0]}
