@@ -42,9 +42,9 @@ STORE_STATUS = {"v_status": STATUS_SQL.replace(f"smooth <= {EMPTY_BELOW}", f"smo
     f"smooth <= {LOW_BELOW}", f"smooth <= {LOW_BELOW} + {STEP} * {N}")}
 
 
-@query("fill_status_by_store", "SELECT * FROM v_status", STORE_STATUS)
+@query("fill_status_by_store", "SELECT * EXCLUDE (smoothed_fill) FROM v_status", STORE_STATUS)
 def _(v):
-    return status(v)
+    return status(v).drop("smoothed_fill")
 
 
 @query("incident_alerts_by_store", """WITH i AS (SELECT *, lag(status) OVER (PARTITION BY run_id, roi ORDER BY t) AS p FROM v_status)
