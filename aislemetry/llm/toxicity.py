@@ -9,8 +9,11 @@ clean text falls on average.
 A linear-time scan finds all maximal-scoring segments of a text: what is between two table words is one negative step,
 so the scan's work per text is in the table words. Segment scores follow an extreme-value law: with lambda from the
 clean word distribution and its scale from clean documents, a segment's expected number in a text of n words is
-K n exp(-lambda S). Significant segments (expected number at most `EXPECTED`) are the toxic passages. The document's
-statistic is that of its best segment; a logistic curve over the statistic's histogram turns it into a probability.
+K n exp(-lambda S). Significant segments (expected number at most `EXPECTED`) are the toxic passages; `passages` returns
+them with their places. They are aggregated by the extreme-value law of their sum: r segments whose normalised scores
+lambda S - ln(K n) add up to T are as rare as exp(-T) T^(r-1) / (r! (r-1)!). The document's statistic is the rarest of
+its best segment alone, its two best together, and so on through all significant ones; a logistic curve over the
+statistic's histogram turns it into a probability.
 
 Defined results: null and empty texts have no segment and get a score; without toxic learning rows all scores are 0
 (or 1 where all are toxic); several labels of one id are learnt each, null labels not; equal texts get equal scores.
@@ -146,6 +149,18 @@ def _found(words: Words, model: dict, drift: float) -> list[list[tuple[int, int,
     return out
 
 
+def together(values: list[float]) -> float:
+    """Statistic of a text: the highest -ln of how rare its best r segments are, r from one to all significant ones."""
+    ranked = sorted(values, reverse=True)
+    best = total = ranked[0]
+    for r, x in enumerate(ranked[1:], 2):
+        if x < -math.log(EXPECTED):
+            break
+        total += x
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
+
+
 def _scanned(batches, model, lam, log_k, curve, drift):
     for batch in batches:
         rest = batch.drop_columns(["text"])
@@ -153,12 +168,11 @@ def _scanned(batches, model, lam, log_k, curve, drift):
             words = words_of(data, offsets)
             found = _found(words, model, drift)
             log_n = np.log(np.maximum(words.count, 1))
-            best = np.array([max((s for *_, s in own), default=0.0) for own in found])
-            statistic = lam * best - log_n - log_k                     # minus the log of the expected number
+            # Minus the log of each segment's expected number.
+            rare = [[lam * s - ln - log_k for *_, s in own] for own, ln in zip(found, log_n)]
             # A text without a scoring word has no segment to judge: the lowest statistic, whatever its length.
-            statistic = np.where(best > 0, np.clip(statistic, -20, 40), -20.0)
-            passages = [sum(lam * s - ln - log_k >= -math.log(EXPECTED) for *_, s in own)
-                        for own, ln in zip(found, log_n)]
+            statistic = np.array([np.clip(together(own), -20, 40) if own else -20.0 for own in rare], float)
+            passages = [sum(x >= -math.log(EXPECTED) for x in own) for own in rare]
             score = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * statistic, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*rest.slice(row, words.rows).columns, pa.array(statistic), pa.array(passages, pa.int64()),
@@ -225,3 +239,41 @@ def score(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", mark
     out = _scan(source, ["doc_id"], model, lam, log_k, curve)
     return out.select("doc_id", F.coalesce(crc_rest(F.col("doc_id"), base) == held, F.lit(False)).alias("held_out"),
                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "statistic")
+
+
+def _placed(batches, model, lam, log_k, drift, names):
+    for batch in batches:
+        rest = batch.drop_columns(["text"])
+        for row, data, offsets in slices(batch):
+            words = words_of(data, offsets)
+            first = np.concatenate([[0], np.cumsum(words.count)])[:-1]
+            # Code points before every byte; the blank after a word ends it, and so does the end of its text.
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            blank = np.append(np.flatnonzero(_BLANK[data]), len(data))
+            out: list[tuple] = []
+            for n, own in enumerate(_found(words, model, drift)):
+                log_n = math.log(max(int(words.count[n]), 1))
+                for a, b, s in own:
+                    rare = lam * s - log_n - log_k
+                    if rare >= -math.log(EXPECTED):
+                        start, last = int(words.start[first[n] + a]), int(words.start[first[n] + b])
+                        end = min(int(blank[np.searchsorted(blank, last)]), int(offsets[n + 1]))
+                        base = points[offsets[n]]
+                        out.append((n, a, b + 1, int(points[start] - base), int(points[end] - base), s, math.exp(-rare)))
+            at, *columns = zip(*out) if out else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [c.take(pa.array([row + n for n in at], pa.int64())) for c in rest.columns]
+                + [pa.array(c, k) for c, k in zip(columns, kinds)], names=[*rest.schema.names, *names])
+
+
+def passages(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", mark="toxic", base=5, held=0,
+             sample=SAMPLE) -> DataFrame:
+    """One row per significant passage: doc_id, first_word and end_word, start and end (code points, end exclusive), its
+    score and how many such segments a clean text of that length would hold."""
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    model, lam, log_k, _ = learn(source, labels, mark, base, held, sample)
+    names = ["first_word", "end_word", "start", "end", "score", "expected"]
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(lambda it: _placed(it, model, lam, log_k, DRIFT, names),
+                             f"doc_id {kind}, first_word long, end_word long, start long, end long, score double, expected double")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislemetry.llm import divergence, langid, lexical, licenses, quality, queries
+from aislemetry.llm import divergence, langid, lexical, licenses, quality, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, places string, k long"
 MIT = next(t for t in licenses.TEMPLATES if t.label == "mit-text")
@@ -296,6 +296,39 @@ def test_every_learning_row_is_calibrated(spark, monkeypatch):
     assert seen == [60]
 
 
+def test_significant_passages_are_returned_and_add_up(spark):
+    rng = random.Random(12)
+    clean = [f"word{k}" for k in range(300)]
+    bad = ["vilé", "scum", "filth", "rot", "pest"]
+
+    def text(parts):
+        return ". ".join(" ".join(rng.choice(bad if toxic else clean) for _ in range(n)) for toxic, n in parts)
+
+    rows, marks = [], []
+    for i in range(400):
+        toxic = i % 2
+        rows.append((i, text([(False, 40), (bool(toxic), 6), (False, 40)]), "en", "a"))
+        marks.append((i, toxic))
+    two = text([(False, 60), (True, 8), (False, 300), (True, 7), (False, 60)])
+    rows += [(1000, two, "en", "a"), (1001, None, None, None), (1002, "", "en", "a"), (1003, text([(False, 200)]), "en", "a")]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.passages(docs, labels).where("doc_id >= 1000").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1000, 1000]
+    for r in got:
+        part = two[r.start:r.end]
+        assert set(part.split()) <= set(bad) and len(part.split()) == r.end_word - r.first_word and r.expected <= 0.05
+    scores = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert scores[1000].n_passages == 2 and scores[1000].predicted == 1 and scores[1003].predicted == 0
+    assert scores[1001].n_passages == scores[1002].n_passages == 0
+
+
+def test_rarer_together_than_alone():
+    assert toxicity.together([7.0]) == 7.0 and toxicity.together([7.0, 1.0]) == 7.0
+    both = toxicity.together([7.0, 6.0])
+    assert both == 13.0 - math.log(13.0) + math.log(2.0) > 7.0
+    assert toxicity.together([6.0, 7.0, 8.0]) > both
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_oracles(spark, name):
     con = duckdb.connect()
