@@ -29,6 +29,7 @@ WINDOW = 64
 STRIDE = 32
 REACH = 32
 SAMPLE = 3_000
+SPARE = 2                   # texts looked at for each window of the sample, in the first look
 BATCH = 512                 # windows of one network call, regions of one decoding call
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -138,10 +139,23 @@ def _labelled(batches):
 
 
 def learn(docs: DataFrame, text="text", sample=SAMPLE, steps=260) -> dict | None:
-    """Train on the `sample` labelled windows with the least content hash; None without any."""
-    windows = (docs.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-               .mapInArrow(_labelled, "o long, symbols binary, tags binary"))
-    rows = windows.orderBy("o", "symbols", "tags").limit(sample).collect()
+    """Train on the `sample` labelled windows with the least content hash; None without any.
+
+    Every task sends its least windows to the driver. A first look keeps the share of all hashes that holds several
+    times the sample, so what they send does not grow with the tasks; where that share is too small after all, a second
+    look takes all windows. The sample is the same in both.
+    """
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    windows = texts.mapInArrow(_labelled, "o long, symbols binary, tags binary")
+
+    def least(some):
+        return some.orderBy("o", "symbols", "tags").limit(sample).collect()
+
+    share = min(1.0, SPARE * sample / max(texts.count(), 1))
+    below = int(share * 2.0 ** 64) - 2 ** 63
+    rows = least(windows.where(F.col("o") < F.lit(below))) if share < 1 else []
+    if len(rows) < sample:
+        rows = least(windows)
     if not rows:
         return None
     rows = list({(bytes(r["symbols"]), bytes(r["tags"])): None for r in rows})

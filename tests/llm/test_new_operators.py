@@ -339,3 +339,17 @@ def test_queries_match_their_oracles(spark, name):
     cols = [c[0] for c in want.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_personal_data_sample_is_the_same_from_any_share(spark, monkeypatch):
+    """Looking at a share of the hashes first picks the windows that looking at all of them picks."""
+    from aislemetry.llm import lstm_crf, pii
+    seen = []
+    monkeypatch.setattr(lstm_crf, "train", lambda model, symbols, tags, steps: seen.append(
+        sorted((s.tobytes(), t.tobytes()) for s, t in zip(symbols, tags))))
+    docs = docs_of(spark, [(i, f"call +1 ({i:03d}) 555-{i:04d} or mail a{i}@b{i}.org about 10.0.{i % 200}.7 now", "en", "a")
+                           for i in range(400)])
+    for spare in (1e9, 8, 1, 1e-9):
+        monkeypatch.setattr(pii, "SPARE", spare)
+        pii.learn(docs, sample=20)
+    assert len(seen) == 4 and all(s == seen[0] for s in seen) and len(seen[0]) == 20
