@@ -7,7 +7,7 @@ every document a posterior over the domains quality x toxic. Nonnegative documen
 
 for token counts t, posteriors p, and target totals T_d that add up to T. Projected gradient steps with momentum are
 taken in the metric t_i / T, where one rate depends on its document's posterior only. A posterior depends on the bins
-only, so tokens are first summed per vector of bins, at most 7 * 7 * 9 * 8 * 5 = 17,640 sums whatever the input. One
+only, so tokens are first summed per vector of bins, at most 7 * 7 * 9 * 8 * 7 * 5 = 123,480 sums whatever the input. One
 task takes all steps over an array of them until the duality gap shows that every total is within `PART` of the least
 target of the optimum's, and the documents meet the exact posteriors and rates by a broadcast of those groups.
 `totals` gives the reached totals beside the targets.
@@ -44,9 +44,11 @@ EDGES = {
     "word_length": [3.5, 4.5, 5.5, 6.5, 8.0, 10.0],
     "distinct": [0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8],
     "symbols": [0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.2],
+    "capitals": [0.005, 0.02, 0.05, 0.1, 0.3, 0.5],
     "told": [0.5, 1.5, 2.5, 4.5],
 }
 _SYMBOLS = "[#*$%&|<>!]"
+_CAPITALS = "[A-Z]"
 
 
 def bound(value: Column, use) -> Column:
@@ -64,14 +66,16 @@ def statistics(text: Column, lexicon: list[str]) -> Column:
         split = F.array_remove(split, "")
         chars = F.length(body)
         symbols = chars - F.length(F.regexp_replace(body, _SYMBOLS, ""))
-        told = F.size(F.array_intersect(split, F.lit(lexicon))) if lexicon else F.lit(0)
+        capitals = chars - F.length(F.regexp_replace(body, _CAPITALS, ""))
+        told = F.size(F.array_intersect(F.split(F.lower(body), "[ \t]"), F.lit(lexicon))) if lexicon else F.lit(0)
 
         def counted(w: Column) -> Column:
             words, n = w["n"], F.greatest(w["n"], F.lit(1))
             return F.struct(
                 words.cast("long").alias("words"), F.log1p(words.cast("double")).alias("log_words"),
                 ((chars - gaps) / n).alias("word_length"), (w["distinct"] / n).alias("distinct"),
-                (symbols / F.greatest(chars, F.lit(1))).alias("symbols"), told.cast("double").alias("told"))
+                (symbols / F.greatest(chars, F.lit(1))).alias("symbols"),
+                (capitals / F.greatest(chars, F.lit(1))).alias("capitals"), told.cast("double").alias("told"))
 
         return bound(F.struct(F.size(split).alias("n"), F.size(F.array_distinct(split)).alias("distinct")), counted)
 
@@ -97,11 +101,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
 
 
 def lexicon_of(labelled: DataFrame, size: int) -> list[str]:
-    """The words whose presence most favours toxic documents, by smoothed log odds of document counts."""
+    """The lower-cased words whose presence most favours toxic documents, by smoothed log odds of document counts."""
     totals = labelled.agg(F.count_if(F.expr("domain in (1, 3)")).alias("t"), F.count_if(F.expr("domain in (0, 2)")).alias("o")).first()
     if not totals["t"]:
         return []
-    seen = (labelled.select("domain", F.explode(F.array_distinct(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), "[ \t]"))).alias("word"))
+    words = F.split(F.lower(F.replace("body", F.lit("\n"), F.lit(" "))), "[ \t]")
+    seen = (labelled.select("domain", F.explode(F.array_distinct(words)).alias("word"))
             .where("word <> ''").groupBy("word")
             .agg(F.count_if(F.expr("domain in (1, 3)")).alias("t"), F.count_if(F.expr("domain in (0, 2)")).alias("o")).where("t >= 3"))
     odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("o") + 0.5) / (totals["o"] + 1))

@@ -511,3 +511,12 @@ def test_pipeline(spark):
 def test_query_is_whole(spark, name):
     n = queries.QUERIES[name](spark, SMALL).count()
     assert n == spark.read.parquet(f"{SMALL}/documents.parquet").count() or name == "op6_token_rollup" and n
+
+
+def test_mixing_statistics_see_capitals_and_any_case(spark):
+    docs = spark.createDataFrame([("AB cd\tEf gh",), ("RUDE word Rude rude",), ("",), (None,)], "text string")
+    rows = [r["s"] for r in docs.select(mixing.statistics(F.col("text"), ["rude", "word"]).alias("s")).collect()]
+    assert [r["capitals"] for r in rows] == [3 / 11, 5 / 19, 0.0, 0.0]
+    assert [r["told"] for r in rows] == [0.0, 2.0, 0.0, 0.0] and [r["words"] for r in rows] == [4, 4, 0, 0]
+    labelled = spark.createDataFrame([(i % 2, "VILE end" if i % 2 else "mild end") for i in range(12)], "domain int, body string")
+    assert mixing.lexicon_of(labelled, 5) == ["vile"]
