@@ -302,7 +302,33 @@ def _(v):
     return T.link_detections(boxes_a(v))
 
 
-@query("drop_static")
+def _same_size(a, b):
+    """IoU of two boxes of 20 x 40 by their foot points."""
+    inter = f"greatest(0, 20 - abs({a[0]} - {b[0]})) * greatest(0, 40 - abs({a[1]} - {b[1]}))"
+    return f"({inter} / (1600 - {inter}))"
+
+
+STATIC_SQL = f"""WITH away AS (SELECT *, sqrt((u - first(u) OVER o) ** 2 + (v - first(v) OVER o) ** 2) AS d FROM v_trk
+      WINDOW o AS (PARTITION BY track_id ORDER BY frame_id)),
+    life AS (SELECT track_id, min(frame_id) AS f0, max(frame_id) AS f1, arg_min(u, frame_id) AS u0, arg_min(v, frame_id) AS v0,
+      arg_max(u, frame_id) AS u1, arg_max(v, frame_id) AS v1, count(*) FILTER (d >= 700) >= 5 AS walked FROM away GROUP BY track_id),
+    heir AS (SELECT DISTINCT n.track_id FROM life n JOIN life g ON g.walked AND n.f0 - (g.f1 + 31) > 0
+      AND n.f0 - (g.f1 + 31) < 45 AND {_same_size(("g.u1", "g.v1"), ("n.u0", "n.v0"))} >= 0.3),
+    other AS (SELECT * FROM life WHERE NOT walked AND track_id NOT IN (SELECT track_id FROM heir)),
+    fixed AS (SELECT *, f0 + 25 AS s0 FROM other WHERE f1 - f0 + 1 > 25),
+    hit AS (SELECT p.track_id AS spot, b.frame_id AS f FROM fixed p JOIN v_trk b ON b.frame_id > p.s0
+      AND {_same_size(("p.u1", "p.v1"), ("b.u", "b.v"))} >= 0.5 UNION SELECT track_id, s0 FROM fixed),
+    gap AS (SELECT spot, f, f - lag(f) OVER (PARTITION BY spot ORDER BY f) >= 600 AS quiet FROM hit),
+    chain AS (SELECT spot, f, count(*) FILTER (quiet) OVER (PARTITION BY spot ORDER BY f) AS broken FROM gap),
+    seen AS (SELECT spot, max(f) AS seen_to FROM chain WHERE broken = 0 GROUP BY spot),
+    ghost AS (SELECT n.track_id FROM other n JOIN fixed p ON n.f0 > p.s0
+      AND {_same_size(("p.u1", "p.v1"), ("n.u0", "n.v0"))} >= 0.5 JOIN seen ON seen.spot = p.track_id AND n.f0 < seen_to + 600)
+    SELECT 'run-0' AS run_id, 'overhead' AS stream, frame_id, track_id, u, v, zone, u - 10 AS x, v - 40 AS y,
+      20.0::DOUBLE AS w, 40.0::DOUBLE AS h FROM v_trk WHERE track_id NOT IN (SELECT track_id FROM fixed)
+      AND track_id NOT IN (SELECT track_id FROM ghost)"""
+
+
+@query("drop_static", STATIC_SQL, TRK)
 def _(v):
     return T.drop_static(trk(v).drop("still", "travelled"), far_px=700.0)
 
