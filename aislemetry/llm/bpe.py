@@ -5,7 +5,9 @@ c starting at k happens; whether c exists there depends on the boundary behind c
 of a *lower* rank whose left part ends like c. Following these chains through the merge list in rank order gives the
 longest reach, `lookahead`. A token that ends at least that many symbols before the end of what has been read is
 stable and is emitted; the rest stays in the buffer. The buffer never exceeds a block plus the lookahead, whatever the
-length of a word. Short words, nearly all, are one block each and come from a bounded cache.
+length of a word. Short words, nearly all, are one block each: those that a cache of bounded words does not know are
+merged together, one merge of every word per step, in arrays. Words of several texts share such steps; at most `PART`
+words are held.
 
 Decoding is a state machine over token bytes that emits text as soon as a character is complete.
 
@@ -22,9 +24,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,13 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from aislemetry.llm.common import field_name
 
-CACHE = 200_000             # words per cache of a worker; a full cache starts anew
+CACHE = 200_000             # words a worker remembers; the older half is forgotten when the newer one is full
+REMEMBERED = 128            # characters of the longest word that is remembered
+NARROW = 40                 # bytes of the longest word that is merged together with others
+SLICE = 1 << 16             # characters that are cut into words at a time, up to the next blank
 END = "</w>"
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_BLANK = regex.compile(r"\s")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -98,6 +106,14 @@ class Tables:
         self.ranks = {(a, b): (k, a + b) for k, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.lookahead = lookahead(pairs)
+        # The same merges as arrays: pairs of ids in order with their ranks, and the token that each rank makes.
+        self.base = max(self.ids.values()) + 1
+        keys = np.array([self.ids[a] * self.base + self.ids[b] for a, b in self.ranks], np.int64)
+        ranks = np.array([k for k, _ in self.ranks.values()], np.int32)
+        self.keys, self.key_ranks = np.sort(keys), ranks[np.argsort(keys)]
+        self.made = np.zeros(len(pairs), np.int32)
+        self.made[ranks] = [self.ids[whole] for _, whole in self.ranks.values()]
+        self.bytes = np.array([[self.ids[c], self.ids[c + END]] for c in byte_symbols()], np.int32)
 
 
 def _width(token: str) -> int:
@@ -195,16 +211,48 @@ class Transducer:
             yield from merge(rest, self.ranks)
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = self.make(word)
-        return value
+_NEVER = np.int32((1 << 31) - 1)
+
+
+def merge_words(words: list[bytes], t: Tables) -> list[bytes]:
+    """Ids of complete words as bytes; every step makes the next merge of each word that has one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    symbols = t.bytes[np.frombuffer(b"".join(words), np.uint8), 0]
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    last = np.cumsum(sizes) - 1
+    symbols[last] = t.bytes[np.frombuffer(b"".join(w[-1:] for w in words), np.uint8), 1]
+
+    def ranks(at):
+        """Ranks of the pairs that begin at these places."""
+        next_ = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] * np.int64(t.base) + symbols[next_]
+        k = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
+        return np.where((t.keys[k] == key) & (word[at] == word[next_]) & (next_ > at), t.key_ranks[k], _NEVER)
+
+    rank, ready = ranks(np.arange(len(symbols))), []
+    while len(symbols):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        best = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(word)))
+        open_ = best != _NEVER
+        if not open_.all():
+            ready.append((word[~open_], symbols[~open_]))
+            word, symbols, rank, best = word[open_], symbols[open_], rank[open_], best[open_]
+            if not len(symbols):
+                break
+        hit = np.flatnonzero(rank == best)
+        at = hit[np.concatenate(([True], word[hit[1:]] != word[hit[:-1]]))]
+        symbols[at] = t.made[rank[at]]
+        stay = np.ones(len(symbols), bool)
+        stay[at + 1] = False
+        word, symbols, rank = word[stay], symbols[stay], rank[stay]
+        at = at - np.arange(len(at))    # one symbol less per merge before it
+        rank[at] = ranks(at)
+        left = at[at > 0] - 1
+        rank[left] = ranks(left)
+    word, ids = (np.concatenate(x) for x in zip(*ready)) if ready else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    blob = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+    ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Encoder:
@@ -214,55 +262,104 @@ class Encoder:
         self.rules = None               # made at the first text that needs them
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(
             tables.special, key=len, reverse=True))) + ")") if tables.special else None
-        self.words = _Cache(self._word)
-        self.ids = _Cache(lambda w: np.array([tables.ids[x] for x in self.words[w]], "<u4").tobytes())
-        self.text = _Cache(lambda w: " ".join(self.words[w]))
-
-    def _word(self, word: str) -> tuple[str, ...]:
-        raw = [self.symbols[b] for b in word.encode("utf-8")]
-        if len(raw) <= 2 * self.t.lookahead:
-            raw[-1] += END
-            return tuple(merge(raw, self.t.ranks))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, lists):
+        """Make sure that all words of these lists are known."""
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        new = set().union(*lists).difference(self.known)
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        fresh = [w for w in new if w not in self.older]
+        raw = [w.encode("utf-8") for w in fresh]
+        narrow = [k for k, w in enumerate(raw) if len(w) <= NARROW]
+        if narrow:
+            self.known.update(zip([fresh[k] for k in narrow], merge_words([raw[k] for k in narrow], self.t)))
+        for k, w in enumerate(raw):
+            if len(w) > NARROW:
+                self.known[fresh[k]] = b"".join(self._long(fresh[k]))
+
+    def _long(self, word: str):
+        """Ids of one word of any length, some at a time."""
         stream = Transducer(self.t.ranks, self.t.lookahead)
-        return (*stream.feed(raw), *stream.finish())
+        parts = (stream.feed([self.symbols[b] for b in word[k:k + PART].encode("utf-8")])
+                 for k in range(0, len(word), PART))
+        tokens = chain(chain.from_iterable(parts), stream.finish())
+        while some := list(islice(tokens, PART)):
+            yield np.array([self.t.ids[x] for x in some], "<u4").tobytes()
+
+    @staticmethod
+    def _words(plain: str, pattern, blank):
+        """Lists of consecutive words; a part without blanks may be of any length, so its words come one by one."""
+        at = 0
+        while at < len(plain):
+            gap = blank.search(plain, at + SLICE) if at + SLICE < len(plain) else None
+            end = gap.start() if gap else len(plain)
+            if end - at <= 2 * SLICE:
+                yield pattern.findall(plain, at, end)
+            else:
+                for m in pattern.finditer(plain, at, end):
+                    yield [m[0]]
+            at = end
 
     def pieces(self, text: str):
-        """(special token or None, words) of consecutive parts of a text."""
+        """(special token or None, lists of words) of consecutive parts of a text."""
         for part in self.split.split(text) if self.split else [text]:
             if part in self.t.special:
                 yield part, []
             elif part:
                 # Blanks only part words, so how many there are does not matter. Lower-casing is per character: a
                 # final sigma is no special case.
+                if part.isascii():
+                    yield None, self._words(part.lower(), _ASCII_WORD, _BLANK)
+                    continue
                 plain = unicodedata.normalize("NFC", part)
-                if plain.isascii() or all(unicodedata.category(c) != "Cn" for c in set(plain)):
-                    yield None, (m[0] for m in _WORD.finditer(plain.replace("Σ", "σ").lower()))
+                if all(unicodedata.category(c) != "Cn" for c in set(plain)):
+                    yield None, self._words(plain.replace("Σ", "σ").lower(), _WORD, _BLANK)
                 else:
                     self.rules = self.rules or unicode_rules()
-                    yield None, (m[0] for m in self.rules[0].finditer(plain.translate(self.rules[1]).lower()))
+                    yield None, self._words(plain.translate(self.rules[1]).lower(), self.rules[0], _BLANK)
+
+    def runs(self, texts):
+        """The ids of texts as little-endian unsigned 32-bit integers, some at a time; None after each text."""
+        held: list = []                 # lists of words, ids of special tokens, ends of texts
+        size = 0
+        for text in texts:
+            for special, lists in self.pieces(text):
+                if special is not None:
+                    held.append(np.array([self.t.special[special]], "<u4").tobytes())
+                for words in lists:
+                    held.append(words)
+                    size += len(words) + 1
+                    if size >= PART:
+                        yield from self._emit(held)
+                        held, size = [], 0
+            held.append(None)
+        yield from self._emit(held)
+
+    def _emit(self, held):
+        long = {k for k, words in enumerate(held) if isinstance(words, list) and words
+                and max(map(len, words)) > REMEMBERED}
+        self._learn(words if k not in long else [w for w in words if len(w) <= REMEMBERED]
+                    for k, words in enumerate(held) if isinstance(words, list))
+        known = self.known.__getitem__
+        for k, item in enumerate(held):
+            if not isinstance(item, list):
+                yield item
+            elif k not in long:
+                yield b"".join(map(known, item))
+            else:
+                for w in item:
+                    if len(w) <= REMEMBERED:
+                        yield known(w)
+                    else:
+                        yield from self._long(w)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the tokens joined by spaces."""
-        ids, shown = [], []
-        for special, words in self.pieces(text):
-            if special is not None:
-                ids.append(np.array([self.t.special[special]], "<u4").tobytes())
-                shown.append(special)
-            else:
-                words = list(words)
-                ids += map(self.ids.__getitem__, words)
-                shown += map(self.text.__getitem__, words)
-        return b"".join(ids), " ".join(shown)
-
-    def stream(self, text: str):
-        """The ids of `encode`, some words at a time."""
-        for special, words in self.pieces(text):
-            if special is not None:
-                yield np.array([self.t.special[special]], "<u4").tobytes()
-            else:
-                words = iter(words)
-                while part := list(islice(words, PART)):
-                    yield b"".join(map(self.ids.__getitem__, part))
+        ids = b"".join(x for x in self.runs([text]) if x is not None)
+        return ids, Decoder(self.t).feed(np.frombuffer(ids, "<u4").tolist())
 
 
 class Decoder:
@@ -304,7 +401,7 @@ class Decoder:
 
 # ---------------------------------------------------------------- Spark side
 
-PART = 4_096                # words encoded and decoded at a time
+PART = 32_768               # words encoded at a time, and symbols of a long word read at a time
 _coders: dict = {}          # one per worker process and file, so that caches outlive a task
 
 
@@ -320,16 +417,17 @@ def _coded(batches, shared, key, wanted):
         for begin in range(0, batch.num_rows, 256):
             part = column.slice(begin, 256)
             made: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            for value in part:
-                size, digest, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
-                shown.begun = False
-                for ids in encoder.stream(value.as_py() or ""):
+            size, digest, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
+            shown.begun = False
+            for ids in encoder.runs(value.as_py() or "" for value in part):
+                if ids is not None:
                     size += len(ids) // 4
                     digest.update(ids)
                     if "decoded_sha256" in wanted:
                         back.update(shown.feed(np.frombuffer(ids, "<u4").tolist()).encode())
                     if "ids" in wanted or "decoded" in wanted:
                         held.append(ids)
+                    continue
                 back.update(shown.finish().encode())
                 made["n_tokens"].append(size)
                 made["ids_sha256"].append(digest.hexdigest())
@@ -340,6 +438,8 @@ def _coded(batches, shared, key, wanted):
                 if "decoded" in wanted:
                     plain.state.reset()
                     made["decoded"].append(plain.feed(whole.tolist()) + plain.finish())
+                size, digest, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
+                shown.begun = False
             yield pa.RecordBatch.from_arrays(
                 [*rest.slice(begin, len(part)).columns, *(pa.array(made[c], _ARROW[c]) for c in wanted)],
                 names=[*rest.schema.names, *wanted])

@@ -365,6 +365,38 @@ def test_bpe_digest_is_of_decoded_ids(tables, monkeypatch):
     bpe._coders.clear()
 
 
+def test_words_merged_together_equal_single_ones(tables):
+    rng = np.random.default_rng(11)
+    parts = ["th", "e", "in", "g", "er", "a", "on", "s", "tion", "é", "字", "!", "7", "the", "aa"]
+    words = ["".join(rng.choice(parts, n)) for n in rng.integers(1, 12, 500)] + ["a", "aaaaaaaaa", "\x1c"]
+    raw = [w.encode() for w in words]
+    symbols = bpe.byte_symbols()
+    want = []
+    for w in raw:
+        run = [symbols[b] for b in w]
+        run[-1] += bpe.END
+        want.append(np.array([tables.ids[x] for x in bpe.merge(run, tables.ranks)], "<u4").tobytes())
+    assert bpe.merge_words(raw, tables) == want and bpe.merge_words(raw[:1], tables) == want[:1]
+
+
+def test_bpe_forgets_and_reads_in_slices(tables, monkeypatch):
+    rng = np.random.default_rng(12)
+    odd = ["", " ", "ab" * 1500, PROSE, "é" * 700, "one <|endoftext|> two", "x" * 129 + " y", "!?" * 300, "Σ'S 1\x1c2"]
+    texts = ["".join(rng.choice([*"abcdefgh  ", "é", "\n", "'s", "9"], 400)) for _ in range(40)] + odd + odd
+    want = [bpe.Encoder(tables).encode(t)[0] for t in texts]
+    for name, value in (("CACHE", 60), ("SLICE", 50), ("PART", 64)):
+        monkeypatch.setattr(bpe, name, value)
+    coder, got, held = bpe.Encoder(tables), [], []
+    for ids in coder.runs(texts):
+        if ids is None:
+            got.append(b"".join(held))
+            held = []
+        else:
+            held.append(ids)
+        assert len(coder.known) + len(coder.older) <= 300
+    assert got == want and not held
+
+
 def test_transducer_is_stable(tables):
     rng = np.random.default_rng(5)
     word = list("".join(rng.choice(["th", "e", "in", "g", "er", "a", "on", "s", "tion"], 2500)))
