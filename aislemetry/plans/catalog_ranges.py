@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from aislemetry.plans import dashboard as DB
 from aislemetry.plans import kpis as K
+from aislemetry.plans.catalog_kpi import BOUNDS, cells
 from aislemetry.plans.catalog_tables import tables
 from aislemetry.plans.registry import ORACLES, query
 from aislemetry.session import shared_dir
@@ -98,6 +99,68 @@ def _(v):
     return DB.headline(tables(v))
 
 
+# --- the whole dashboard -----------------------------------------------------------
+def figures(tile, source, item, measures, label="CAST(NULL AS VARCHAR)"):
+    return " UNION ALL ".join(f"""SELECT run_id, '{tile}' AS tile, {item} AS item, {label} AS label, '{m}' AS measure,
+      CAST({m} AS DOUBLE) AS value FROM {source}""" for m in measures)
+
+
+BOARD_SQL = f"""WITH w AS (SELECT run_id, t0, t1, t1 + 1 AS now FROM v_window),
+    shop AS (SELECT s.*, coalesce(t_end, now) AS e, coalesce(p.rate, 0) AS rate FROM v_stockout s
+      JOIN w ON w.run_id = s.run_id LEFT JOIN v_planogram p ON p.sku = s.sku),
+    recent AS (SELECT run_id, roi || ':' || sku AS item, round(e - t_start, 1) AS duration_s,
+        round(greatest(0, e - t_start) / 3600 * rate, 2) AS lost,
+        CASE WHEN t_end IS NULL THEN 'active' ELSE 'resolved' END AS status
+      FROM shop QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY t_start DESC, roi, sku, t_end NULLS FIRST) <= 20),
+    lost AS (SELECT run_id, round(fsum(greatest(0, e - t_start) / 3600 * rate), 2) AS lost_revenue FROM shop GROUP BY ALL),
+    board AS (SELECT b.*, i.sku, i.name FROM (SELECT f.run_id, f.roi, CAST(floor(fill) AS BIGINT) AS fill,
+          CASE WHEN fill < 60 THEN 'empty' WHEN fill < 110 THEN 'low' WHEN fill < 180 THEN 'partial' ELSE 'full' END AS state
+        FROM (SELECT run_id, roi, arg_max(fill, t) AS fill FROM v_shelf_fill GROUP BY ALL) f) b
+      LEFT JOIN (SELECT 'A' || (p_partkey % 6 + 1) AS roi, max(p_partkey) AS sku, arg_max(p_name, p_partkey) AS name
+        FROM part GROUP BY ALL) i ON i.roi = b.roi),
+    hours AS (SELECT w.run_id, h.range AS hour, count(x.t) AS entries FROM w CROSS JOIN range(24) h
+      LEFT JOIN v_tripwire x ON x.run_id = w.run_id AND x.dir = 'in' AND floor(x.t / 86400) = floor(w.now / 86400)
+        AND CAST(floor((x.t - floor(x.t / 86400) * 86400) / 3600) AS BIGINT) = h.range GROUP BY ALL)
+    """ + " UNION ALL ".join([
+    figures("window", "w", "''", ["t0", "t1"]),
+    figures("live", part("live_summary"), "''", ["occupancy", "occupancy_t"]),
+    figures("totals", part("footfall_totals"), "''", ["entries", "exits", "net"]),
+    figures("shoppers", part("shopper_totals"), "''", ["shoppers", "avg_dwell_s", "browsed", "engaged"]),
+    figures("zones", part("dwell_by_zone"), "zone", ["visits", "median_dwell_s", "p90_dwell_s"]),
+    figures("queue", part("queue_status"), "CAST(lane AS VARCHAR)", ["count", "pred_wait_s"]),
+    figures("shelf", "board", "roi", ["fill"], "concat_ws(' | ', state, sku, name)"),
+    figures("stockouts", "recent", "item", ["duration_s", "lost"], "status"),
+    figures("lost_revenue", "lost", "''", ["lost_revenue"]),
+    figures("replenishment", part("replenishment_top"), "CAST(rank AS VARCHAR)", ["revenue_rate"], "roi || ' | ' || sku"),
+    figures("alerts", part("alerts_recent"), "rule", ["t"], "severity || ' | ' || message"),
+    figures("heatmap", part("heatmap_grid"), "row || ':' || col", ["heat"]),
+    figures("footfall_hourly", "hours", "CAST(hour AS VARCHAR)", ["entries"]),
+    figures("footfall_spark", part("footfall_spark"), "CAST(bucket AS VARCHAR)", ["entries"]),
+    figures("revenue", part("revenue"), "''", ["transactions", "revenue"]),
+    figures("funnel", part("funnel"), "label", ["value", "pct"])])
+
+
+def dashboard_tables(v):
+    """The driver's tables with its heat cells, and its parts on the shelves that are watched."""
+    return {**tables(v), "heatmap": K.heatmap_accumulate(cells(v)), "planogram": v.planogram.withColumn(
+        "facing", F.concat(F.lit("A"), (F.col("sku") % 6 + 1).cast("string")))}
+
+
+@query("dashboard_board", BOARD_SQL)
+def _(v):
+    return DB.board(dashboard_tables(v), bounds=BOUNDS)
+
+
+@query("dashboard_documents", f"""SELECT run_id, {", ".join(f"CAST(count(*) FILTER (tile = '{tile}') AS INTEGER) AS n_{tile}"
+    for tile in DB.TILES)}, count(*) AS n FROM ({BOARD_SQL}) GROUP BY run_id""")
+def _(v):
+    """The figures of every tile in the one document of each run."""
+    d = DB.documents(dashboard_tables(v), bounds=BOUNDS)
+    sizes = {f"n_{tile}": F.size(tile) for tile in DB.TILES}
+    return d.select("run_id", *[n.alias(k) for k, n in sizes.items()]).withColumn(
+        "n", sum(F.col(k) for k in sizes).cast("bigint"))
+
+
 # --- figures of a time range -----------------------------------------------------
 RANGE = f"t_enter >= {T0} AND t_enter < {T1}"
 

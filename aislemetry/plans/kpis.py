@@ -54,6 +54,18 @@ def footfall_by_hour(tripwire, day=None, tz="UTC", zero_fill=False):
     return spine.join(n, [RUN, "day_start", "hour"], "left").fillna(0, ["entries"])
 
 
+def footfall_last_day(tripwire, window, tz="UTC"):
+    """All 24 hours of the local day on which each run ended; hours and runs without entries are 0."""
+    day = with_now(window.select(RUN), window).withColumn("day_start", TB.local_midnight(F.col("now"), tz))
+    e = tripwire.where(F.col("dir") == "in").join(day, RUN).where(
+        (F.col("t") >= F.col("day_start")) & (F.col("t") < F.col("day_start") + 86400))
+    n = e.groupBy(RUN, F.floor((F.col("t") - F.col("day_start")) / 3600).cast("bigint").alias("hour")).agg(
+        F.count("*").alias("entries"))
+    spine = day.select(RUN, "day_start", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))).alias("hour"))
+    return spine.join(n, [RUN, "hour"], "left").fillna(0, ["entries"])
+
+
 def footfall_peak(tripwire, day=None, tz="UTC"):
     """Busiest hour (the earliest on a tie) and the mean over all 24 hours."""
     h = footfall_by_hour(tripwire, day, tz, zero_fill=True)
@@ -314,12 +326,21 @@ def shelf_latest(shelf_fill, stockout):
     return open_stockout_flag(last, stockout)
 
 
-def shelf_board(shelf_fill, stockout, rois=None, run=None):
+def shelf_board(shelf_fill, stockout, rois=None, run=None, planogram=None):
     """Latest facings with their display state; an open incident forces empty.
 
-    With `rois` per store, `run` tells the store of each run.
+    With `rois` or `planogram` per store, `run` tells the store of each run. A `planogram` adds the sku and name of
+    the facing; of a repeated facing the last entry counts, an unknown one has neither.
     """
     s = shelf_latest(shelf_fill, stockout)
+    if planogram is not None:
+        out = shelf_board(shelf_fill, stockout, rois, run)
+        out = with_store(out, run) if run is not None and "store_id" in planogram.columns else out
+        on = store_keys(out, planogram, "facing")
+        item = planogram.groupBy(*on).agg(F.max_by(F.struct("sku", "name"), "position").alias("__i")).select(
+            *on, "__i.*").withColumnRenamed("facing", "roi")
+        return out.join(item, ["roi" if k == "facing" else k for k in on], "left").select(
+            RUN, "roi", "fill", "state", "sku", "name")
     if rois is not None:
         s = with_store(s, run) if run is not None and "store_id" in rois.columns else s
         on = store_keys(s, rois, "roi")

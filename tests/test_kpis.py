@@ -144,3 +144,31 @@ def test_dashboard_of_one_run(spark):
     assert d["live"].first()["occupancy"] == 3
     assert [r.value for r in d["funnel"].orderBy("step").collect()] == [3, 0, 0, 0]
     assert d["footfall_spark"].count() == 12
+    rows = {(r.tile, r.item, r.measure): r.value for r in DB.board(t, now=6.0, run_id="r").collect()}
+    assert rows["live", "", "occupancy"] == 3 and rows["funnel", "Footfall", "value"] == 3 and rows["window", "", "t1"] == 5
+    doc = DB.documents(t, now=6.0).first()
+    assert doc.run_id == "r" and len(doc.footfall_spark) == 12 and doc.zones == [] and doc.live[0].measure == "occupancy"
+
+
+def test_last_day_has_all_hours_of_every_run(spark):
+    noon = 19723 * 86400.0 + 43200
+    trip = table(spark, "tripwire", [("a", noon - 86400, "in"), ("a", noon, "in"), ("a", noon + 10, "in"), ("a", noon, "out"),
+                                     ("c", noon, "in")])
+    window = spark.createDataFrame([("a", noon - 86400, noon + 10), ("b", noon, noon), ("n", None, None)],
+                                   "run_id string, t0 double, t1 double")
+    rows = K.footfall_last_day(trip, window).collect()
+    assert len(rows) == 72 and {(r.run_id, r.hour, r.entries) for r in rows if r.entries} == {("a", 12, 2)}
+    shifted = K.footfall_last_day(trip, window, "Asia/Kolkata").where("entries > 0").collect()
+    assert [(r.run_id, r.hour, r.entries) for r in shifted] == [("a", 17, 2)]
+
+
+def test_shelf_board_names_items_of_the_store(spark):
+    run = table(spark, "run", [("a", "s1", 0.0, "c"), ("b", "s2", 0.0, "c")])
+    fill = spark.createDataFrame([("a", 1.0, "F1", 50.0, 0), ("b", 1.0, "F1", 120.0, 0), ("b", 1.0, "F9", 200.0, 0)],
+                                 "run_id string, t double, roi string, fill double, seq bigint")
+    plan = spark.createDataFrame([("s1", "F1", "tea", "Tea", 0), ("s2", "F1", "old", "Old", 1), ("s2", "F1", "rice", "Rice", 2)],
+                                 "store_id string, facing string, sku string, name string, position int")
+    got = {(r.run_id, r.roi): (r.fill, r.state, r.sku, r.name)
+           for r in K.shelf_board(fill, table(spark, "stockout", []), run=run, planogram=plan).collect()}
+    assert got == {("a", "F1"): (50, "empty", "tea", "Tea"), ("b", "F1"): (120, "partial", "rice", "Rice"),
+                   ("b", "F9"): (200, "full", None, None)}
